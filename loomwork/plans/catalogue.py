@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from loomwork.plans import dirty_fields
+
+FLAGSHIP = "p4_found"
+QUERIES: dict = {**dirty_fields.QUERIES}
 SQL: dict[str, str] = {}
-FLAGSHIP = "salary_summary"
