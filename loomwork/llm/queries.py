@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import cooccurrence, quantiles, topn
+from loomwork.llm import canonical, cooccurrence, quantiles, topn
 from loomwork.session import table
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -19,6 +19,30 @@ def query(f):
     return f
 
 
+# 1: freely typed values to entries
+
+
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """``(mention_id, skill_id)`` of the rows whose skill is no entry's name as stored."""
+    ref = table(spark, sf, "skill_ref")
+    entries = canonical.load(ref, "skill_id", "skill", "also_called")
+    rows = table(spark, sf, "posting_skills").select("mention_id", "skill", "raw").where(F.col("skill").isNotNull())
+    other = rows.join(F.broadcast(ref.select("skill")), "skill", "left_anti")  # load() has bounded the list
+    return canonical.map_values(other, "mention_id", "skill", "raw", entries).withColumnRenamed("id", "skill_id")
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf)
+
+
+@query
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The typed values that no entry means, and how many rows have each."""
+    rows = table(spark, sf, "posting_skills").select("mention_id", "skill")
+    return _mapped(spark, sf).where(F.col("skill_id") == 0).join(rows, "mention_id").groupBy("skill").agg(F.count("*").alias("n"))
+
+
 # 2: the best of every group
 
 
