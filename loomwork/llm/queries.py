@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import canonical, cooccurrence, quantiles, topn
+from loomwork.llm import canonical, cooccurrence, packing, quantiles, tokens, topn
 from loomwork.session import table
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -149,3 +149,23 @@ SELECT dim, grp, n, """
     + ", ".join(f"round(max(v) FILTER (WHERE r = greatest(1, ceil(CAST({q} AS DOUBLE) * n))), 6) AS p{round(q * 100)}" for q in QUANTILES)
     + " FROM bins GROUP BY dim, grp, n"
 )
+
+
+# 7: containers of 2,048 tokens
+
+CAPACITY = 2048
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that were split: those with a second piece."""
+    return _packed(spark, sf).where(F.col("piece") == 2).select("doc_id")
+
+
+@query
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.container_fill(_packed(spark, sf)).withColumn("unused", F.lit(CAPACITY) - F.col("tokens"))
