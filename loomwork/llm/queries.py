@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import canonical, cooccurrence, packing, quantiles, tokens, topn
+from loomwork.llm import canonical, cooccurrence, packing, quantiles, tokens, topn, toxicity
 from loomwork.session import table
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -169,3 +169,31 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.container_fill(_packed(spark, sf)).withColumn("unused", F.lit(CAPACITY) - F.col("tokens"))
+
+
+# 9: abusive, hateful or sexual content
+
+
+def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
+    documents = table(spark, sf, "documents")
+    model = toxicity.train(documents, table(spark, sf, "doc_labels"), "doc_id", "text", "label")
+    return toxicity.score(documents, "doc_id", "text", model, keep=("source",)), model[0].threshold
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored, threshold = _scored(spark, sf)
+    return scored.where(F.col("score") >= threshold).select("doc_id")
+
+
+@query
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf)[0].select("doc_id", "score")
+
+
+@query
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and cases of each source; documents of no source are a group of their own."""
+    scored, threshold = _scored(spark, sf)
+    hit = F.count_if(F.col("score") >= threshold)
+    return scored.groupBy("source").agg(F.count("*").alias("documents"), hit.alias("cases"), F.round(hit / F.count("*"), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))
