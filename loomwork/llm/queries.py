@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import canonical, cooccurrence, packing, quantiles, tokens, topn, toxicity
+from loomwork.llm import canonical, cooccurrence, mixing, packing, quantiles, tokens, topn, toxicity
 from loomwork.session import table
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -171,6 +171,19 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.container_fill(_packed(spark, sf)).withColumn("unused", F.lit(CAPACITY) - F.col("tokens"))
 
 
+# 8: sources mixed to target weights
+
+
+@query
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+@query
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
+
+
 # 9: abusive, hateful or sexual content
 
 
