@@ -8,9 +8,10 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series) -> pd.Series:
     """P(chi-squared with one degree of freedom > x); Spark has no erfc."""
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)))

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Vietnamese syllables whose tone mark moves to the second vowel.
 TONE_MOVES = (
@@ -22,7 +23,7 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
@@ -133,6 +134,6 @@ def unquote_path(path: str) -> str:
     return out.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unquoted(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unquote_path(x))
