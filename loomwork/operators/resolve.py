@@ -28,7 +28,8 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, kind
     ``kind`` only vectors of one kind are paired. Null vectors pair with none.
     """
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(vector).alias("_v"), (F.col(kind) if kind else F.lit("")).alias("_kind"))
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(pivots).collect()
+    some = min(pivots, max(1, rows.count() // tile))  # few vectors need no cells
+    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(some).collect()
     id_type = rows.schema["_id"].dataType.simpleString()
     empty = rows.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}, score double")
     if not sample:

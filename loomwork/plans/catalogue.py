@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans import dirty_fields
+from loomwork.plans import dirty_fields, labour
 
-FLAGSHIP = "p4_found"
-QUERIES: dict = {**dirty_fields.QUERIES}
-SQL: dict[str, str] = {}
+FLAGSHIP = "salary_summary"
+QUERIES: dict = {**dirty_fields.QUERIES, **labour.QUERIES}
+SQL: dict[str, str] = {**labour.SQL}
