@@ -49,7 +49,7 @@ CANDIDATES = {
     "underscore": r"_",
     "bare dash": r"(?<=\w)-(?=\w)",
 }
-# Pseudo-pieces: regular ones and all, before any cell is seen.
+# Cells assumed before any is seen: regular ones, and all.
 USUAL, UNUSUAL = (6.0, 10.0), (0.0, 10.0)
 SELDOM = {"hay": (1.0, 3.0), "and": (1.0, 3.0), "or": (1.0, 3.0)}
 NEVER_USUAL = {"colon", "dot", "underscore", "bare dash"}
@@ -212,8 +212,8 @@ def _score_task(names: list[str]):
                     # a piece still holding other signs is judged by its own first value
                     good = sum(_NOTE.sub("", lowered(re.split(r"[,;|/\n\t、；]", x)[0].strip(" '\"[]"))) in known for x in full)
                     row = tally.setdefault((source, k), np.zeros(4))
-                    row += (1, len(full), good, 2 <= len(full) <= 12 and len(parts) - len(full) <= 1)
-        yield pd.DataFrame([(s, k, *map(int, v)) for (s, k), v in tally.items()], columns=["source", "delimiter", "cells", "pieces", "regular", "steady"])
+                    row += (1, len(full), good / len(full), 2 <= len(full) <= 12 and len(parts) - len(full) <= 1)
+        yield pd.DataFrame([(s, k, int(v[0]), int(v[1]), float(v[2]), int(v[3])) for (s, k), v in tally.items()], columns=["source", "delimiter", "cells", "pieces", "regular", "steady"])
 
     return run
 
@@ -222,14 +222,14 @@ def score_delimiters(df: DataFrame, source: str, raw: str, names: list[str]) ->
     """``(source, delimiter, cells, pieces, regular, steady)`` over all cells.
     A null source is a source of its own."""
     rows = df.where(F.col(raw).isNotNull()).select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), F.col(raw).alias("_raw"))
-    told = rows.mapInPandas(_score_task(names), "source string, delimiter string, cells long, pieces long, regular long, steady long")
+    told = rows.mapInPandas(_score_task(names), "source string, delimiter string, cells long, pieces long, regular double, steady long")
     return told.groupBy("source", "delimiter").agg(*[F.sum(c).alias(c) for c in ("cells", "pieces", "regular", "steady")])
 
 
-def in_use(delimiter: str, cells: int = 0, pieces: int = 0, regular: int = 0, steady: int = 0) -> bool:
+def in_use(delimiter: str, cells: int = 0, pieces: int = 0, regular: float = 0, steady: int = 0) -> bool:
     """Whether a delimiter separates, from its score and the prior."""
     good, seen = UNUSUAL if delimiter in NEVER_USUAL else SELDOM.get(delimiter, USUAL)
-    regularity = (regular + good) / (pieces + seen)
+    regularity = (regular + good) / (cells + seen)
     steadiness = (steady + 4) / (cells + 5)
     return regularity * steadiness >= LEAST_SCORE
 
