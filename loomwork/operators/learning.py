@@ -21,10 +21,11 @@ def vocabulary(docs: DataFrame, text: str, least: int = 2, most: int = 50_000) -
 
 def encoded(docs: DataFrame, key: str, text: str, words: DataFrame, length: int) -> DataFrame:
     """``(key, ids, n)``: word ids cut and padded to ``length``; an empty text is one unknown word."""
-    cut_ = docs.select(key, F.slice(T.syllables(T.nfc(text)), 1, length).alias("_w"))
-    long = cut_.select(key, F.posexplode_outer("_w").alias("_p", "word"))
-    ids = long.join(words.select("word", "id"), "word", "left").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_p", F.lit(0)).alias("p"), F.coalesce("id", F.lit(1)).alias("i")))), lambda s: s["i"]).alias("_ids"))
-    return ids.select(key, F.concat("_ids", F.array_repeat(F.lit(0), F.lit(length) - F.size("_ids"))).alias("ids"), F.size("_ids").alias("n"))
+    cut_ = docs.select(F.col(key).alias("_key"), F.slice(T.syllables(T.nfc(text)), 1, length).alias("_w"))
+    long = cut_.select("_key", F.posexplode_outer("_w").alias("_p", "_word"))
+    known = words.select(F.col("word").alias("_word"), F.col("id").alias("_id"))
+    ids = long.join(known, "_word", "left").groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_p", F.lit(0)).alias("p"), F.coalesce("_id", F.lit(1)).alias("i")))), lambda s: s["i"]).alias("_ids"))
+    return ids.select(F.col("_key").alias(key), F.concat("_ids", F.array_repeat(F.lit(0), F.lit(length) - F.size("_ids"))).alias("ids"), F.size("_ids").alias("n"))
 
 
 def cut_length(docs: DataFrame, text: str, share: float = 0.95) -> DataFrame:
@@ -47,7 +48,7 @@ def text_features(text: str, features: int = 1 << 16, min_docs: int = 2) -> list
         IDF(inputCol="_c1", outputCol="_i1"),
         IDF(inputCol="_c2", outputCol="_i2"),
         VectorAssembler(inputCols=["_i1", "_i2"], outputCol="_f"),
-        Normalizer(inputCol="_f", outputCol="features"),
+        Normalizer(inputCol="_f", outputCol="_features"),
     ]
 
 
@@ -56,16 +57,16 @@ def logistic(train: DataFrame, validation: DataFrame, text: str, label: str, str
     regularisation strengths, and that score. Rows without label are left out."""
     words = T.syllables(T.nfc(text))
     rows = train.where(F.col(label).isNotNull()).withColumn("_words", words)
-    prepared = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"), *text_features("_words", features)]).fit(rows)
-    ready = prepared.transform(rows).select("label", "features").persist()
+    prepared = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"), *text_features("_words", features)]).fit(rows)
+    ready = prepared.transform(rows).select("_label", "_features").persist()
     n = max(1, ready.count())
     labels = prepared.stages[0].labels
-    checked = prepared.transform(validation.where(F.col(label).isNotNull()).withColumn("_words", words)).select("label", "features").persist()
+    checked = prepared.transform(validation.where(F.col(label).isNotNull()).withColumn("_words", words)).select("_label", "_features").persist()
     best: tuple[float, object] = (-1.0, None)
     try:
         for c in strengths:
-            model = LogisticRegression(regParam=1 / (c * n), standardization=False, maxIter=60).fit(ready)
-            score = classification_report(model.transform(checked), "label", "prediction", [float(i) for i in range(len(labels))]).collect()[0]["macro_f1"] or 0.0
+            model = LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_said", probabilityCol="_p", rawPredictionCol="_raw", regParam=1 / (c * n), standardization=False, maxIter=60).fit(ready)
+            score = classification_report(model.transform(checked), "_label", "_said", [float(i) for i in range(len(labels))]).collect()[0]["macro_f1"] or 0.0
             if score > best[0]:
                 best = (score, model)
     finally:
@@ -78,4 +79,4 @@ def predict(model: PipelineModel, rows: DataFrame, key: str, text: str, label: s
     """``(key, label, predicted)``."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     out = model.transform(rows.where(F.col(label).isNotNull()).withColumn("_words", T.syllables(T.nfc(text))))
-    return out.select(key, label, F.try_element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
+    return out.select(key, label, F.try_element_at(names, F.col("_said").cast("int") + 1).alias("predicted"))

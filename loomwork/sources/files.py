@@ -93,8 +93,10 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def read_env(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, value)`` of KEY=VALUE lines; blank lines and comments are skipped, quotes taken off."""
-    lines = spark.read.text(path).select(F.trim("value").alias("l")).where((F.col("l") != "") & ~F.col("l").startswith("#") & F.col("l").contains("="))
+    """``(key, value)`` of KEY=VALUE lines; blank lines and comments are skipped, quotes
+    taken off. Spark's own readers pass over files whose names begin with a dot."""
+    told = spark.createDataFrame([(x,) for x in Path(path).read_text(encoding="utf-8").splitlines()], "value string")
+    lines = told.select(F.trim("value").alias("l")).where((F.col("l") != "") & ~F.col("l").startswith("#") & F.col("l").contains("="))
     parts = F.split("l", "=", 2)
     return lines.select(F.trim(parts[0]).alias("key"), F.btrim(F.trim(parts[1]), F.lit("\"'")).alias("value"))
 

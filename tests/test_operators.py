@@ -1,0 +1,327 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomwork.operators import association as A
+from loomwork.operators import diffscan as D
+from loomwork.operators import evaluation as E
+from loomwork.operators import graph as G
+from loomwork.operators import learning as M
+from loomwork.operators import linking as L
+from loomwork.operators import resolve as R
+from loomwork.operators import retrieval as S
+
+MENTIONS = [(1, "python"), (1, "git"), (2, "python"), (2, "git"), (3, "python"), (4, "git"), (5, "excel"), (5, "misa"), (6, "excel"), (6, "misa"), (7, "excel"), (8, "excel"), (8, "python"), (8, "python"), (None, "git"), (1, None)]
+GROUPS = [(i, "it" if i <= 4 else "acc") for i in range(1, 9)] + [(9, None)]
+
+
+@pytest.fixture(scope="module")
+def mentions(spark):
+    return spark.createDataFrame([(p, s, "technical") for p, s in MENTIONS], "posting_id long, skill string, source string")
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    return spark.createDataFrame(GROUPS, "posting_id long, category string")
+
+
+def test_chi2_grid(mentions, groups):
+    grid = {(r["category"], r["skill"]): r for r in A.chi2_grid(mentions, "posting_id", "skill", groups, "category", 1, 0.5, p_values=True).collect()}
+    assert len(grid) == 8 and grid["it", "excel"]["n_ab"] == 0
+    r = grid["it", "python"]
+    assert (r["rate_in"], r["rate_out"], r["positive"]) == (0.75, 0.25, True)
+    assert r["chi2"] == pytest.approx(8 * (3 * 3 - 1 * 1) ** 2 / (4 * 4 * 4 * 4))
+    assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(r["chi2"] / 2)))
+    assert grid["acc", "excel"]["chi2"] == pytest.approx(8.0) and grid["acc", "excel"]["significant"]
+
+
+def test_group_counts_and_rates(mentions, groups):
+    counts = {(r["category"], r["skill"]): r["n"] for r in A.group_counts(mentions, "posting_id", "skill", groups, "category").where("skill is not null or category is null").collect()}
+    assert counts["it", "python"] == 3 and counts[None, "excel"] == 4 and counts[None, None] == 8
+    rates = {(r["category"], r["skill"]): r["rate"] for r in A.group_rates(mentions, "posting_id", "skill", groups, "category", 1).collect()}
+    assert rates["acc", "excel"] == 1.0 and rates["it", "git"] == 0.75
+
+
+def test_pmi(mentions):
+    got = {(r["item_a"], r["item_b"]): r for r in A.pmi_pairs(mentions, "posting_id", "skill", 10, 2).collect()}
+    assert set(got) == {("excel", "misa"), ("git", "python")}
+    pmi = math.log(2 * 10 / (4 * 2))
+    assert got["excel", "misa"]["pmi"] == pytest.approx(pmi) and got["excel", "misa"]["npmi"] == pytest.approx(pmi / -math.log(0.2))
+    top = {r["item"]: (r["partner"], r["unique_top"]) for r in A.top_partner(A.pmi_pairs(mentions, "posting_id", "skill", least=1)).collect()}
+    assert top["misa"] == ("excel", True) and top["excel"] == ("misa", True)
+
+
+def test_graph(spark, mentions):
+    postings = spark.createDataFrame(
+        [(1, "it", ["hà nội", "huế"], 10.0, "a", "x"), (2, "it", ["hà nội"], 20.0, "a", "x"), (3, "it", ["unknown"], float("nan"), "a", None), (4, "acc", None, 30.0, None, "x"), (5, "acc", ["foreign"], None, "b", "unspecified")],
+        "posting_id long, category string, provinces array<string>, salary_mid double, job_title_node string, education_level string",
+    ).selectExpr("*", "cast(null as string) as salary_band", "cast(null as string) as experience_level")
+    counts = {r["type"]: r["n"] for r in G.type_counts(G.nodes(postings, mentions, least_skill=1), "type").collect()}
+    assert counts == {"JobPosting": 5, "JobTitle": 2, "Category": 2, "Qualification": 1, "Province": 2, "Skill": 4}
+    edges = G.posting_edges(postings)
+    assert sorted(r[0] for r in G.matching(edges, "category:it", "province:hà nội").collect()) == [1, 2]
+    assert [r[0] for r in G.postings_of(edges, "province:huế").collect()] == [1]
+    pay = {r["category"]: (r["n"], r["median"]) for r in G.pay_summary(postings, ["category"]).collect()}
+    assert pay == {"it": (2, 15.0), "acc": (1, 30.0)}
+    near = [(r["posting_id"], r["rank"]) for r in G.nearest_to_median(postings, ["category"]).where("category = 'it'").orderBy("rank").collect()]
+    assert near == [(1, 1), (2, 2)]
+    aliases = spark.createDataFrame([("py", "python"), ("x", "nothing")], "skill string, canonical string")
+    every = G.edges(postings, mentions, aliases, 1, 2, 1, 1, 1.0)
+    rels = {r["rel"] for r in every.select("rel").distinct().collect()}
+    assert {"REQUIRES", "ALIAS_OF", "CO_OCCURS_WITH", "TYPICALLY_REQUIRES", "IN_CATEGORY", "LOCATED_IN"} <= rels
+    assert every.where("rel = 'ALIAS_OF'").count() == 1
+    kept = spark.createDataFrame([("posting:1",), ("category:it",)], "id string")
+    assert G.induced(edges, kept).count() == 1
+    names = spark.createDataFrame([("py",), ("Py3",), ("rust",)], "name string")
+    raw_map = spark.createDataFrame([("Py3", "python")], "raw string, canonical string")
+    skills = spark.createDataFrame([("python",)], "skill string")
+    assert {r["name"]: r["skill"] for r in G.resolve_names(names, raw_map, skills, aliases).collect()} == {"py": "python", "Py3": "python", "rust": None}
+
+
+DOCS = ["kế toán tổng hợp misa excel", "kế toán thuế excel", "lập trình python django", "lập trình java", "bán hàng tư vấn", "", None]
+
+
+def _plain_bm25(docs, query):
+    words = [(d or "").split() for d in docs]
+    toks = [w + [f"{a}_{b}" for a, b in zip(w, w[1:])] for w in words]
+    n, avg = len(docs), sum(map(len, toks)) / len(docs)
+    df = {}
+    for t in toks:
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    idf = {x: math.log(n - d + 0.5) - math.log(d + 0.5) for x, d in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    q = query.split()
+    q += [f"{a}_{b}" for a, b in zip(q, q[1:])]
+    return [sum((0.25 * mean if idf[x] < 0 else idf[x]) * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for x in q if x in idf and x in t) for t in toks]
+
+
+def test_lexical_search_against_plain(spark):
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "posting_id int, doc string")
+    asked = spark.createDataFrame([("q1", "kế toán excel"), ("q2", "kế toán kế toán"), ("q3", "không có gì"), ("q4", None)], "cv_id string, text string")
+    got = {(r["cv_id"], r["posting_id"]): r["score"] for r in S.bm25_search(docs, "posting_id", "doc", asked, "cv_id", "text").collect()}
+    for q, text in (("q1", "kế toán excel"), ("q2", "kế toán kế toán")):
+        for i, score in enumerate(_plain_bm25(DOCS, text)):
+            assert got.get((q, i), 0) == pytest.approx(max(score, 0), abs=1e-9)
+    top = {r["cv_id"]: r["posting_id"] for r in S.tfidf_search(docs, "posting_id", "doc", asked, "cv_id", "text").where("rank = 1").collect()}
+    assert top["q1"] == 1 and "q3" not in top and "q4" not in top
+
+
+def test_fusion_and_dense(spark):
+    def ranking(ids):
+        return spark.createDataFrame([("q", i, r) for r, i in enumerate(ids, 1)], "query string, item int, rank int")
+
+    assert [r["item"] for r in S.fuse([ranking([1, 2, 3]), ranking([2, 3, 4])], "query", "item").orderBy("rank").collect()] == [2, 3, 1, 4]
+    assert [r["item"] for r in S.fuse([ranking([5]), ranking([3])], "query", "item").orderBy("rank").collect()] == [3, 5]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0])], "id int, v array<float>")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query string, qv array<float>")
+    assert [r["id"] for r in S.dense_search(v, "id", "v", q, "query", "qv").orderBy("rank").collect()] == [1, 2]
+
+
+def test_named_skills(spark):
+    names = spark.createDataFrame([("tin học", "tin học"), ("tin học văn phòng", "tin học văn phòng"), ("excel", "excel"), ("văn phòng và excel", "x")], "phrase string, skill string")
+    texts = spark.createDataFrame([("a", "Biết tin học văn phòng và Excel"), ("b", "tin học"), ("c", None), ("d", "")], "q string, text string")
+    got = sorted((r["q"], r["skill"]) for r in S.named_skills(texts, "q", "text", names).collect())
+    assert got == [("a", "excel"), ("a", "tin học văn phòng"), ("b", "tin học")]
+
+
+def test_near_pairs_and_components(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(120, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[5] = v[6]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(999, None)], "id long, v array<float>")
+    v32 = v.astype(np.float32).astype(np.float64)
+    true = {(i, j) for i in range(120) for j in range(i + 1, 120) if v32[i] @ v32[j] >= 0.7}
+    for tile, pivots in ((7, 6), (4096, 64)):
+        got = [(r["a"], r["b"]) for r in R.near_pairs(df, "id", "v", 0.7, pivots=pivots, tile=tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == true
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
+    pairs = spark.createDataFrame(edges, "a long, b long")
+    got = {r["id"]: r["component"] for r in R.components(pairs).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_clusters(spark):
+    assert R.conflicting("python 2", "python 3") and R.conflicting("java", "javascript") and not R.conflicting("excel", "ms excel")
+    unit = {n: np.array([1.0, 0.0]) for n in "abcd"}
+    counts = {"a": 9, "b": 5, "c": 3, "d": 1}
+    chain = [("a", "b", 0.95), ("b", "c", 0.94), ("c", "d", 0.93)]
+    assert R.greedy_clusters(list("abcd"), counts, chain, 20, unit, 0.7) == dict.fromkeys("abcd", "a")
+    assert R.greedy_clusters(list("abcd"), counts, chain, 2, unit, 0.7) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    assert R.greedy_clusters(list("abcd"), counts, chain, 20, unit | {"c": np.array([0.0, 1.0])}, 0.7)["c"] == "c"
+    assert R.greedy_clusters(list("abc"), counts, chain[:2], 20, unit, 0.7, {("a", "c")}) == {"a": "a", "b": "a", "c": "c"}
+    skills = spark.createDataFrame([(n, c, "technical", [float(x) for x in unit[n]]) for n, c in counts.items()], "skill string, count long, kind string, vector array<float>")
+    merged = {r["skill"]: r["canonical"] for r in R.resolve_tiers(skills, 0.9).collect()}
+    assert merged == {"b": "a", "c": "a", "d": "a"}
+    angles = {"e": 0.0, "f": 0.55, "g": 2.0}
+    skills = spark.createDataFrame([(n, 10, "technical", [math.cos(t), math.sin(t)]) for n, t in angles.items()], "skill string, count long, kind string, vector array<float>")
+    told = {r["skill"]: (r["canonical"], r["tier"]) for r in R.resolve_tiers(skills, 0.9, 0.78, lambda b: b["a"] == "e").collect()}
+    assert told == {"f": ("e", "judged")}
+    mentions = spark.createDataFrame([(1, "b"), (1, "a"), (2, "z")], "posting_id long, skill string")
+    merges = spark.createDataFrame([("b", "a")], "skill string, canonical string")
+    assert sorted(map(tuple, R.apply_merges(mentions, merges).collect())) == [(1, "a"), (2, "z")]
+
+
+def test_batches_split_on_failure():
+    asked = []
+
+    def ask(items):
+        asked.append(len(items))
+        if 13 in items:
+            raise RuntimeError
+        return [x % 2 == 0 for x in items]
+
+    assert R.ask_in_batches(list(range(20)), ask, 8) == [x % 2 == 0 for x in range(20)]
+    assert R.ask_in_batches([], ask) == [] and max(asked) <= 8
+
+
+def test_sweep(spark):
+    pairs = spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False), (0.6, True)], "s double, t boolean")
+    sweep = R.threshold_sweep(pairs, F.col("t"), F.col("s"), [0.65, 0.75, 0.95])
+    got = {r["threshold"]: (r["tp"], r["fp"], r["fn"], r["precision"]) for r in sweep.collect()}
+    assert got == {0.65: (2, 1, 1, 2 / 3), 0.75: (2, 0, 1, 1.0), 0.95: (0, 0, 3, None)}
+    assert R.choose_threshold(sweep, 0.95).collect()[0][0] == 0.75
+    assert R.choose_threshold(sweep, 1.1).collect()[0][0] is None
+
+
+def test_ranking_metrics(spark):
+    ranks = spark.createDataFrame([("q", "s", i, r) for r, i in enumerate([5, 3, 9, 1], 1)], "cv_id string, system string, posting_id long, rank int")
+    grades = spark.createDataFrame([("q", 3, 2), ("q", 1, 1), ("q", 7, 2)], "cv_id string, posting_id long, grade int")
+    m = E.ranking_metrics(ranks, grades, "cv_id", "posting_id", 4).collect()[0]
+    ideal = 2 / math.log2(2) + 2 / math.log2(3) + 1 / math.log2(4)
+    assert (m["recall"], m["mrr"]) == (0.5, 0.5) and m["ndcg"] == pytest.approx((2 / math.log2(3) + 1 / math.log2(5)) / ideal)
+    p = E.labelled_precision(ranks, grades, "cv_id", "posting_id", 4).collect()[0]
+    assert (p["n"], p["share_2"], p["share_1"]) == (2, 0.5, 1.0)
+
+
+def test_agreement(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 2), (2, 0), (None, 1)], "a int, b int")
+    k = E.kappa(df, "a", "b").collect()[0]
+    chance = (2 * 2 + 1 * 2 + 2 * 1) / 25
+    assert k["n"] == 5 and k["agreement"] == 0.6 and k["kappa"] == pytest.approx((0.6 - chance) / (1 - chance))
+    assert E.kappa(df, "a", "b", linear=True).collect()[0]["kappa"] is not None
+    report = E.classification_report(df.dropna(), "a", "b", [0, 1, 2]).collect()[0]
+    assert report["accuracy"] == 0.6 and report["macro_f1"] == pytest.approx((0.5 + 2 / 3 + 2 / 3) / 3)
+    pr = E.precision_recall(spark.createDataFrame([(True, True)] * 3 + [(False, True), (True, False)], "t boolean, p boolean"), F.col("t"), F.col("p")).collect()[0]
+    assert (pr["precision"], pr["recall"], pr["f1"]) == (0.75, 0.75, 0.75)
+
+
+def test_bootstrap(spark):
+    same = spark.createDataFrame([(i, 0.5, 0.5) for i in range(6)], "q int, a double, b double")
+    r = E.bootstrap(same, "q", 50).collect()[0]
+    assert (r["diff"], r["p"]) == (0.0, 1.0)
+    r = E.bootstrap(same.withColumn("a", F.col("a") + 0.1), "q", 50).collect()[0]
+    assert r["low"] > 0 and r["p"] < 0.05
+    with pytest.raises(ValueError):
+        E.bootstrap(same.limit(1), "q", 5)
+
+
+def test_samples(spark):
+    df = spark.createDataFrame([(i, "a" if i < 500 else "b" if i < 800 else None) for i in range(1000)], "posting_id long, category string")
+    split = E.stratified_split(df, "posting_id", "category")
+    counts = {(r["category"], r["split"]): r["count"] for r in split.join(df, "posting_id").groupBy("category", "split").count().collect()}
+    assert counts == {(c, s): round(n * f) for c, n in (("a", 500), ("b", 300), (None, 200)) for s, f in (("train", 0.8), ("val", 0.1), ("test", 0.1))}
+    again = E.stratified_split(df.orderBy(F.desc("posting_id")), "posting_id", "category")
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, again.collect()))
+    grades = spark.createDataFrame([(str(i), i, 0 if i < 60 else 1 if i < 80 else 2 if i < 89 else None) for i in range(90)], "cv_id string, posting_id long, grade int")
+    got = E.sample_by_grade(grades, ["cv_id", "posting_id"], "grade", 60, 1).groupBy("grade").count().collect()
+    assert sum(r["count"] for r in got) == 60 and {r["grade"]: r["count"] for r in got}[2] == 9
+    assert E.sample_ids(df, "posting_id", 10, 3).distinct().count() == 10
+    bins = E.sample_bins(spark.createDataFrame([(i, i / 100) for i in range(100)], "k int, s double"), "s", [0.0, 0.5, 0.9], 7, 1, ["k"])
+    assert bins.groupBy("bin").count().count() == 2 and bins.count() == 14
+    assert {r["split"] for r in E.alternate(df.limit(9), "category", "posting_id", 1).collect()} == {"dev", "test"}
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([("Lương trung vị là 12,5 triệu, có 40 tin, 50,9%.",)], "said string")
+    checks = [("salary", 12.55, True), ("salary", 13.0, False), ("count", 40.0, True), ("count", 41.0, False), ("rate", 51.0, True), ("rate", 52.0, False)]
+    for kind, x, ok in checks:
+        assert df.select(E.answered(F.col("said"), F.lit(x), kind)).collect()[0][0] is ok
+    assert df.select(E.answered(F.col("said"), F.lit("TRUNG VỊ"), "name")).collect()[0][0]
+    assert df.select(E.citation_precision(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2)))).collect()[0][0] == 0.5
+    assert df.select(E.mentioned_share(F.array(F.lit("lương"), F.lit("sql")), F.col("said"))).collect()[0][0] == 0.5
+
+
+def test_linking(spark):
+    names = L.Names(["kế_toán_kiểm_toán"], {"kế toán tổng hợp": "kế toán tổng hợp", "lập trình viên": "lập trình viên"}, {"excel": "excel", "python": "python", "kế toán tổng hợp": "kế toán tổng hợp"})
+    got = L.link("Tôi biết Excel và Python, muốn làm kế toán tổng hợp ở Hà Nội, 3 năm kinh nghiệm, năm 2024", names)
+    assert got["titles"] == ["kế toán tổng hợp"] and got["skills"] == ["excel", "python"] and got["provinces"] == ["hà nội"]
+    assert got["experience"] == "3_4y" and got["other_years"] == [2024] and not got["foreign"]
+    assert L.link("Ngành kế toán kiểm toán ở Nhật Bản", names)["foreign"]
+    assert L.link("ngành kế toán kiểm toán", names)["categories"] == ["kế_toán_kiểm_toán"]
+    assert L.months_said("dưới 2 năm") == 23 and L.months_said("2-3 năm") == 24 and L.months_said("gì đó") is None
+    texts = spark.createDataFrame([(1, "làm lập trình viên"), (2, None), (3, "")], "id int, text string")
+    rows = {r["id"]: r for r in L.link_entities(texts, "id", "text", names).collect()}
+    assert rows[1]["titles"] == ["lập trình viên"] and rows[2]["skills"] == [] and rows[3]["experience"] is None
+
+
+def test_verify(spark):
+    facts = [("lương trung vị 12,5 triệu, theo 40 tin", [12.5, 40.0], [7, 8])]
+    rows = [("Lương 12.500.000 đồng [#7], 1. mục", [8]), ("Lương 13 triệu", []), ("Theo #999999", []), ("1. một\n2. hai", [])]
+    df = spark.createDataFrame([(*r, "3 năm", facts) for r in rows], "said string, cited array<bigint>, asked string, facts array<struct<text:string,values:array<double>,sources:array<bigint>>>")
+    got = [(r["bad_numbers"], r["bad_citations"]) for r in L.verify(df, "said", "cited", "asked", "facts").collect()]
+    assert got[1] == ([13.0], []) and got[2][1] == [999999] and got[3] == ([], [])
+
+
+DIFF = '''diff --git a/tests/test_a.py b/tests/test_a.py
+--- a/tests/test_a.py
++++ b/tests/test_a.py
+@@ -1,3 +1,4 @@
+-    assert x == 1
+--- old text
++    try:
++    except Exception:
++        pass
+diff --git a/RULES.md b/RULES.md
+--- a/RULES.md
++++ b/RULES.md
+@@ -1 +1 @@
+-| recall | 0,80 | must not fall |
++| recall | 0,70 | must not fall |
+-| gone | 1 | must not rise |
++| new | 1 | must not rise |
+'''
+
+
+def test_diff(spark):
+    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(DIFF.splitlines())], "diff string, n int, text string")
+    changed = D.parse(lines, ["diff"])
+    assert changed.where("file = 'tests/test_a.py' and sign = '-'").count() == 2
+    assert [r["lost"] for r in D.lost_assertions(changed, ["diff"]).collect()] == [1]
+    assert D.empty_handlers(changed, ["diff"]).count() == 1
+    assert {(r["key"], r["rule"]) for r in D.changed_rows(changed, ["diff"], "RULES.md", "not fall", "not rise").collect()} == {("recall", "row-loosened"), ("gone", "row-removed"), ("new", "row-added")}
+    assert D.rule_hits(changed, [("try", r"\.py$", r"^\s*try:")], ["diff"]).count() == 1
+
+
+def test_learning(spark):
+    docs = spark.createDataFrame([(i, "mèo kêu meo meo" if i % 2 else "chó sủa gâu gâu", "cat" if i % 2 else "dog") for i in range(60)] + [(99, None, None)], "id int, text string, label string")
+    words = {r["word"]: r["id"] for r in M.vocabulary(docs, "text", 2).collect()}
+    assert words["gâu"] == 2 and words["meo"] == 3
+    coded = {r["id"]: (r["ids"], r["n"]) for r in M.encoded(docs, "id", "text", M.vocabulary(docs, "text", 2), 5).collect()}
+    assert coded[0][1] == 4 and coded[0][0][-1] == 0 and coded[99] == ([1, 0, 0, 0, 0], 1)
+    assert M.cut_length(docs, "text").collect()[0][0] == 4
+    assert docs.select(M.majority(docs, "label")).collect()[0][0] == "cat"
+    model, score = M.logistic(docs, docs, "text", "label", (1.0,), 64)
+    assert score == 1.0
+    assert M.predict(model, docs, "id", "text", "label").where("label = predicted").count() == 60
+
+
+def test_random_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
+    parent = list(range(80))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r["id"]: r["component"] for r in R.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for e in edges for i in e if e[0] != e[1]} | {i: find(i) for a, b in edges if a != b for i in (a, b)}
