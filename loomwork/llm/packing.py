@@ -16,6 +16,10 @@ there are, so the plan is made on the driver:
   there are; what is left, a number of items bounded by the rounds and not by
   the data, is packed best-fit from the longest down.
 
+The first prices come from a best-fit packing of the whole histogram; should
+that packing need fewer containers than the rounded program (it can where most
+items exceed half a container), it is the plan.
+
 Then each item's rank among the items of its length, found by counting in hash
 buckets, gives its container by looking up the plan's rank ranges. No length
 is gathered in one task.
@@ -109,7 +113,8 @@ def make_plan(histogram: dict[int, int], capacity: int, step: float = 0.5, eta:
     demand = np.array([histogram[int(k)] for k in lengths], np.int64)
     covered = np.zeros(len(lengths))
     weight = np.ones(len(lengths))
-    price = lengths / capacity
+    plain = best_fit(lengths, demand, capacity)
+    price = _prices(plain, lengths)
     fillings: list[np.ndarray] = []
     uses: list[float] = []
     while True:
@@ -142,31 +147,62 @@ def make_plan(histogram: dict[int, int], capacity: int, step: float = 0.5, eta:
             left[inside] -= whole[inside] * n
             plan.use([(int(lengths[i]), int(whole[i])) for i in inside], n, taken)
         carry = min(carry, 1.0)
-    for filling in _best_fit(lengths, left, capacity):
-        plan.use(filling, 1, taken)
-    return plan
-
-
-def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[list[tuple[int, int]]]:
-    """Best fit from the longest item down."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    filled = np.zeros(capacity + 1, np.int64)  # containers with so much room
-    content: list[dict[int, int]] = []
-    for i in range(len(lengths) - 1, -1, -1):
-        length = int(lengths[i])
-        for _ in range(int(left[i])):
-            fit = np.flatnonzero(filled[length:])
+    for filling, times in best_fit(lengths, left, capacity):
+        plan.use(sorted(filling.items()), times, taken)
+    if plan.containers - histogram.get(capacity, 0) <= sum(n for _, n in plain):
+        return plan
+    simple, taken = Plan(capacity, lp_value=plan.lp_value), {}
+    if capacity in histogram:
+        simple.use([(capacity, 1)], histogram[capacity], taken)
+    for filling, times in plain:
+        simple.use(sorted(filling.items()), times, taken)
+    return simple
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit from the longest item down, as (filling, how often). Containers
+    filled alike are one group, so the work depends on the histogram only."""
+    groups: dict[int, list[list]] = {}  # by room: [filling, how many]
+    rooms = np.zeros(capacity + 1, np.int64)
+
+    def put(room: int, filling: dict[int, int], n: int) -> None:
+        for g in groups.setdefault(room, []):
+            if g[0] == filling:
+                g[1] += n
+                break
+        else:
+            groups[room].append([filling, n])
+        rooms[room] += n
+
+    for i in np.argsort(-lengths, kind="stable"):
+        length, n = int(lengths[i]), int(left[i])
+        while n > 0:
+            fit = np.flatnonzero(rooms[length:])
             if len(fit):
                 room = length + int(fit[0])
-                box = by_room[room].pop()
-                filled[room] -= 1
+                filling, many = groups[room].pop()
+                rooms[room] -= many
             else:
-                room, box = capacity, len(content)
-                content.append({})
-            content[box][length] = content[box].get(length, 0) + 1
-            by_room[room - length].append(box)
-            filled[room - length] += 1
-    return [sorted(c.items()) for c in content]
+                room, filling, many = capacity, {}, n
+            each = min(room // length, n)
+            boxes = min(many, n // each)
+            put(room - each * length, filling | {length: each}, boxes)
+            n -= boxes * each
+            if len(fit) and many > boxes:
+                put(room, filling, many - boxes)
+    return [(f, k) for gs in groups.values() for f, k in gs if k]
+
+
+def _prices(fillings: list[tuple[dict[int, int], int]], lengths: np.ndarray) -> np.ndarray:
+    """Each length's mean share of the used room of its containers: what it
+    costs where containers can't be filled up."""
+    cost, many = dict.fromkeys(map(int, lengths), 0.0), dict.fromkeys(map(int, lengths), 0)
+    for filling, times in fillings:
+        used = sum(k * n for k, n in filling.items())
+        for k, n in filling.items():
+            cost[k] += times * n * k / used
+            many[k] += times * n
+    return np.array([cost[int(k)] / many[int(k)] for k in lengths])
 
 
 def ranked(items: DataFrame, by: str, key: str, buckets: int) -> DataFrame:
