@@ -48,9 +48,25 @@ def tidy(text: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text).lower()).strip()
 
 
+class _Unmarked(dict):
+    """Letter to letter without marks, found out once per letter."""
+
+    def __missing__(self, code: int) -> str:
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        self[code] = bare = "d" if bare == "đ" else bare
+        return bare
+
+
+_UNMARKED = _Unmarked()
+
+
 def plain(text: str) -> str:
     """Without tone marks and letter marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d")) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_UNMARKED)
+
+
+_FIRST = tuple(plain(w) + " " for w in BEFORE)
+_LAST = tuple(" " + plain(w) for w in AFTER)
 
 
 def squeezed(text: str) -> str:
@@ -106,6 +122,7 @@ class Trie:
     def __init__(self) -> None:
         self.root: dict = {}
         self.longest = 0
+        self.frozen: tuple | None = None
 
     def add(self, path: str, payload: object) -> None:
         node = self.root
@@ -113,6 +130,7 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault("", []).append(payload)
         self.longest = max(self.longest, len(path))
+        self.frozen = None
 
     def exact(self, text: str) -> list:
         node = self.root
@@ -122,39 +140,58 @@ class Trie:
                 return []
         return node.get("", [])
 
+    def _freeze(self, node: dict, depth: int) -> tuple:
+        """(payloads, children, shortest and longest path through the node)."""
+        ends = tuple(node.get("", ()))
+        low, high = (depth, depth) if ends else (1 << 30, 0)
+        children = []
+        for c, child in node.items():
+            if c:
+                below = self._freeze(child, depth + 1)
+                children.append((c, below, below[2], below[3]))
+                low, high = min(low, below[2]), max(high, below[3])
+        return ends, tuple(children), low, high
+
     def within(self, text: str, k: int) -> list[tuple[int, object]]:
-        """(distance, payload) of every path within ``k`` edits of ``text``."""
+        """(distance, payload) of every path within ``k`` edits of ``text``.
+        Bit i of state d says that the first i letters are reached with at most d
+        edits; paths too short or too long for the text are not entered."""
         if k == 0:
             return [(0, p) for p in self.exact(text)]
         m = len(text)
         if m > self.longest + k:
             return []
+        if self.frozen is None:
+            self.frozen = self._freeze(self.root, 0)
         masks: dict[str, int] = {}
         for i, c in enumerate(text):
             masks[c] = masks.get(c, 0) | 1 << (i + 1)
-        final = 1 << m
+        final, every = 1 << m, (1 << (m + 1)) - 1
+        short, long = m - k, m + k
         found: list[tuple[int, object]] = []
-        start = tuple((1 << (d + 1)) - 1 for d in range(k + 1))
         levels = range(1, k + 1)
-        stack = [(self.root, start, None, 0)]
+        # the last two states: a swap goes from the one before last
+        stack = [(self.frozen, [(1 << (d + 1)) - 1 for d in range(k + 1)], [0] * (k + 1), 0)]
         while stack:
-            node, now, last, last_mask = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    for d, bits in enumerate(now):
-                        if bits & final:
-                            found += [(d, p) for p in child]
-                            break
+            (ends, children, _, _), now, last, last_mask = stack.pop()
+            if ends:
+                for d, bits in enumerate(now):
+                    if bits & final:
+                        found += [(d, p) for p in ends]
+                        break
+            for c, child, low, high in children:
+                if high < short or low > long:
                     continue
                 mask = masks.get(c, 0)
-                new = [(now[0] << 1) & mask]
+                swap = (mask << 1) & last_mask
+                before = (now[0] << 1) & mask
+                new = [before]
                 for d in levels:
-                    bits = ((now[d] << 1) & mask) | now[d - 1] | (now[d - 1] << 1) | (new[d - 1] << 1)
-                    if last is not None:
-                        bits |= (last[d - 1] << 2) & (mask << 1) & last_mask
-                    new.append(bits & ((final << 1) - 1))
-                if new[k]:
-                    stack.append((child, tuple(new), now, mask))
+                    less = now[d - 1]
+                    before = (((now[d] << 1) & mask) | less | ((less | before) << 1) | ((last[d - 1] << 2) & swap)) & every
+                    new.append(before)
+                if before:
+                    stack.append((child, new, now, mask))
         return found
 
 
@@ -173,6 +210,7 @@ class Matcher:
             for s in spelled:
                 exact.setdefault(squeezed(plain(s)), key)
         self.cache: dict[tuple[str, str], int] = {}
+        self.seen: dict[str, tuple[int, float]] = {}
         for key, spelled in self.names.items():
             for s in spelled:
                 paths = {squeezed(plain(s))}
@@ -202,17 +240,12 @@ class Matcher:
             before = text
             text = VERSION.sub("", text)
             low = plain(text)
-            for w in BEFORE:
-                p = plain(w) + " "
-                if low.startswith(p):
-                    text = text[len(p) :].strip()
-                    break
-            else:
-                for w in AFTER:
-                    p = " " + plain(w)
-                    if low.endswith(p):
-                        text = text[: -len(p)].strip()
-                        break
+            if low.startswith(_FIRST):
+                p = next(w for w in _FIRST if low.startswith(w))
+                text = text[len(p) :].strip()
+            elif low.endswith(_LAST):
+                p = next(w for w in _LAST if low.endswith(w))
+                text = text[: -len(p)].strip()
             if text == before or not text:
                 break
             out.append(text)
@@ -226,11 +259,11 @@ class Matcher:
             out += [form, keyed] if keyed else [form]
         return out
 
-    def candidates(self, value: str) -> list[tuple[float, float, int]]:
+    def candidates(self, value: str, typed: list[str] | None = None) -> list[tuple[float, float, int]]:
         """(distance, tie distance, id) of all entries within the bound of any
         form, nearest first, one row an entry."""
         best: dict[int, tuple[float, float]] = {}
-        for t in self._typed(value):
+        for t in typed or self._typed(value):
             p = squeezed(plain(t))
             for d, (key, spelled, extra) in self.trie.within(p, bound(len(p))):
                 if d + 0.5 * extra <= best.get(key, (1e9, 0))[0]:
@@ -239,6 +272,14 @@ class Matcher:
         return sorted((d, tie, key) for key, (d, tie) in best.items())
 
     def _lookup(self, value: str) -> tuple[int, float]:
+        """(id, distance) of the nearest entry, kept for values seen again in another cell."""
+        if value not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[value] = self._nearest(value)
+        return self.seen[value]
+
+    def _nearest(self, value: str) -> tuple[int, float]:
         typed = self._typed(value)
         for t in typed:  # spelled right but for marks and blanks: nothing can be nearer
             hits = {key for key, _, extra in self.trie.exact(squeezed(plain(t))) if not extra}
@@ -248,7 +289,7 @@ class Matcher:
             ids = self.initials.get(t, ())
             if len(t) > 2 and len(ids) == 1:
                 return next(iter(ids)), 0.0
-        got = self.candidates(value)
+        got = self.candidates(value, typed)
         return (got[0][2], got[0][0]) if got else (0, 1e9)
 
     def resolve(self, value: str | None, context: str | None = None) -> int:
