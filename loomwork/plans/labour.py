@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.functions.maths import present
-from loomwork.operators import association, cleaning, evaluation, graph, learning, linking, resolve, retrieval
+from loomwork.operators import association, cleaning, evaluation, graph, labels, learning, linking, questions, resolve, retrieval
 from loomwork.operators.units import small_rows
 from loomwork.session import table
 from loomwork.streaming import windows
@@ -544,6 +544,26 @@ def sampled_by_grade(spark, sf):
     return evaluation.sample_by_grade(_grades(spark, sf), ["cv_id", "posting_id"], "grade", 99, 7)
 
 
+@query()
+def question_set(spark, sf):
+    """Templated questions with answers from the tables alone."""
+    return rounded(questions.question_set(postings(spark, sf), mentions(spark, sf)), "number")
+
+
+@query()
+def label_sheet(spark, sf):
+    """Pairs of spellings of one skill to be labelled, dev and test in turn."""
+    rows = table(spark, sf, "posting_skills").where(F.col("skill").isNotNull() & F.col("raw").isNotNull()).select("raw", F.col("skill").alias("canonical"))
+    return labels.label_sheet(labels.spelling_pairs(rows, 60, 7), 7)
+
+
+@query()
+def shown_matches(spark, sf):
+    """What a search shows: each hit's title, pay, and the skills it shares with the CV."""
+    hits = retrieval.bm25_search(_short_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text")
+    return retrieval.match_table(hits, "cv_id", "posting_id", cv_skills(spark, sf), postings(spark, sf), mentions(spark, sf))
+
+
 # vectors: near pairs, clusters, thresholds
 
 NEAR = 0.35
