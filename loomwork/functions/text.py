@@ -64,12 +64,19 @@ def syllables(x: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(col(x)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with ``x`` worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def tokens(x: Column | str) -> Column:
     """Syllables, then neighbouring pairs joined by '_'."""
-    one = syllables(x)
-    many = F.size(one)
-    pairs = F.when(many > 1, F.zip_with(F.slice(one, 1, F.greatest(many - 1, F.lit(0))), F.slice(one, 2, F.greatest(many - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(one, pairs)
+
+    def with_pairs(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat_ws("_", a, b)))
+
+    return once(syllables(x), with_pairs)
 
 
 def joined(*parts: Column | str, sep: str = ". ") -> Column:
