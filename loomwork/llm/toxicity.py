@@ -15,7 +15,8 @@ worst sentence.
 The model is trained on the driver from reviewers' marks, on at most ``MARKED``
 marked documents chosen by hash; every document is scored, whole. Marks name
 documents, not sentences: a marked document's worst sentence stands for it and
-is chosen anew in every round. Marks that a model trained without them strongly
+is chosen anew in every round. Unmarked documents weigh a little as clear ones,
+but for sentences the last round was sure of. Marks that a model trained without them strongly
 contradicts are taken as mistakes and left out, and the
 threshold is the one that does best on those held-out scores.
 
@@ -43,14 +44,17 @@ UNMARKED = 10_000  # unmarked documents that weigh a little as clear ones
 OTHER_WEIGHT = 0.3
 DOUBTED = 0.1
 MOST_WEIGHT = 8.0
+SURE = 1.5  # logit from which an unmarked document's worst sentence is learned as a case
 BITS = 17
 FACTORS = 8
 
 INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
-APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-_·|]+[^\W\d_])+[.\-_·|]*(?![^\W\d_])|(?<![^\W\d_])[^\W\d_](?:\*[^\W\d_]){2,}\*?(?![^\W\d_*])")
+APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-_·|]+[^\W\d_])+(?![^\W\d_])|(?<![^\W\d_])[^\W\d_](?:\*[^\W\d_]){2,}\*?(?![^\W\d_*])")
 SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_])+(?!\S|\w)")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 DIGITS = str.maketrans("0134578@$9", "oieastbasg")  # digits written for letters
+# What stands behind a figure as a measure.
+MEASURES = frozenset("k tr km m kg th h p cm s đ x st nd rd g pm am t usd vnd y yr yrs mm gb mb w v d l ml ha tỷ triệu".split())
 MIXED = re.compile(r"[\w@$*]*[^\W\d_][\w@$*]*")
 SENTENCE = re.compile(r"[.!?\n;…]+(?=\s|$)|\n+|[^\w\s.,!?;:'\"()*%/&+\-–—…\[\]]+")
 WORD = re.compile(r"[^\W_]+(?:\*+[^\W_]*)*|\*+[^\W_]+")
@@ -64,7 +68,7 @@ def _unleet(match: re.Match) -> str:
     word = match.group()
     if not re.search(r"[0-9@$]", word) or word.isdigit():
         return word
-    if sum(c.isdigit() for c in word) > 4 or re.fullmatch(r"\d+[^\W\d_]{1,3}", word) and len(word) > 3:
+    if sum(c.isdigit() for c in word) > 4 or word.lstrip("0123456789") in MEASURES:
         return word
     return word.translate(DIGITS)
 
@@ -238,11 +242,15 @@ def _train(bags: list[list[np.ndarray]], y: np.ndarray, others: list[list[np.nda
                     sample[key, 1.0] += 2.0
                 else:
                     sample[key, 0.0] += 0.3
-        for b in others:
-            for s in b:
+        sure, likely = _bag_scores(m, others) if r and others else (np.full(len(others), -20.0), None)
+        for i, b in enumerate(others):
+            for k, s in enumerate(b):
                 key = s.tobytes()
                 terms_of[key] = s
-                sample[key, 0.0] += OTHER_WEIGHT * min(1.0, len(bags) / len(others))
+                if sure[i] > SURE and k == likely[i]:
+                    sample[key, 1.0] += 1.0
+                else:
+                    sample[key, 0.0] += OTHER_WEIGHT * min(1.0, len(bags) / len(others))
         keys = list(sample)
         total: dict[bytes, float] = defaultdict(float)
         for (key, _), n in sample.items():
