@@ -98,11 +98,29 @@ def matching(edges_: DataFrame, *wanted: str) -> DataFrame:
     return hits.groupBy(F.substring_index("src", ":", -1).cast("long").alias("posting_id")).agg(F.count_distinct("dst").alias("_n")).where(F.col("_n") == len(set(wanted))).select("posting_id")
 
 
+def quantiles_of(rows: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...]) -> DataFrame:
+    """``(by..., n, q)``: exact quantiles with linear interpolation. Equal values
+    are counted before the shuffle, and the ranks wanted are picked from running
+    counts, a sort that can spill; no group is held in memory."""
+    counted = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    over = Window.partitionBy(*by)
+    at = [F.lit(float(q)) * (F.col("n") - 1) for q in quantiles]
+    step = counted.withColumns({"n": F.sum("_c").over(over), "_last": F.sum("_c").over(over.orderBy("_x"))})
+    ranks = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    held = step.withColumn("_ranks", ranks).withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _last - _c and r < _last)")).where(F.size("_ranks") > 0)
+    found = held.select(*by, "n", "_x", F.explode("_ranks").alias("_r")).groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
+
+    def between(a: Column) -> Column:
+        low, high = F.element_at("_m", F.floor(a).cast("long")), F.element_at("_m", F.ceil(a).cast("long"))
+        return low + (high - low) * (a - F.floor(a))
+
+    return found.select(*by, "n", F.array(*[between(a) for a in at]).alias("q"))
+
+
 def pay_summary(postings: DataFrame, by: list[str], pay: str = "salary_mid") -> DataFrame:
     """``(by..., n, q1, median, q3)`` with linear interpolation; missing pay doesn't count."""
-    rows = postings.withColumn("_x", present(pay)).where(F.col("_x").isNotNull())
-    q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), q.alias("_q")).select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantiles_of(postings, by, pay, (0.25, 0.5, 0.75))
+    return q.select(*by, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
 
 
 def nearest_to_median(postings: DataFrame, by: list[str], pay: str = "salary_mid", k: int = 5) -> DataFrame:
