@@ -166,3 +166,10 @@ def resolve_names(names: DataFrame, raw_map: DataFrame, skills: DataFrame, alias
     first = names.join(raw_map.select(F.col("raw").alias("name"), "canonical"), "name", "left").withColumn("_s", F.coalesce("canonical", "name"))
     second = first.join(aliases.select(F.col("skill").alias("_s"), F.col("canonical").alias("_to")), "_s", "left").withColumn("_t", F.coalesce("_to", "_s"))
     return second.join(skills.select(F.col("skill").alias("_t"), F.lit(True).alias("_is")), "_t", "left").select("name", F.when(F.col("_is"), F.col("_t")).alias("skill"))
+
+
+def dominant(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, value, n)``: the commonest value of every group, ties to the smaller one."""
+    counts = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(group).orderBy(F.desc("n"), value)
+    return counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")

@@ -293,6 +293,37 @@ def skill_tables(spark, sf):
     return cleaning.first_mentions(parts, "row_id").select("row_id", "source", "raw", "skill")
 
 
+@query("WITH c AS (SELECT job_title_node, category, count(*) AS n FROM postings WHERE job_title_node IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY job_title_node ORDER BY n DESC, category) AS k FROM c) SELECT job_title_node, category, n FROM r WHERE k = 1")
+def dominant_category(spark, sf):
+    return graph.dominant(postings(spark, sf), "job_title_node", "category")
+
+
+@query(
+    f"""WITH {_M}, t AS (SELECT posting_id, job_title_node FROM postings WHERE job_title_node IS NOT NULL), h AS (SELECT DISTINCT posting_id FROM m WHERE skill = 'giao tiếp')
+SELECT job_title_node, count(*) AS n, count(h.posting_id) AS n_with, round(count(h.posting_id) / CAST(count(*) AS DOUBLE), 6) AS rate FROM t LEFT JOIN h USING (posting_id) GROUP BY 1"""
+)
+def skill_rate(spark, sf):
+    """How often each title asks for one skill, titles that never do too."""
+    holders = mentions(spark, sf).where(F.col("skill") == "giao tiếp").select("posting_id").distinct().withColumn("_has", F.lit(1))
+    titled = postings(spark, sf).where(F.col("job_title_node").isNotNull()).join(holders, "posting_id", "left")
+    return rounded(titled.groupBy("job_title_node").agg(F.count("*").alias("n"), F.count("_has").alias("n_with")).withColumn("rate", F.col("n_with") / F.col("n")), "rate")
+
+
+@query("SELECT skill, count(*) AS n FROM posting_skills p WHERE skill IS NOT NULL AND NOT EXISTS (SELECT 1 FROM skill_ref r WHERE r.skill = p.skill) GROUP BY 1")
+def unlisted_skills(spark, sf):
+    """Names the reference list doesn't have, and how many rows use them."""
+    rows = table(spark, sf, "posting_skills").where(F.col("skill").isNotNull())
+    return rows.join(table(spark, sf, "skill_ref").select("skill"), "skill", "left_anti").groupBy("skill").agg(F.count("*").alias("n"))
+
+
+@query()
+def rule_resolution(spark, sf):
+    """How far the naming rules alone get from the typed cell to the stored skill, by source."""
+    rows = table(spark, sf, "posting_skills").where(F.col("skill").isNotNull() & F.col("raw").isNotNull()).select("source", "skill", "raw")
+    names = rows.select("raw").distinct().withColumn("said", cleaning.canonical_skill("raw"))  # each cell is worked out once
+    return rounded(evaluation.precision_recall(rows.join(names, "raw"), F.lit(True), F.col("said") == F.col("skill"), ["source"]), "precision", "recall", "f1")
+
+
 # the graph
 
 _NODES = f"""SELECT 'posting:' || posting_id AS id, 'JobPosting' AS type, CAST(posting_id AS VARCHAR) AS name FROM postings
