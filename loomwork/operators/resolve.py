@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.session import cut
@@ -91,7 +91,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         down = large.where(F.col("u") > F.col("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
-        edges = cut(small)
+        edges = cut(small, replaces=edges)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
         if now == before:
             break
@@ -115,47 +115,50 @@ def conflicting(a: str, b: str, forbidden: set[tuple[str, str]] = frozenset()) -
     return bool(x and y and x != y)
 
 
+def representative(group: list[str], counts: dict[str, int]) -> str:
+    """The commonest name, of those the shortest, then the smallest."""
+    return min(group, key=lambda n: (-counts.get(n, 0), len(n), n))
+
+
+def may_join(x: list[str], y: list[str], counts: dict[str, int], most: int, vectors: dict[str, np.ndarray] | None, floor: float, forbidden: set[tuple[str, str]]) -> bool:
+    """Whether two clusters may become one."""
+    both = x + y
+    if len(both) > most or any(conflicting(m, n, forbidden) for m in x for n in y):
+        return False
+    h = representative(both, counts)
+    return vectors is None or all(float(np.dot(vectors[m], vectors[h])) >= floor for m in both if m != h)
+
+
 def greedy_clusters(names: list[str], counts: dict[str, int], pairs: list[tuple[str, str, float]], most: int, vectors: dict[str, np.ndarray] | None, floor: float, forbidden: set[tuple[str, str]] = frozenset()) -> dict[str, str]:
     """Name to representative: pairs from the best down join their clusters
     unless that grows beyond ``most``, puts conflicting names together, or
     leaves a member whose cosine with the new representative is below ``floor``."""
     home = {n: n for n in names}
     members = {n: [n] for n in names}
-
-    def head(group: list[str]) -> str:
-        return min(group, key=lambda n: (-counts.get(n, 0), len(n), n))
-
     for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
         x, y = home[a], home[b]
-        if x == y or len(members[x]) + len(members[y]) > most:
-            continue
-        if any(conflicting(m, n, forbidden) for m in members[x] for n in members[y]):
-            continue
-        both = members[x] + members[y]
-        h = head(both)
-        if vectors is not None and any(float(np.dot(vectors[m], vectors[h])) < floor for m in both if m != h):
+        if x == y or not may_join(members[x], members[y], counts, most, vectors, floor, forbidden):
             continue
-        members[x] = both
+        members[x] += members[y]
         for m in members.pop(y):
             home[m] = x
-    return {n: head(members[home[n]]) for n in names}
+    return {n: representative(members[home[n]], counts) for n in names}
 
 
-MAX_COMPONENT = 200_000
+MAX_COMPONENT = 20_000
 
 
-def merge_clusters(pairs: DataFrame, skills: DataFrame, most: int = 20, floor: float = 0.7, with_vectors: bool = True, forbidden: set[tuple[str, str]] = frozenset()) -> DataFrame:
+def merge_clusters(pairs: DataFrame, skills: DataFrame, most: int = 20, floor: float = 0.7, with_vectors: bool = True, forbidden: set[tuple[str, str]] = frozenset(), largest: int = MAX_COMPONENT) -> DataFrame:
     """``(skill, canonical)`` of the names that merge. Greedy order only matters
-    within a connected component, so each is one group; ``pairs`` has (a, b,
-    score), ``skills`` (skill, count, vector). A component of more than
-    ``MAX_COMPONENT`` names means the threshold is too low and is refused."""
-    found = components(pairs)
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("m")).collect()[0]["m"]
-    if sizes and sizes > MAX_COMPONENT:
-        raise ValueError(f"a component of {sizes} names; raise the threshold")
-    ends = pairs.join(found.withColumnRenamed("id", "a"), "a").select("component", "a", "b", "score")
-    names = found.withColumnRenamed("id", "skill").join(skills, "skill").select("component", F.col("skill").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("score"), F.col("count").alias("n"), (F.col("vector") if with_vectors else F.lit(None).cast("array<float>")).alias("v"))
-    rows = names.unionByName(ends.select("component", "a", "b", "score", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<float>").alias("v")))
+    within a connected component, so each of up to ``largest`` names is one
+    group; larger ones go through :func:`merge_in_rounds`, with the same result.
+    ``pairs`` has (a, b, score), ``skills`` (skill, count, vector)."""
+    found = cut(components(pairs))
+    sizes = found.groupBy("component").agg(F.count("*").alias("_size"))
+    ends = pairs.join(found.withColumnRenamed("id", "a"), "a").join(sizes, "component").select("component", "_size", "a", "b", "score")
+    vector = F.col("vector") if with_vectors else F.lit(None).cast("array<float>")
+    names = found.withColumnRenamed("id", "skill").join(skills, "skill").join(sizes, "component").select("component", "_size", F.col("skill").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("score"), F.col("count").alias("n"), vector.alias("v"))
+    rows = names.unionByName(ends.select("component", "_size", "a", "b", "score", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<float>").alias("v")))
 
     def work(b: pd.DataFrame) -> pd.DataFrame:
         node, edge = b[b["b"].isna()], b[b["b"].notna()]
@@ -165,7 +168,51 @@ def merge_clusters(pairs: DataFrame, skills: DataFrame, most: int = 20, floor: f
         merged = [(k, v) for k, v in got.items() if k != v]
         return pd.DataFrame(merged, columns=["skill", "canonical"])
 
-    return rows.groupBy("component").applyInPandas(work, "skill string, canonical string")
+    small = rows.where(F.col("_size") <= largest).groupBy("component").applyInPandas(work, "skill string, canonical string")
+    big = ends.where(F.col("_size") > largest).select("a", "b", "score")
+    if not big.limit(1).count():
+        return small
+    return small.unionByName(merge_in_rounds(big, skills, most, floor, with_vectors, forbidden))
+
+
+def merge_in_rounds(pairs: DataFrame, skills: DataFrame, most: int, floor: float, with_vectors: bool = True, forbidden: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """The clusters of :func:`greedy_clusters` for components of any size. A pair
+    depends only on earlier pairs that touch its two clusters, so in each round
+    all pairs that come first for both of theirs are decided at once. Clusters
+    hold at most ``most`` names, so no row grows beyond that."""
+    vector = F.col("vector") if with_vectors else F.lit(None).cast("array<float>")
+    used = pairs.select(F.col("a").alias("skill")).unionByName(pairs.select(F.col("b").alias("skill"))).distinct()
+    facts = cut(used.join(skills, "skill").select("skill", F.col("count").alias("n"), vector.alias("v")))
+    home = cut(facts.select("skill", F.col("skill").alias("cluster")))
+    left = cut(pairs.select("a", "b", "score").distinct())
+    order = [F.desc("score"), F.asc("a"), F.asc("b")]
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = []
+            for x, y in zip(b["mx"], b["my"], strict=True):
+                rows = [*x, *y]
+                counts = {r["skill"]: int(r["n"]) for r in rows}
+                vectors = {r["skill"]: np.asarray(r["v"], np.float64) for r in rows} if with_vectors else None
+                said.append(may_join([r["skill"] for r in x], [r["skill"] for r in y], counts, most, vectors, floor, forbidden))
+            yield b[["a", "b", "x", "y"]].assign(joined=said)
+
+    while True:
+        at = left.join(home.select(F.col("skill").alias("a"), F.col("cluster").alias("x")), "a").join(home.select(F.col("skill").alias("b"), F.col("cluster").alias("y")), "b").where(F.col("x") != F.col("y"))
+        at = cut(at.select("a", "b", "score", "x", "y"))
+        if not at.limit(1).count():
+            break
+        ends = at.select("*", F.explode(F.array("x", "y")).alias("c"))
+        first = ends.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy(*order))).where(F.col("_r") == 1)
+        ready = first.groupBy("a", "b", "x", "y").agg(F.count("*").alias("k")).where(F.col("k") == 2).drop("k")
+        groups = home.join(facts, "skill").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("skill", "n", "v"))).alias("m"))
+        told = ready.join(groups.select(F.col("cluster").alias("x"), F.col("m").alias("mx")), "x").join(groups.select(F.col("cluster").alias("y"), F.col("m").alias("my")), "y")
+        decided = cut(told.select("a", "b", "x", "y", "mx", "my").mapInPandas(decide, "a string, b string, x string, y string, joined boolean"))
+        left = cut(at.select("a", "b", "score").join(decided.select("a", "b"), ["a", "b"], "left_anti"), replaces=left)
+        moved = decided.where("joined").select(F.col("y").alias("cluster"), "x")
+        home = cut(home.join(moved, "cluster", "left").select("skill", F.coalesce("x", "cluster").alias("cluster")), replaces=home)
+    heads = home.join(facts, "skill").groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("_n"), F.length("skill").alias("_l"), F.col("skill").alias("_s"))).alias("_h"))
+    return home.join(heads, "cluster").select("skill", F.col("_h._s").alias("canonical")).where(F.col("skill") != F.col("canonical"))
 
 
 def resolve_tiers(skills: DataFrame, auto: float = 0.9, low: float = 0.78, judge: Callable[[pd.DataFrame], pd.Series] | None = None, least: int = 5, kinds: tuple[str, ...] | None = None, most: int = 20, floor: float = 0.7) -> DataFrame:

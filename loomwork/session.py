@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -67,14 +68,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a table into the shared checkpoint folder and read back.
 
-    The files survive the loss of executors. Keep the frame narrow: ids and
-    numbers, never whole texts.
+    This drops the lineage and, unlike ``checkpoint()``, the size estimates that
+    joins multiply from round to round of a loop. The files survive the loss of
+    executors and go when the application ends, or earlier when a later table
+    ``replaces`` them. Keep the frame narrow: ids and numbers, never whole texts.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    if replaces is not None and (old := getattr(replaces, "_cut_folder", None)):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    back = spark.read.schema(df.schema).parquet(folder)
+    back._cut_folder = folder
+    return back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -325,3 +325,58 @@ def test_random_components(spark):
         parent[y] = x
     got = {r["id"]: r["component"] for r in R.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for e in edges for i in e if e[0] != e[1]} | {i: find(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_questions_labels_and_matches(spark, mentions):
+    from loomwork.operators import labels as B
+    from loomwork.operators import questions as Q
+
+    postings = spark.createDataFrame(
+        [(i, "it" if i < 60 else "acc", ["hà nội"] if i % 2 else ["huế", "unknown"], 10.0 + i % 7, "lập trình viên" if i < 60 else "kế toán", "1_2y", "Lập Trình Viên", 5.0, 9.0) for i in range(100)],
+        "posting_id long, category string, provinces array<string>, salary_mid double, job_title_node string, experience_level string, job_title_display string, salary_min double, salary_max double",
+    )
+    skills = spark.createDataFrame([(i, s, "technical") for i in range(100) for s in (("python", "git", "sql", "linux") if i < 60 else ("excel", "misa", "word", "thuế"))], "posting_id long, skill string, source string")
+    rows = Q.question_set(postings, skills).collect()
+    kinds = {r["type"] for r in rows}
+    assert {"salary_title", "salary_category_province", "count_title_province", "skill_rate", "best_paid_title", "gap_and_salary", "foreign", "unknown_title"} <= kinds
+    assert len({r["id"] for r in rows}) == len(rows) and {r["split"] for r in rows} == {"dev", "test"}
+    count = next(r for r in rows if r["type"] == "count_title_province" and "Hà Nội" in r["text"] and "lập trình" in r["text"])
+    assert count["number"] == 30 and min(count["ids"]) == 1
+    raw = spark.createDataFrame([("ReactJS", "react"), ("reactjs", "react"), ("React.js", "react"), ("a, b", "x"), ("one", "y")], "raw string, canonical string")
+    sheet = B.label_sheet(B.spelling_pairs(raw, 9, 1), 1).collect()
+    assert [(r["pair_id"], r["split"], r["label"]) for r in sheet] == [("rule-000", "dev", "")]
+    counts = spark.createDataFrame([("a", 5), ("b", 1), ("c", 1)], "skill string, count long")
+    assert B.candidate_floor(spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string"), counts).count() == 1
+    ranking = spark.createDataFrame([("q", 1, 1.0, 1), ("q", 70, 0.5, 2)], "cv_id string, posting_id long, score double, rank int")
+    owned = spark.createDataFrame([("q", "python"), ("q", "excel")], "cv_id string, skill string")
+    shown = {r["posting_id"]: (r["pay"], r["shared"]) for r in S.match_table(ranking, "cv_id", "posting_id", owned, postings, skills).collect()}
+    assert shown == {1: ("5 – 9", ["python"]), 70: ("5 – 9", ["excel"])}
+    assert S.first_matching(ranking, "cv_id", postings, "posting_id", F.col("category") == "acc").collect()[0]["posting_id"] == 70
+    assert {r["job_title_node"]: r["category"] for r in G.dominant(postings, "job_title_node", "category").collect()} == {"lập trình viên": "it", "kế toán": "acc"}
+
+
+def test_quantiles_without_buffers(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", 2.0)] * 50 + [("b", 7.0), ("c", None), ("c", float("nan"))]
+    got = {r["g"]: (r["n"], r["q"]) for r in G.quantiles_of(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", (0.0, 0.3, 0.5, 1.0)).collect()}
+    assert set(got) == {"a", "b"}
+    for g in got:
+        x = [v for k, v in rows if k == g]
+        assert got[g][0] == len(x) and np.allclose(got[g][1], np.quantile(x, (0.0, 0.3, 0.5, 1.0)))
+
+
+def test_rounds_give_the_greedy_clusters(spark):
+    rng = random.Random(11)
+    names = [f"{rng.choice('abcdef')}{rng.choice('ghij')}{k}" if k % 3 else f"w{chr(97 + k % 26)}{k}" for k in range(24)]
+    names = ["".join(chr(97 + int(c)) if c.isdigit() else c for c in n) for n in names]
+    vectors = {n: np.array([math.cos(t), math.sin(t)], np.float32) for n in names for t in [rng.random() * 1.6]}
+    pairs = sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(40)})
+    scored = [(a, b, round(rng.random(), 2)) for a, b in pairs]
+    counts = {n: rng.randrange(9) for n in names}
+    skills = spark.createDataFrame([(n, counts[n], [float(x) for x in vectors[n]]) for n in names], "skill string, count long, vector array<float>")
+    df = spark.createDataFrame(scored, "a string, b string, score double")
+    want = R.greedy_clusters(names, counts, scored, 5, {n: v.astype(np.float64) for n, v in vectors.items()}, 0.8)
+    want = {k: v for k, v in want.items() if k != v}
+    for largest in (1, 10**6):
+        got = {r["skill"]: r["canonical"] for r in R.merge_clusters(df, skills, 5, 0.8, largest=largest).collect()}
+        assert got == want and want
