@@ -33,13 +33,13 @@ def build_session(cpus: int | str = "*", app: str = "loomwork", shuffle: int = 8
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors of a cluster once per application.
+    """Send the package to the Python workers once per application.
 
-    Python workers import UDF bodies by module name; on a cluster the checkout
-    need not exist on the workers. Does nothing for ``local[...]`` masters.
+    Workers import UDF bodies by module name; the checkout need not be on their
+    path, neither on a cluster nor when a local driver was started elsewhere.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
