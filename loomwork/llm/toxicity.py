@@ -12,11 +12,13 @@ with an offer) is learned as a product of factors, and a word that is harmless
 in a rule or a report stays harmless there. A document's score is that of its
 worst sentence.
 
-The model is trained on the driver from reviewers' marks, on at most ``MARKED``
-marked documents chosen by hash; every document is scored, whole. Marks name
-documents, not sentences: a marked document's worst sentence stands for it and
-is chosen anew in every round. Unmarked documents weigh a little as clear ones,
-but for sentences the last round was sure of. Marks that a model trained without them strongly
+The model is trained from reviewers' marks, on at most ``MARKED`` marked
+documents chosen by hash, and on all unmarked ones; every document is scored,
+whole. Marks name documents, not sentences: a marked document's worst sentence
+stands for it and is chosen anew in every round. Unmarked documents weigh a
+little as clear ones, but for sentences the last round was sure of. Their
+sentences are counted by Spark; each distinct one and its count reaches the
+driver, and the models are fitted in tasks. Marks that a model trained without them strongly
 contradicts are taken as mistakes and left out, and the
 threshold is the one that does best on those held-out scores.
 
@@ -31,7 +33,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +41,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.session import cut
+
 MARKED = 20_000
-UNMARKED = 10_000  # unmarked documents that weigh a little as clear ones
 OTHER_WEIGHT = 0.3
 DOUBTED = 0.1
 MOST_WEIGHT = 8.0
@@ -166,7 +169,7 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.15, decay: float = 1e-4, seed: int = 7, batch: int = 1024) -> Machine:
-    """Logistic loss, Adagrad on the driver; the sample is bounded by MARKED documents."""
+    """Logistic loss, Adagrad in one process."""
     rng = np.random.default_rng(seed)
     m = Machine(0.0, np.zeros(1 << BITS, np.float32), rng.normal(0, 0.05, (1 << BITS, FACTORS)).astype(np.float32))
     gw, gv, g0 = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32), 1e-2
@@ -225,40 +228,66 @@ def _first_guess(bags: list[list[np.ndarray]], y: np.ndarray) -> np.ndarray:
     return which
 
 
-def _train(bags: list[list[np.ndarray]], y: np.ndarray, others: list[list[np.ndarray]], rounds: int = 3) -> Machine:
-    """Sentences said alike are one sample of more weight, up to a cap."""
-    which = _first_guess(bags, y)
-    m = None
+def _key(s: np.ndarray) -> bytes:
+    return s.astype(np.int32).tobytes()
+
+
+def _set(key: bytes) -> np.ndarray:
+    return np.frombuffer(key, np.int32)
+
+
+def sure_sentences(m: Machine, bags: list[list[np.ndarray]]) -> Counter:
+    """How often each sentence is the worst one of a document that the model is sure of."""
+    best, which = _bag_scores(m, bags)
+    return Counter(_key(bags[i][which[i]]) for i in np.flatnonzero(best > SURE))
+
+
+@dataclass
+class Unmarked:
+    """Sentences of the unmarked documents with their counts; ``sure`` gives
+    :func:`sure_sentences` of these documents for each of several models."""
+
+    documents: int
+    counts: dict[bytes, int]
+    sure: Callable[[list[Machine]], list[Counter]]
+
+
+def _step(bags: list[list[np.ndarray]], y: np.ndarray, documents: int, counts: dict[bytes, int], some: np.ndarray, which: np.ndarray, sure: Counter, epochs: int) -> Machine:
+    """The model of one round from ``some`` of the marked documents and all
+    unmarked ones. Sentences said alike are one sample of more weight, up to a cap."""
+    sample: dict[tuple[bytes, float], float] = defaultdict(float)
+    for i, worst in zip(some, which, strict=True):
+        for k, s in enumerate(bags[i]):
+            key = _key(s)
+            if not y[i]:
+                sample[key, 0.0] += 1.0
+            elif k == worst:
+                sample[key, 1.0] += 2.0
+            else:
+                sample[key, 0.0] += 0.3
+    other = OTHER_WEIGHT * min(1.0, len(some) / max(1, documents))
+    for key, n in counts.items():
+        cases = sure.get(key, 0)
+        if cases:
+            sample[key, 1.0] += cases
+        if n > cases:
+            sample[key, 0.0] += other * (n - cases)
+    total: dict[bytes, float] = defaultdict(float)
+    for (key, _), n in sample.items():
+        total[key] += n
+    weights = np.array([n * min(1.0, MOST_WEIGHT / total[key]) for (key, _), n in sample.items()], np.float32)
+    return fit([_set(key) for key, _ in sample], np.array([c for _, c in sample], np.float32), weights, epochs=epochs, batch=512)
+
+
+def _train(bags: list[list[np.ndarray]], y: np.ndarray, others: Unmarked, parts: list[np.ndarray], steps: Callable[[list[tuple]], list[Machine]], rounds: int = 3) -> list[Machine]:
+    """The model of each of the ``parts`` of the marked documents."""
+    which = [_first_guess([bags[i] for i in some], y[some]) for some in parts]
+    models: list[Machine] = []
     for r in range(rounds):
-        sample: dict[tuple[bytes, float], float] = defaultdict(float)
-        terms_of: dict[bytes, np.ndarray] = {}
-        for i, b in enumerate(bags):
-            for k, s in enumerate(b):
-                key = s.tobytes()
-                terms_of[key] = s
-                if not y[i]:
-                    sample[key, 0.0] += 1.0
-                elif k == which[i]:
-                    sample[key, 1.0] += 2.0
-                else:
-                    sample[key, 0.0] += 0.3
-        sure, likely = _bag_scores(m, others) if r and others else (np.full(len(others), -20.0), None)
-        for i, b in enumerate(others):
-            for k, s in enumerate(b):
-                key = s.tobytes()
-                terms_of[key] = s
-                if sure[i] > SURE and k == likely[i]:
-                    sample[key, 1.0] += 1.0
-                else:
-                    sample[key, 0.0] += OTHER_WEIGHT * min(1.0, len(bags) / len(others))
-        keys = list(sample)
-        total: dict[bytes, float] = defaultdict(float)
-        for (key, _), n in sample.items():
-            total[key] += n
-        weights = np.array([n * min(1.0, MOST_WEIGHT / total[key]) for (key, _), n in sample.items()], np.float32)
-        m = fit([terms_of[k] for k, _ in keys], np.array([c for _, c in keys], np.float32), weights, epochs=4 if r < rounds - 1 else 8, batch=512)
-        which = _bag_scores(m, bags)[1]
-    return m
+        sure = others.sure(models) if r else [Counter()] * len(parts)
+        models = steps([(some, w, s, 4 if r < rounds - 1 else 8) for some, w, s in zip(parts, which, sure, strict=True)])
+        which = [_bag_scores(m, [bags[i] for i in some])[1] for m, some in zip(models, parts, strict=True)]
+    return models
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -271,34 +300,47 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + low) / 2)
 
 
-def learn(texts: list[str | None], marked: np.ndarray, others: list[str | None] = ()) -> tuple[Machine, Unmask]:
-    """The model, from texts and whether each is marked as a case. ``others``
-    are unmarked texts, most of which are clear: they weigh little and keep
-    common sentences from being learned from wrong marks."""
-    y = np.asarray(marked, np.int64)
-    words = [sentences(t) for t in texts]
-    unmask = Unmask([s for d in words for s in d])
-    bags = [[terms(unmask(s)) for s in d] for d in words]
-    more = [[terms(unmask(s)) for s in sentences(t)] for t in others]
-    nothing = Machine(-20.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
-    if y.sum() < 2 or (1 - y).sum() < 2:
-        return nothing, unmask
+def _learn(bags: list[list[np.ndarray]], y: np.ndarray, others: Unmarked, steps: Callable[[list[tuple]], list[Machine]]) -> Machine:
+    """``steps`` runs :func:`_step` for each of several argument lists."""
     folds = 2 if len(y) >= 2000 else 5
     part = np.arange(len(y)) % folds
     out = np.zeros(len(y))
-    for h in range(folds):
-        a = np.flatnonzero(part != h)
-        if 0 < y[a].sum() < len(a):
-            b = np.flatnonzero(part == h)
-            out[b] = _bag_scores(_train([bags[i] for i in a], y[a], more, rounds=2), [bags[i] for i in b])[0]
+    held = [h for h in range(folds) if len(set(y[part != h])) == 2]
+    for h, m in zip(held, _train(bags, y, others, [np.flatnonzero(part != h) for h in held], steps, rounds=2), strict=True):
+        b = np.flatnonzero(part == h)
+        out[b] = _bag_scores(m, [bags[i] for i in b])[0]
     p = 1 / (1 + np.exp(-out))
     keep = np.flatnonzero(~((y == 1) & (p < DOUBTED)) & ~((y == 0) & (p > 0.9)))
     if y[keep].sum() < 2:
         keep = np.arange(len(y))
-    m = _train([bags[i] for i in keep], y[keep], more)
+    m = _train(bags, y, others, [keep], steps)[0]
     # held-out scores lie a little lower than those of the model of all marks
     m.threshold = min(0.6, max(0.25, best_threshold(p[keep], y[keep])))
-    return m, unmask
+    return m
+
+
+def _enough(y: np.ndarray) -> bool:
+    return y.sum() >= 2 and (1 - y).sum() >= 2
+
+
+def _nothing() -> Machine:
+    return Machine(-20.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
+
+
+def learn(texts: list[str | None], marked: np.ndarray, others: list[str | None] = ()) -> tuple[Machine, Unmask]:
+    """The model, from texts and whether each is marked as a case. ``others``
+    are unmarked texts, most of which are clear: they weigh little and keep
+    common sentences from being learned from wrong marks."""
+    y = np.asarray(marked, np.int64)
+    words = [sentences(t) for t in texts]
+    unmask = Unmask([s for d in words for s in d])
+    if not _enough(y):
+        return _nothing(), unmask
+    bags = [[terms(unmask(s)) for s in d] for d in words]
+    more = [[terms(unmask(s)) for s in sentences(t)] for t in others]
+    counts = Counter(_key(s) for b in more for s in b)
+    unmarked = Unmarked(len(more), {k: counts[k] for k in sorted(counts)}, lambda models: [sure_sentences(m, more) for m in models])
+    return _learn(bags, y, unmarked, lambda steps: [_step(bags, y, unmarked.documents, unmarked.counts, *s) for s in steps]), unmask
 
 
 def marks(labels: DataFrame, key: str, label: str, clear: str = "none") -> DataFrame:
@@ -307,15 +349,59 @@ def marks(labels: DataFrame, key: str, label: str, clear: str = "none") -> DataF
     return votes.agg((F.avg(F.when(F.col(label) == clear, 0.0).otherwise(1.0)) >= 0.5).alias("marked"))
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MARKED, unmarked: int = UNMARKED) -> tuple[Machine, Unmask]:
-    """The model from at most ``most`` marked and ``unmarked`` other documents, chosen by hash."""
+def count_unmarked(documents: DataFrame, text: str, unmask: Unmask) -> Unmarked:
+    """The sentences of all ``documents``. Each distinct one reaches the driver
+    once, with its count, in an order that doesn't depend on the partitions."""
+    sc = documents.sparkSession.sparkContext
+    shared = sc.broadcast(unmask)
+
+    def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"bag": [[_key(terms(shared.value(s))) for s in sentences(t)] for t in batch["_t"]]})
+
+    bags = cut(documents.select(F.col(text).alias("_t")).mapInPandas(bag, "bag array<binary>"))
+    rows = bags.select(F.explode("bag").alias("s")).groupBy("s").agg(F.count("*").alias("n")).toPandas()
+    counts = dict(sorted(zip(map(bytes, rows["s"]), map(int, rows["n"]), strict=True)))
+
+    def sure(models: list[Machine]) -> list[Counter]:
+        said = sc.broadcast(models)
+
+        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            each: Counter = Counter()
+            for batch in batches:
+                some = [[_set(s) for s in b] for b in batch["bag"]]
+                for k, m in enumerate(said.value):
+                    each.update({(k, s): n for s, n in sure_sentences(m, some).items()})
+            yield pd.DataFrame([(k, s, n) for (k, s), n in each.items()], columns=["model", "s", "n"])
+
+        out = [Counter() for _ in models]
+        for r in bags.mapInPandas(tally, "model int, s binary, n long").groupBy("model", "s").agg(F.sum("n").alias("n")).collect():
+            out[r["model"]][bytes(r["s"])] = r["n"]
+        return out
+
+    return Unmarked(bags.count(), counts, sure)
+
+
+def train(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MARKED) -> tuple[Machine, Unmask]:
+    """The model from at most ``most`` marked documents, chosen by hash, and all unmarked ones."""
     mark = marks(labels, key, label)
     chosen = mark.orderBy(F.xxhash64(key), key).limit(most)
-    others = documents.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(unmarked).distinct().join(mark, key, "left_anti").select(key, F.lit(None).cast("boolean").alias("marked"))
-    rows = documents.select(key, text).join(F.broadcast(chosen.unionByName(others)), key).select(key, text, "marked").collect()
+    rows = documents.select(key, text).join(F.broadcast(chosen), key).select(key, text, "marked").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[key]).encode()), r[key], r[text] or ""))
-    sure = [r for r in rows if r["marked"] is not None]
-    return learn([r[text] for r in sure], np.array([r["marked"] for r in sure], np.int64), [r[text] for r in rows if r["marked"] is None])
+    y = np.array([r["marked"] for r in rows], np.int64)
+    words = [sentences(r[text]) for r in rows]
+    unmask = Unmask([s for d in words for s in d])
+    if not _enough(y):
+        return _nothing(), unmask
+    bags = [[terms(unmask(s)) for s in d] for d in words]
+    others = count_unmarked(documents.select(key, text).join(mark.select(key), key, "left_anti"), text, unmask)
+    sc = documents.sparkSession.sparkContext
+    shared = sc.broadcast((bags, y, others.documents, others.counts))
+
+    def steps(each: list[tuple]) -> list[Machine]:
+        return sc.parallelize(each, len(each)).map(lambda s: _step(*shared.value, *s)).collect()
+
+    return _learn(bags, y, others, steps), unmask
 
 
 def score(documents: DataFrame, key: str, text: str, model: tuple[Machine, Unmask], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -191,3 +191,12 @@ def test_scores_of_rows(spark):
     assert len(got) == 204 and got[900] == 0 and got[901] == 0 and got[902] >= t and got[903] >= t
     none = Y.train(docs, labels.limit(0), "doc_id", "text", "label")
     assert max(r["score"] for r in Y.score(docs, "doc_id", "text", none).collect()) < 0.01
+
+
+def test_all_unmarked_documents_are_learned_from(spark):
+    """More unmarked documents than any sample took; each says a word of its own."""
+    docs = spark.createDataFrame([(i, "Mày là đồ ngu." if i % 2 else "Mức lương ổn định.") for i in range(12)] + [(100 + i, f"riêng{i}q") for i in range(11_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(12)], "doc_id long, label string")
+    machine, unmask = Y.train(docs, labels, "doc_id", "text", "label")
+    own = np.array([Y.terms(unmask(Y.sentences(f"riêng{i}q")[0]))[0] for i in range(11_000)])
+    assert (machine.w[own] != 0).all()
