@@ -200,3 +200,13 @@ def test_all_unmarked_documents_are_learned_from(spark):
     machine, unmask = Y.train(docs, labels, "doc_id", "text", "label")
     own = np.array([Y.terms(unmask(Y.sentences(f"riêng{i}q")[0]))[0] for i in range(11_000)])
     assert (machine.w[own] != 0).all()
+
+
+@pytest.mark.parametrize("n", [500, 2500])
+def test_held_out_models_see_four_fifths_at_every_size(n, monkeypatch):
+    seen = []
+    step = Y._step
+    monkeypatch.setattr(Y, "fit", lambda *a, **k: Y.Machine(0.0, np.zeros(1 << Y.BITS, np.float32), np.zeros((1 << Y.BITS, Y.FACTORS), np.float32)))
+    monkeypatch.setattr(Y, "_step", lambda bags, y, documents, counts, some, *a: seen.append(len(some)) or step(bags, y, documents, counts, some, *a))
+    Y.learn(*_texts(n, 3))
+    assert seen[:10] == [n * 4 // 5] * 10
