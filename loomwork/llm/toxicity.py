@@ -49,6 +49,7 @@ DOUBTED = 0.1
 FOLDS = 5  # at every size: held-out models see 80 % of the marks
 MOST_WEIGHT = 8.0
 SURE = 1.5  # logit from which an unmarked document's worst sentence is learned as a case
+MOST_COUNTED = 300_000  # words and pairs a task holds before it hands them on
 BITS = 17
 FACTORS = 8
 
@@ -98,20 +99,35 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+def clear_words(words: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """Words without masks that may stand for a masked one, and pairs of neighbours without masks."""
+    clear = [w if "*" not in w else "" for w in words]
+    return [w for w in clear if w and len(w) < 16 and not w.isdigit()], [(a, b) for a, b in zip(clear, clear[1:], strict=False) if a and b]
+
+
 class Unmask:
-    """Guesses masked words from neighbours and frequency in the training texts."""
+    """Guesses masked words from neighbours and frequency in texts."""
 
     def __init__(self, texts: list[list[str]], least: int = 2) -> None:
         single: Counter = Counter()
         pairs: Counter = Counter()
         for words in texts:
-            clear = [w if "*" not in w else "" for w in words]
-            single.update(w for w in clear if w and len(w) < 16)
-            pairs.update((a, b) for a, b in zip(clear, clear[1:], strict=False) if a and b)
-        self.single = {w: n for w, n in single.items() if n >= least and not w.isdigit()}
-        self.pairs = {p: n for p, n in pairs.items() if n >= least}
+            one, two = clear_words(words)
+            single.update(one)
+            pairs.update(two)
+        self._take({w: n for w, n in single.items() if n >= least}, {p: n for p, n in pairs.items() if n >= least})
+
+    @classmethod
+    def counted(cls, single: dict[str, int], pairs: dict[tuple[str, str], int]) -> Unmask:
+        """From words and pairs counted elsewhere."""
+        new = cls.__new__(cls)
+        new._take(single, pairs)
+        return new
+
+    def _take(self, single: dict[str, int], pairs: dict[tuple[str, str], int]) -> None:
+        self.single, self.pairs = single, pairs
         self.fits: dict[str, list[str]] = defaultdict(list)
-        for w in self.single:
+        for w in single:
             for i in range(len(w)):
                 self.fits[w[:i] + "*" + w[i + 1 :]].append(w)
 
@@ -349,6 +365,49 @@ def marks(labels: DataFrame, key: str, label: str, clear: str = "none") -> DataF
     return votes.agg((F.avg(F.when(F.col(label) == clear, 0.0).otherwise(1.0)) >= 0.5).alias("marked"))
 
 
+def corpus_unmask(documents: DataFrame, text: str, least: int = 2) -> Unmask:
+    """:class:`Unmask` from the words and pairs of all ``documents``. Only words
+    that fit a masked one, and their pairs with what stands next to masked words,
+    reach the driver."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for batch in batches:
+            for t in batch["_t"]:
+                for words in sentences(t):
+                    one, two = clear_words(words)
+                    n.update([("word", w, "") for w in one])
+                    n.update([("pair", *p) for p in two])
+                    for i, w in enumerate(words):
+                        if "*" in w:
+                            n["mask", w, w.replace("*", "")] += 1
+                            n.update([("near", x.replace("*", ""), "") for x in (*words[max(0, i - 1) : i], *words[i + 1 : i + 2])])
+                if len(n) > MOST_COUNTED:
+                    yield _tallied(n)
+                    n.clear()
+        yield _tallied(n)
+
+    rows = documents.select(F.col(text).alias("_t")).mapInPandas(tally, "what string, a string, b string, n long")
+    counts = cut(rows.groupBy("what", "a", "b").agg(F.sum("n").alias("n")))
+    masks = counts.where(F.col("what") == "mask")
+    masked = masks.select(F.explode(F.array("a", "b")).alias("_m")).distinct()
+    holes = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.lit("*"), F.substring("w", i + 1, F.length("w"))))
+    words = counts.where((F.col("what") == "word") & (F.col("n") >= least)).select(F.col("a").alias("w"), "n")
+    fits = cut(words.select("w", "n", F.explode(F.concat(F.array("w"), holes)).alias("_m")).join(masked, "_m", "left_semi").select("w", "n").distinct())
+    near = counts.where(F.col("what") == "near").select(F.col("a").alias("w")).unionByName(fits.select("w")).distinct()
+    pairs = counts.where((F.col("what") == "pair") & (F.col("n") >= least)).select("a", "b", "n")
+
+    def among(df: DataFrame, side: str, these: DataFrame) -> DataFrame:
+        return df.join(these.select(F.col("w").alias(side)), side, "left_semi").select("a", "b", "n")
+
+    used = among(among(pairs, "b", fits), "a", near).unionByName(among(among(pairs, "a", fits), "b", near)).distinct()
+    return Unmask.counted({r["w"]: r["n"] for r in fits.orderBy("w").collect()}, {(r["a"], r["b"]): r["n"] for r in used.collect()})
+
+
+def _tallied(n: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(*k, c) for k, c in n.items()], columns=["what", "a", "b", "n"])
+
+
 def count_unmarked(documents: DataFrame, text: str, unmask: Unmask) -> Unmarked:
     """The sentences of all ``documents``. Each distinct one reaches the driver
     once, with its count, in an order that doesn't depend on the partitions."""
@@ -389,11 +448,10 @@ def train(documents: DataFrame, labels: DataFrame, key: str, text: str, label: s
     rows = documents.select(key, text).join(F.broadcast(chosen), key).select(key, text, "marked").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[key]).encode()), r[key], r[text] or ""))
     y = np.array([r["marked"] for r in rows], np.int64)
-    words = [sentences(r[text]) for r in rows]
-    unmask = Unmask([s for d in words for s in d])
     if not _enough(y):
-        return _nothing(), unmask
-    bags = [[terms(unmask(s)) for s in d] for d in words]
+        return _nothing(), Unmask([])
+    unmask = corpus_unmask(documents, text)
+    bags = [[terms(unmask(s)) for s in sentences(r[text])] for r in rows]
     others = count_unmarked(documents.select(key, text).join(mark.select(key), key, "left_anti"), text, unmask)
     sc = documents.sparkSession.sparkContext
     shared = sc.broadcast((bags, y, others.documents, others.counts))

@@ -210,3 +210,16 @@ def test_held_out_models_see_four_fifths_at_every_size(n, monkeypatch):
     monkeypatch.setattr(Y, "_step", lambda bags, y, documents, counts, some, *a: seen.append(len(some)) or step(bags, y, documents, counts, some, *a))
     Y.learn(*_texts(n, 3))
     assert seen[:10] == [n * 4 // 5] * 10
+
+
+def test_masks_are_resolved_by_words_of_all_documents(spark):
+    """The clear words stand in unmarked documents only; pairs decide between two that fit."""
+    marked = [(i, "Mày là rác thải, wor*hless b*t." if i % 2 else "Mức lương ổn định.") for i in range(12)]
+    more = [(100 + i, t) for i, t in enumerate(["Quite worthless bat."] * 2 + ["a worthless bit"] * 3 + ["bat"] * 9 + ["once only"])]
+    docs = spark.createDataFrame([*marked, *more, (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(12)], "doc_id long, label string")
+    unmask = Y.train(docs, labels, "doc_id", "text", "label")[1]
+    assert unmask(["wor*hless", "b*t"]) == ["worthless", "bit"]
+    whole = Y.Unmask([s for _, t in [*marked, *more] for s in Y.sentences(t)])
+    assert unmask.single == {w: n for w, n in whole.single.items() if w in ("worthless", "bat", "bit")}
+    assert unmask.pairs == {p: n for p, n in whole.pairs.items() if p[0] == "worthless"}
