@@ -430,17 +430,21 @@ def dense_topk(spark, sf):
     return rounded(retrieval.dense_search(v, "vec_id", "embedding", asked, "query_id", "query_vector"), "score")
 
 
-@query()
-def cv_skills(spark, sf):
-    """Skills that each asking CV names."""
+def _cv_skills(spark, sf, cvs: DataFrame) -> DataFrame:
     ref = table(spark, sf, "skill_ref")
     names = ref.select(F.col("skill").alias("phrase"), "skill").unionByName(ref.select(F.explode("also_called").alias("phrase"), "skill"))
-    return retrieval.named_skills(_asking(spark, sf), "cv_id", "text", names.select(F.concat_ws(" ", T.syllables(T.nfc("phrase"))).alias("phrase"), "skill"))
+    return retrieval.named_skills(cvs, "cv_id", "text", names.select(F.concat_ws(" ", T.syllables(T.nfc("phrase"))).alias("phrase"), "skill"))
+
+
+@query()
+def cv_skills(spark, sf):
+    """Skills that each CV names."""
+    return _cv_skills(spark, sf, table(spark, sf, "cvs").select("cv_id", "text"))
 
 
 @query()
 def skill_search(spark, sf):
-    asked = cv_skills(spark, sf)
+    asked = _cv_skills(spark, sf, _asking(spark, sf))
     return rounded(retrieval.skill_search(asked, "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count()), "score")
 
 
@@ -449,7 +453,7 @@ def hybrid_search(spark, sf):
     """BM25, TF-IDF and shared skills fused by rank."""
     docs, asked = _docs(spark, sf), _asking(spark, sf)
     lists = [f(docs, "posting_id", "doc", asked, "cv_id", "text", k=100) for f in (retrieval.tfidf_search, retrieval.bm25_search)]
-    skills = retrieval.skill_search(cv_skills(spark, sf), "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count(), k=100)
+    skills = retrieval.skill_search(_cv_skills(spark, sf, asked), "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count(), k=100)
     return rounded(retrieval.fuse([*lists, skills], "cv_id", "posting_id"), "score", to=9)
 
 
@@ -592,7 +596,7 @@ def label_sheet(spark, sf):
 def shown_matches(spark, sf):
     """What a search shows: each hit's title, pay, and the skills it shares with the CV."""
     hits = retrieval.bm25_search(_short_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text")
-    return retrieval.match_table(hits, "cv_id", "posting_id", cv_skills(spark, sf), postings(spark, sf), mentions(spark, sf))
+    return retrieval.match_table(hits, "cv_id", "posting_id", _cv_skills(spark, sf, _asking(spark, sf)), postings(spark, sf), mentions(spark, sf))
 
 
 # vectors: near pairs, clusters, thresholds
@@ -674,12 +678,12 @@ def other_years(spark, sf):
 
 @query()
 def linked_entities(spark, sf):
-    """What every asking CV names: categories, titles, places, skills, experience."""
+    """What every CV names: categories, titles, places, skills, experience."""
     p = postings(spark, sf)
     titles = {r["t"]: r["t"] for r in small_rows(p.select(F.col("job_title_node").alias("t")).where(F.col("t").isNotNull()).distinct(), "titles")}
     categories = [r["c"] for r in small_rows(p.select(F.col("category").alias("c")).where(F.col("c").isNotNull()).distinct(), "categories")]
     skills = {r["skill"]: r["skill"] for r in small_rows(table(spark, sf, "skill_ref").select("skill"), "skill_ref")}
-    return linking.link_entities(_asking(spark, sf), "cv_id", "text", linking.Names(categories, titles, skills))
+    return linking.link_entities(table(spark, sf, "cvs").select("cv_id", "text"), "cv_id", "text", linking.Names(categories, titles, skills))
 
 
 @query()

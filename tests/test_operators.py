@@ -380,3 +380,15 @@ def test_rounds_give_the_greedy_clusters(spark):
     for largest in (1, 10**6):
         got = {r["skill"]: r["canonical"] for r in R.merge_clusters(df, skills, 5, 0.8, largest=largest).collect()}
         assert got == want and want
+
+
+def test_texts_of_all_cvs_are_extracted(spark):
+    """No CV of this data is one that searches ask with."""
+    from loomwork.plans import labour
+
+    sf = "/root/testdata/sf0.001"
+    every = {r["cv_id"] for r in spark.read.parquet(f"{sf}/cvs.parquet").collect()}
+    assert {r["cv_id"] for r in labour.linked_entities(spark, sf).select("cv_id").collect()} == every
+    named = {r["cv_id"] for r in labour.cv_skills(spark, sf).collect()}
+    assert named and named <= every
+    assert labour._asking(spark, sf).count() == 0 == labour.shown_matches(spark, sf).count()
