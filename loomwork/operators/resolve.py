@@ -146,9 +146,10 @@ def greedy_clusters(names: list[str], counts: dict[str, int], pairs: list[tuple[
 
 
 MAX_COMPONENT = 20_000
+MAX_CLUSTER = 100
 
 
-def merge_clusters(pairs: DataFrame, skills: DataFrame, most: int = 20, floor: float = 0.7, with_vectors: bool = True, forbidden: set[tuple[str, str]] = frozenset(), largest: int = MAX_COMPONENT) -> DataFrame:
+def merge_clusters(pairs: DataFrame, skills: DataFrame, most: int = MAX_CLUSTER, floor: float = 0.7, with_vectors: bool = True, forbidden: set[tuple[str, str]] = frozenset(), largest: int = MAX_COMPONENT) -> DataFrame:
     """``(skill, canonical)`` of the names that merge. Greedy order only matters
     within a connected component, so each of up to ``largest`` names is one
     group; larger ones go through :func:`merge_in_rounds`, with the same result.
@@ -215,7 +216,7 @@ def merge_in_rounds(pairs: DataFrame, skills: DataFrame, most: int, floor: float
     return home.join(heads, "cluster").select("skill", F.col("_h._s").alias("canonical")).where(F.col("skill") != F.col("canonical"))
 
 
-def resolve_tiers(skills: DataFrame, auto: float = 0.9, low: float = 0.78, judge: Callable[[pd.DataFrame], pd.Series] | None = None, least: int = 5, kinds: tuple[str, ...] | None = None, most: int = 20, floor: float = 0.7) -> DataFrame:
+def resolve_tiers(skills: DataFrame, auto: float = 0.9, low: float = 0.78, judge: Callable[[pd.DataFrame], pd.Series] | None = None, least: int = 5, kinds: tuple[str, ...] | None = None, most: int = MAX_CLUSTER, floor: float = 0.7) -> DataFrame:
     """``(skill, canonical, tier)``: pairs from ``auto`` up merge by themselves;
     pairs from ``low`` up are asked of ``judge`` on representatives, each pair
     once, when both are frequent, of an allowed kind and without conflict. ``skills`` has

@@ -621,12 +621,12 @@ def vector_components(spark, sf):
 
 @query()
 def vector_clusters(spark, sf):
-    """Greedy clusters of at most four vectors, none far from its representative."""
+    """Greedy clusters of vectors, none far from its representative."""
     v = table(spark, sf, "embeddings")
     names = v.select(F.col("vec_id").cast("string").alias("skill"), F.lit(1).cast("long").alias("count"), F.lit("vector").alias("kind"), F.col("embedding").alias("vector"))
     pairs = _near(spark, sf).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "score")
     # ids are no names: figures must not keep them apart
-    return resolve.merge_clusters(pairs.select(F.translate("a", "0123456789", "abcdefghij").alias("a"), F.translate("b", "0123456789", "abcdefghij").alias("b"), "score"), names.withColumn("skill", F.translate("skill", "0123456789", "abcdefghij")), 4, 0.3)
+    return resolve.merge_clusters(pairs.select(F.translate("a", "0123456789", "abcdefghij").alias("a"), F.translate("b", "0123456789", "abcdefghij").alias("b"), "score"), names.withColumn("skill", F.translate("skill", "0123456789", "abcdefghij")), floor=0.3)
 
 
 _STEPS = (0.35, 0.4, 0.45, 0.5)

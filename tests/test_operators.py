@@ -392,3 +392,12 @@ def test_texts_of_all_cvs_are_extracted(spark):
     named = {r["cv_id"] for r in labour.cv_skills(spark, sf).collect()}
     assert named and named <= every
     assert labour._asking(spark, sf).count() == 0 == labour.shown_matches(spark, sf).count()
+
+
+def test_clusters_of_many_vectors(spark, tmp_path):
+    """Thirty alike vectors are one cluster; a cap of four or twenty would cut it up."""
+    from loomwork.plans import labour
+
+    spark.createDataFrame([(i, [1.0, 0.0], "l") for i in range(1, 31)], "vec_id int, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len({r["canonical"] for r in labour.vector_clusters(spark, str(tmp_path)).collect()}) == 1
+    assert labour.vector_clusters(spark, str(tmp_path)).count() == 29
