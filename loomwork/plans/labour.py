@@ -512,7 +512,7 @@ def pooled_items(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return evaluation.bootstrap(evaluation.paired(_metrics(spark, sf), "cv_id", "hashed", "by_id"), "cv_id", 200)
+    return evaluation.bootstrap(evaluation.paired(_metrics(spark, sf), "cv_id", "hashed", "by_id"), "cv_id")
 
 
 # agreement, errors, samples

@@ -401,3 +401,14 @@ def test_clusters_of_many_vectors(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 0.0], "l") for i in range(1, 31)], "vec_id int, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert len({r["canonical"] for r in labour.vector_clusters(spark, str(tmp_path)).collect()}) == 1
     assert labour.vector_clusters(spark, str(tmp_path)).count() == 29
+
+
+def test_registered_resamples(spark, monkeypatch):
+    """p comes from 10,000 resamples, in finer steps than 0.01."""
+    from loomwork.plans import labour
+
+    pairs = spark.createDataFrame([(i, 1.0 if i < 5 else 0.0, 0.0 if i < 5 else 1.0) for i in range(6)], "cv_id int, a double, b double")
+    monkeypatch.setattr(labour, "_metrics", lambda *a: None)
+    monkeypatch.setattr(labour.evaluation, "paired", lambda *a: pairs)
+    p = labour.bootstrap_ci(spark, "").collect()[0]["p"]
+    assert p == E.bootstrap(pairs, "cv_id", 10_000).collect()[0]["p"] and abs(p * 5_000 - round(p * 5_000)) < 1e-6 < abs(p * 100 - round(p * 100))
