@@ -176,12 +176,12 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).chosen
 
 
 @query
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.shares(*mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
+    return mixing.shares(mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
 
 
 # 9: abusive, hateful or sexual content

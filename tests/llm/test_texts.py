@@ -84,33 +84,92 @@ def _corpus(spark, n=600):
 def test_mixing_meets_shares(spark):
     docs = _corpus(spark).withColumn("tokens", F.lit("clash"))
     targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.25, 3), ("none there", 0.05, 2), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
-    chosen, goals = X.mix(docs, targets)
-    rows = {r["source"]: r for r in X.shares(chosen, goals).collect()}
+    mixed = X.mix(docs, targets)
+    rows = {r["source"]: r for r in X.shares(mixed).collect()}
     assert rows["none there"]["tokens"] == 0 and set(rows) == {"a", "b", "c", "none there"}
     for s, share in (("a", 0.4), ("b", 0.3), ("c", 0.25)):
         assert rows[s]["share"] == pytest.approx(share / 0.95, abs=0.012) and rows[s]["most_repeats"] <= rows[s]["max_repeats"]
     # the largest total: some source is used to its cap
     assert any(r["most_repeats"] == r["max_repeats"] for r in rows.values())
-    assert chosen.where("doc_id >= 600").count() == 0
-    small, _ = X.mix(docs, targets, total=2000)
+    assert mixed.chosen.where("doc_id >= 600").count() == 0
+    small = X.mix(docs, targets, total=2000).chosen
     assert small.agg(F.sum(F.col("repeats") * F.col("tokens"))).collect()[0][0] == pytest.approx(2000, rel=0.1)
 
 
+def _mislabelled(spark, n=3000):
+    """A tenth of the documents stand under another source than their text's."""
+    rng = random.Random(8)
+    rows = []
+    for i, s in enumerate(rng.choices("abc", (7, 2, 1), k=n)):
+        text = " ".join(rng.choice(WORDS[s].split()) for _ in range(rng.randint(8, 40)))
+        rows.append((i, text, s if rng.random() > 0.1 else rng.choice("abc".replace(s, "")), s))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, truth string")
+
+
+SHARES = {"a": 0.35, "b": 0.4, "c": 0.25}
+
+
+def _domain_shares(docs, chosen):
+    rows = chosen.join(docs.select("doc_id", "truth"), "doc_id").groupBy("truth").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t")).collect()
+    total = sum(r["t"] for r in rows)
+    return {r["truth"]: r["t"] / total for r in rows}
+
+
+def test_mixing_counts_documents_where_their_texts_belong(spark, monkeypatch):
+    docs = _mislabelled(spark)
+    targets = spark.createDataFrame([(s, x, 3) for s, x in SHARES.items()], "source string, target_share double, max_repeats int")
+    mixed = X.mix(docs, targets)
+    fit = mixed.fit
+    assert len(fit.steps) > 0 and np.abs(fit.expected - fit.wanted).max() <= 0.005 * fit.wanted.sum()
+    got = _domain_shares(docs, mixed.chosen)
+    assert all(abs(got[s] - x) < 0.015 for s, x in SHARES.items())
+    # neither the flat rate without steps nor the stored source alone meets the targets
+    monkeypatch.setattr(X, "fit_rates", lambda groups, caps, wanted, held: X.Fit(float(wanted.sum() / held.sum()), [], wanted, wanted))
+    flat = _domain_shares(docs, X.mix(docs, targets).chosen)
+    assert max(abs(flat[s] - x) for s, x in SHARES.items()) > 0.1
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "combined", lambda told, k, held: (np.eye(told.shape[1])[k] * X.STEPS).astype(np.int16))
+    stored = _domain_shares(docs, X.mix(docs, targets).chosen)
+    assert max(abs(stored[s] - x) for s, x in SHARES.items()) > 0.03
+
+
+def test_mixing_draws_documents_of_no_source_by_their_texts(spark):
+    docs = _mislabelled(spark, 900).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.col("source")))
+    targets = spark.createDataFrame([(s, x, 2) for s, x in SHARES.items()], "source string, target_share double, max_repeats int")
+    assert X.mix(docs, targets).chosen.where("source is null").count() == 0
+    every = X.mix(docs, targets, sourceless=True).chosen
+    assert every.where("source is null").count() > 30
+    got = _domain_shares(docs, every)
+    assert all(abs(got[s] - x) < 0.03 for s, x in SHARES.items())
+
+
+def test_mixing_with_many_repeats(spark):
+    """A small source asked for dozens of times reaches its share."""
+    docs = _corpus(spark)
+    targets = spark.createDataFrame([("a", 0.2, 1), ("c", 0.8, 40)], "source string, target_share double, max_repeats int")
+    rows = {r["source"]: r for r in X.shares(X.mix(docs, targets)).collect()}
+    assert rows["c"]["share"] == pytest.approx(0.8, abs=0.01) and rows["c"]["most_repeats"] > 5
+
+
 def test_mixing_of_nothing(spark):
     targets = spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int")
     docs = _corpus(spark, 5).limit(0)
-    chosen, goals = X.mix(docs, targets)
-    assert chosen.count() == 0 and [r["share"] for r in X.shares(chosen, goals).collect()] == [0.0]
+    mixed = X.mix(docs, targets)
+    assert mixed.chosen.count() == 0 and [r["share"] for r in X.shares(mixed).collect()] == [0.0]
     none = spark.createDataFrame([], "source string, target_share double, max_repeats int")
-    assert X.mix(_corpus(spark, 5), none)[0].count() == 0
+    assert X.mix(_corpus(spark, 5), none).chosen.count() == 0
 
 
-def test_posteriors_lean_to_the_text():
-    table = np.zeros((2, X.BUCKETS))
+def test_memberships_follow_text_and_source():
+    tables = np.zeros((X.FOLDS, 2, X.BUCKETS))
     mine, other = X.word_buckets(WORDS["a"]), X.word_buckets(WORDS["b"])
-    table[0, mine], table[1, other] = 50, 50
-    p = X.posteriors([mine, other], np.array([0, 0]), table)
-    assert p[0, 0] > 0.99 and p[1, 1] > 0.5 and np.allclose(p.sum(axis=1), 1)
+    tables[:, 0, mine], tables[:, 1, other] = 50, 50
+    log = X.log_tables(tables)[0]
+    flat = np.array([*mine, *other])
+    told = X.text_memberships(flat, np.array([0, len(mine), len(flat), len(flat)]), log)
+    assert told[0, 0] > 0.99 and told[1, 1] > 0.99 and np.allclose(told.sum(axis=1), 1)
+    q = X.combined(told, np.array([0, 0, 0]), np.array([[90.0, 10.0], [10.0, 90.0]]))
+    assert q[0, 0] > 250 and q[1, 1] > 250 and q[2, 0] == round(0.9 * X.STEPS)
 
 
 @pytest.mark.parametrize(
