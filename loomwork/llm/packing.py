@@ -6,19 +6,24 @@ histogram of lengths matters, at most ``capacity`` numbers however many items
 there are, so the plan is made on the driver:
 
 * *Configuration LP*: choose how often to use each way of filling a container
-  so that every length is covered, with as few containers as possible.
-* *Multiplicative weights*: every length has a price, at first its share of
-  the capacity. Each round finds the most valuable filling at these prices by
-  a knapsack dynamic program, uses it as often as lets no length's coverage
-  rise by more than ``step``, and lowers the price of lengths covered ahead of
-  the others.
-* *Rounding*: numbers of uses are rounded with carry, never beyond the items
-  there are; what is left, a number of items bounded by the rounds and not by
-  the data, is packed best-fit from the longest down.
-
-The first prices come from a best-fit packing of the whole histogram; should
-that packing need fewer containers than the rounded program (it can where most
-items exceed half a container), it is the plan.
+  (a filling) so that every length is covered, with as few containers as
+  possible. It starts from the fillings of a best-fit packing.
+* *Pricing*: at given prices of the lengths a knapsack dynamic program finds
+  the most valuable filling, and with it, for every length, the most valuable
+  one that holds this length. Total price over highest value is a lower bound
+  on any packing; the first prices, each length's share of the capacity, give
+  the bound of the total length. Fillings worth more than the program pays for
+  a container join the program.
+* *Multiplicative weights*: between pricings the program over the fillings so
+  far is a game of prices against fillings. Both sides' weights are multiplied
+  by exponentials of their gains (with the last gain counted twice, which
+  settles faster); the averages give uses of fillings and the next prices.
+* It ends when value and bound are within ``gap``, after ``rounds`` pricings,
+  or when ``IDLE`` pricings running brought neither nearer. Both are reported.
+* *Rounding*: numbers of uses are rounded down, then up by what was cut off,
+  largest first, as long as all items exist; what is left, a number of items
+  bounded by the fillings and not by the data, is packed best-fit from the
+  longest down. The plan is the best rounding of all rounds.
 
 Then each item's rank among the items of its length, found by counting in hash
 buckets, gives its container by looking up the plan's rank ranges. No length
@@ -41,40 +46,144 @@ from pyspark.sql import functions as F
 
 from loomwork.session import cut
 
+GAP = 0.002
+ROUNDS = 24
+GAME_STEPS = 1500
+IDLE = 6
+RATE = 0.3
 
-def best_filling(lengths: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the most valuable filling, by dynamic programming
-    over the capacity; a count beyond its limit is cut back and the room filled again."""
+
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value of the best filling of each room up to the capacity, and the place of
+    one length in it (-1: the room is that of a smaller one). ``lengths`` ascend."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(lengths)
-    ls, vs = lengths[order], values[order]
-    upto = np.searchsorted(ls, np.arange(capacity + 1), side="right")
-    for w in range(1, capacity + 1):
-        k = upto[w]
-        best[w], pick[w] = best[w - 1], -1
-        if k:
-            gains = best[w - ls[:k]] + vs[:k]
-            j = int(gains.argmax())
-            if gains[j] > best[w]:
-                best[w], pick[w] = gains[j], j
-    counts = np.zeros(len(lengths), np.int64)
-    w = capacity
-    while w > 0:
-        j = pick[w]
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for w in range(int(lengths[0]), capacity + 1):
+        gains = best[w - lengths[: upto[w]]] + values[: upto[w]]
+        j = int(gains.argmax())
+        if gains[j] > best[w - 1] + 1e-15:
+            best[w], pick[w] = gains[j], j
+        else:
+            best[w] = best[w - 1]
+    return best, pick
+
+
+def traced(pick: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """Place of length to count of the best filling of ``room``."""
+    out: dict[int, int] = {}
+    while room > 0:
+        j = int(pick[room])
         if j < 0:
-            w -= 1
+            room -= 1
         else:
-            counts[order[j]] += 1
-            w -= ls[j]
-    counts = np.minimum(counts, limits)
-    room = capacity - int((counts * lengths).sum())
-    for i in np.argsort(-lengths):
-        more = min(int(limits[i] - counts[i]), room // int(lengths[i]))
+            out[j] = out.get(j, 0) + 1
+            room -= int(lengths[j])
+    return out
+
+
+def completed(filling: dict[int, int], lengths: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
+    """The filling with counts cut back to what there is and free room filled again, longest first."""
+    out = {j: min(n, int(limits[j])) for j, n in filling.items()}
+    room = capacity - sum(n * int(lengths[j]) for j, n in out.items())
+    j = int(np.searchsorted(lengths, room, side="right")) - 1
+    while j >= 0 and room >= lengths[0]:
+        more = min(int(limits[j]) - out.get(j, 0), room // int(lengths[j]))
         if more > 0:
-            counts[i] += more
-            room -= more * int(lengths[i])
-    return counts
+            out[j] = out.get(j, 0) + more
+            room -= more * int(lengths[j])
+        j = min(j, int(np.searchsorted(lengths, room, side="right"))) - 1
+    return out
+
+
+class Program:
+    """The configuration program over the fillings known so far. Rows are
+    lengths; ``use`` is the best covering known, in uses of each filling."""
+
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int) -> None:
+        self.lengths, self.demand, self.capacity = lengths, demand, capacity
+        self.fillings: list[dict[int, int]] = []
+        self.known: set[tuple] = set()
+        self.row, self.column, self.count = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.use = np.zeros(0)
+        self.bound = float((lengths * demand).sum()) / capacity
+        self.mix: np.ndarray | None = None
+
+    @property
+    def value(self) -> float:
+        return float(self.use.sum())
+
+    def add(self, fillings: list[dict[int, int]]) -> int:
+        """Takes new fillings in; returns how many were new."""
+        new = []
+        for f in fillings:
+            key = tuple(sorted(f.items()))
+            if key not in self.known:
+                self.known.add(key)
+                new.append(f)
+        at = len(self.fillings)
+        self.fillings += new
+        cells = [(j, at + i, n) for i, f in enumerate(new) for j, n in f.items()]
+        if cells:
+            a = np.array(cells, np.int64)
+            self.row, self.column = np.r_[self.row, a[:, 0]], np.r_[self.column, a[:, 1]]
+            self.count = np.r_[self.count, a[:, 2].astype(float)]
+        self.use = np.r_[self.use, np.zeros(len(new))]
+        if self.mix is not None:
+            self.mix = np.r_[self.mix, np.zeros(len(new))]
+        return len(new)
+
+    def price(self, prices: np.ndarray) -> list[dict[int, int]]:
+        """Raises the bound by these prices; the fillings worth a place, best first."""
+        best, pick = knapsack(self.lengths, prices, self.capacity)
+        top = best[self.capacity]
+        self.bound = max(self.bound, float((prices * self.demand).sum()) / top)
+        pays = float((prices * self.demand).sum()) / self.value  # what the program pays for a container
+        worth = prices + best[self.capacity - self.lengths]
+        limits = np.minimum(self.demand, self.capacity // self.lengths)
+        out = []
+        for j in np.argsort(-worth, kind="stable"):
+            if worth[j] <= pays * (1 + 1e-9):
+                break
+            f = traced(pick, self.lengths, self.capacity - int(self.lengths[j]))
+            f[int(j)] = f.get(int(j), 0) + 1
+            out.append(completed(f, self.lengths, limits, self.capacity))
+        return out
+
+    def play(self, steps: int = GAME_STEPS) -> np.ndarray:
+        """The game of prices against fillings by multiplicative weights; takes
+        the averages over if they cover in fewer containers, returns the prices."""
+        gain = self.count / self.demand[self.row] * self.value  # coverage of a length when the whole value is one filling
+        m, p = len(self.lengths), len(self.fillings)
+        start = self.mix if self.mix is not None else self.use / self.value
+        log_x = np.log(np.maximum(0.9 * start + 0.1 / p, 1e-12))
+        log_y = np.zeros(m)
+        sum_x, sum_y = np.zeros(p), np.zeros(m)
+        last_c = last_v = None
+        best, best_x = self.value, None
+        for step in range(1, steps + 1):
+            x = np.exp(log_x - log_x.max())
+            x /= x.sum()
+            y = np.exp(log_y - log_y.max())
+            y /= y.sum()
+            c = np.bincount(self.row, weights=gain * x[self.column], minlength=m)
+            v = np.bincount(self.column, weights=gain * y[self.row], minlength=p)
+            log_y -= RATE * (c if last_c is None else 2 * c - last_c)
+            log_x += RATE * (v if last_v is None else 2 * v - last_v)
+            last_c, last_v = c, v
+            sum_x += x
+            sum_y += y
+            if step % 250 == 0 or step == steps:
+                mean = sum_x / sum_x.sum()
+                least = np.bincount(self.row, weights=gain * mean[self.column], minlength=m).min()
+                if least > 0 and self.value / least < best:
+                    best, best_x = self.value / least, mean
+                if step % 500 == 0:
+                    sum_x, sum_y = sum_x * 0.25, sum_y * 0.25  # early plays count less
+        self.mix = sum_x / sum_x.sum()
+        if best_x is not None:
+            self.use = best_x * best
+        return sum_y / sum_y.sum() / self.demand
 
 
 @dataclass
@@ -88,7 +197,9 @@ class Plan:
     rank: list[int] = field(default_factory=list)
     each: list[int] = field(default_factory=list)
     first: list[int] = field(default_factory=list)
-    lp_value: float = 0.0
+    value: float = 0.0  # of the program
+    bound: float = 0.0  # no packing needs fewer
+    pricings: int = 0
 
     def use(self, filling: list[tuple[int, int]], times: int, taken: dict[int, int]) -> None:
         for length, n in filling:
@@ -100,63 +211,65 @@ class Plan:
         self.containers += times
 
 
-def make_plan(histogram: dict[int, int], capacity: int, step: float = 0.5, eta: float = 2.0) -> Plan:
+def rounded(program: Program) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of fillings (by length) that hold every item once."""
+    lengths, left = program.lengths, program.demand.copy()
+    out: list[tuple[dict[int, int], int]] = []
+    whole = np.floor(program.use + 1e-9)
+    off = program.use - whole
+
+    def take(i: int, times: int) -> None:
+        f = program.fillings[i]
+        n = min(times, *[int(left[j]) // k for j, k in f.items()])
+        if n > 0:
+            for j, k in f.items():
+                left[j] -= k * n
+            out.append(({int(lengths[j]): k for j, k in f.items()}, n))
+
+    for i in np.flatnonzero(whole):
+        take(int(i), int(whole[i]))
+    for i in np.argsort(-off, kind="stable"):
+        if off[i] < 0.2:
+            break
+        take(int(i), 1)
+    return out + best_fit(lengths, left, program.capacity)
+
+
+def make_plan(histogram: dict[int, int], capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> Plan:
     """The plan for so many items of each length (0 < length <= capacity)."""
     plan = Plan(capacity)
     taken: dict[int, int] = {}
-    if capacity in histogram:
-        plan.use([(capacity, 1)], histogram[capacity], taken)
+    full = histogram.get(capacity, 0)
+    if full:
+        plan.use([(capacity, 1)], full, taken)
     lengths = np.array(sorted(k for k in histogram if k < capacity), np.int64)
+    plan.value = plan.bound = float(full)
     if not len(lengths):
-        plan.lp_value = plan.containers
         return plan
     demand = np.array([histogram[int(k)] for k in lengths], np.int64)
-    covered = np.zeros(len(lengths))
-    weight = np.ones(len(lengths))
-    plain = best_fit(lengths, demand, capacity)
-    price = _prices(plain, lengths)
-    fillings: list[np.ndarray] = []
-    uses: list[float] = []
-    while True:
-        open_ = np.flatnonzero(covered < 1 - 1e-9)
-        if not len(open_):
-            break
-        ls = lengths[open_]
-        left = np.maximum(1, np.ceil(demand[open_] * (1 - covered[open_]))).astype(np.int64)
-        counts = best_filling(ls, price[open_] * weight[open_], np.minimum(left, capacity // ls), capacity)
-        inside = np.flatnonzero(counts)
-        rise = counts[inside] / demand[open_][inside]
-        room = np.minimum(step, 1 - covered[open_][inside])
-        x = float((np.maximum(room, 1e-12) / rise).min())
-        covered[open_[inside]] += rise * x
-        whole = np.zeros(len(lengths), np.int64)
-        whole[open_] = counts
-        fillings.append(whole)
-        uses.append(x)
-        behind = covered - float((covered * demand * lengths).sum() / (demand * lengths).sum())
-        weight = np.exp(-eta * behind)
-    plan.lp_value = plan.containers + sum(uses)
-    left = demand.copy()
-    carry = 0.0
-    for whole, x in zip(fillings, uses, strict=True):
-        carry += x
-        inside = np.flatnonzero(whole)
-        n = min(math.floor(carry + 1e-9), int((left[inside] // whole[inside]).min()))
-        if n > 0:
-            carry -= n
-            left[inside] -= whole[inside] * n
-            plan.use([(int(lengths[i]), int(whole[i])) for i in inside], n, taken)
-        carry = min(carry, 1.0)
-    for filling, times in best_fit(lengths, left, capacity):
+    place = {int(k): j for j, k in enumerate(lengths)}
+    program = Program(lengths, demand, capacity)
+    packed = best_fit(lengths, demand, capacity)
+    program.add([{place[k]: n for k, n in f.items()} for f, _ in packed])
+    at = {tuple(sorted(f.items())): i for i, f in enumerate(program.fillings)}
+    for f, times in packed:
+        program.use[at[tuple(sorted((place[k], n) for k, n in f.items()))]] += times
+    best = packed
+    prices = lengths / capacity
+    idle = 0
+    while plan.pricings < rounds and idle < IDLE and program.value > max(program.bound * (1 + gap), math.ceil(program.bound - 1e-6) + 1e-6):
+        before = program.value, program.bound
+        plan.pricings += 1
+        program.add(program.price(prices))
+        prices = program.play()
+        idle = 0 if program.value < before[0] * (1 - 1e-4) or program.bound > before[1] * (1 + 1e-4) else idle + 1
+        now = rounded(program)
+        if sum(n for _, n in now) < sum(n for _, n in best):
+            best = now
+    plan.value, plan.bound = full + program.value, full + program.bound
+    for filling, times in best:
         plan.use(sorted(filling.items()), times, taken)
-    if plan.containers - histogram.get(capacity, 0) <= sum(n for _, n in plain):
-        return plan
-    simple, taken = Plan(capacity, lp_value=plan.lp_value), {}
-    if capacity in histogram:
-        simple.use([(capacity, 1)], histogram[capacity], taken)
-    for filling, times in plain:
-        simple.use(sorted(filling.items()), times, taken)
-    return simple
+    return plan
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -193,18 +306,6 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return [(f, k) for gs in groups.values() for f, k in gs if k]
 
 
-def _prices(fillings: list[tuple[dict[int, int], int]], lengths: np.ndarray) -> np.ndarray:
-    """Each length's mean share of the used room of its containers: what it
-    costs where containers can't be filled up."""
-    cost, many = dict.fromkeys(map(int, lengths), 0.0), dict.fromkeys(map(int, lengths), 0)
-    for filling, times in fillings:
-        used = sum(k * n for k, n in filling.items())
-        for k, n in filling.items():
-            cost[k] += times * n * k / used
-            many[k] += times * n
-    return np.array([cost[int(k)] / many[int(k)] for k in lengths])
-
-
 def ranked(items: DataFrame, by: str, key: str, buckets: int) -> DataFrame:
     """``items`` with ``_rank``, dense from 0 among the rows of the same ``by``:
     counted in hash buckets of the key, then added up, so that a ``by`` shared
@@ -218,7 +319,7 @@ def ranked(items: DataFrame, by: str, key: str, buckets: int) -> DataFrame:
     return numbered.join(offsets, [by, "_bucket"]).withColumn("_rank", F.col("_offset") + F.col("_in") - 1).drop("_bucket", "_in", "_offset")
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, rows_per_bucket: int = 50_000, step: float = 0.5) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, rows_per_bucket: int = 50_000) -> DataFrame:
     """``(key, piece, container, tokens)``: every piece of every item with its
     container; ``piece`` counts from 1 and is 1 for items left whole."""
     if capacity < 1:
@@ -228,7 +329,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, rows_per_b
     rest = F.when(F.col("_n") <= capacity, F.col("_n")).otherwise(F.col("_n") % capacity)
     counted = items.groupBy(rest.alias("_rest")).agg(F.count("*").alias("c")).where(F.col("_rest") > 0).collect()  # at most ``capacity`` rows
     histogram = {int(r["_rest"]): int(r["c"]) for r in counted}
-    plan = make_plan(histogram, capacity, step)
+    plan = make_plan(histogram, capacity)
     buckets = max(16, sum(histogram.values()) // rows_per_bucket)
     full = items.where(F.col("_n") > capacity).select("_id", F.explode(F.sequence(F.lit(1), (F.col("_n") / capacity).cast("int"))).alias("piece"))
     full = full.select("_id", "piece", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), "piece").alias("container"), F.lit(capacity).cast("long").alias("tokens"))

@@ -23,11 +23,53 @@ def test_knapsack_against_plain():
     for _ in range(20):
         lengths = np.array(sorted(rng.sample(range(1, 20), 5)))
         values = np.array([rng.random() for _ in lengths])
-        counts = K.best_filling(lengths, values, np.full(5, 99), 23)
-        best = [0.0] * 24
+        best, pick = K.knapsack(lengths, values, 23)
+        plain = [0.0] * 24
         for w in range(1, 24):
-            best[w] = max([best[w - 1], *(best[w - n] + v for n, v in zip(lengths, values) if n <= w)])
-        assert (counts * lengths).sum() <= 23 and (counts * values).sum() == pytest.approx(best[23])
+            plain[w] = max([plain[w - 1], *(plain[w - n] + v for n, v in zip(lengths, values) if n <= w)])
+        assert np.allclose(best, plain)
+        filling = K.traced(pick, lengths, 23)
+        assert sum(int(lengths[j]) * n for j, n in filling.items()) <= 23
+        assert sum(values[j] * n for j, n in filling.items()) == pytest.approx(plain[23])
+
+
+def _histogram(sizes):
+    return {int(k): int(v) for k, v in zip(*np.unique(sizes, return_counts=True))}
+
+
+def _best_fit(histogram, capacity):
+    lengths = np.array(sorted(histogram))
+    return sum(n for _, n in K.best_fit(lengths, np.array([histogram[int(k)] for k in lengths]), capacity))
+
+
+RNG = np.random.default_rng(0)
+HARD = {
+    "uniform": RNG.integers(1, 2048, 20000),
+    "middle": RNG.integers(600, 1401, 20000),
+    "thirds": RNG.integers(500, 760, 20000),
+    "worst for best fit": np.repeat([1045, 553, 532, 471], [6000, 6000, 6000, 12000]),
+    "few": RNG.choice([700, 650, 610, 450, 333, 1100, 950, 290], 20000),
+    "thirty": RNG.choice(RNG.integers(300, 900, 30), 20000),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_the_program_is_solved(name):
+    """The value lies between the bound and a best-fit packing, and the plan within 1 % of the bound."""
+    histogram = _histogram(HARD[name])
+    plan = K.make_plan(histogram, 2048)
+    simple = _best_fit(histogram, 2048)
+    assert plan.bound - 1e-6 <= plan.value <= simple + 1e-6
+    assert plan.bound - 1e-6 <= plan.containers <= min(simple, plan.bound * 1.01)
+    if name not in ("uniform", "middle"):  # best fit itself is within 1 % there
+        assert plan.containers < simple * 0.995
+
+
+def test_without_priced_fillings_the_hard_cases_stay_far_off(monkeypatch):
+    monkeypatch.setattr(K.Program, "price", lambda self, prices: [])
+    for name in ("few", "thirty", "worst for best fit"):
+        plan = K.make_plan(_histogram(HARD[name]), 2048)
+        assert plan.containers > plan.bound * 1.05
 
 
 @pytest.mark.parametrize("seed", range(4))
