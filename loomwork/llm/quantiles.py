@@ -27,21 +27,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = (20, 16, 14, 14)
-FLIP = 0x7FFFFFFFFFFFFFFF
+from loomwork.session import cut
+
+DIGITS = (20, 22, 22)
+MANTISSA = 52
+LOWEST = -1022  # exponent of the smallest normal double; below it lie the subnormal ones
+STEEP = 537  # 2 ** -1074 is the smallest double; its inverse overflows, so it is taken in two steps
 
 
 def order_key(x: Column) -> Column:
-    """The order-preserving signed 64-bit integer of a double that is neither null nor NaN."""
-    plain = F.when(x == 0, F.lit(0.0)).otherwise(x)
-    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
-    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(FLIP)))
+    """The order-preserving signed 64-bit integer of a double that is neither null
+    nor NaN: its IEEE bits, worked out by exact arithmetic in generated code."""
+    size = F.abs(x)
+    guess = F.greatest(F.lit(LOWEST), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
+    # the logarithm may be off by one next to a power of two
+    power = F.when(size < F.pow(F.lit(2.0), guess), guess - 1).when(size / F.pow(F.lit(2.0), guess) >= 2, guess + 1).otherwise(guess)
+    inside = (size / F.pow(F.lit(2.0), power) - 1) * float(1 << MANTISSA)
+    normal = (power + 1023).cast("long") * (1 << MANTISSA) + inside.cast("long")
+    tiny = (size * float(2**STEEP) * float(2**STEEP)).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << MANTISSA)).when(size < 2.0**LOWEST, tiny).otherwise(normal)
+    return F.when(x < 0, -bits - 1).otherwise(bits)
 
 
 def key_value(key: Column) -> Column:
     """The double of an :func:`order_key`."""
-    bits = F.when(key >= 0, key).otherwise(key.bitwiseXOR(F.lit(FLIP)))
-    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    bits = F.when(key >= 0, key).otherwise(-key - 1)
+    power = F.shiftright(bits, MANTISSA).cast("int")
+    inside = bits.bitwiseAND(F.lit((1 << MANTISSA) - 1)).cast("double")
+    normal = (inside / float(1 << MANTISSA) + 1) * F.pow(F.lit(2.0), power - 1023)
+    tiny = inside / float(2**STEEP) / float(2**STEEP)
+    size = F.when(power == 2047, F.lit(float("inf"))).when(power == 0, tiny).otherwise(normal)
+    return F.when(key >= 0, size).otherwise(-size)
 
 
 def _keyed(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -61,28 +77,33 @@ def _wanted(n: Column, quantiles: Sequence[float]) -> Column:
 def radix_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], digits: Sequence[int] = DIGITS) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbouring ranks:
     the group columns, ``n`` and ``q``, an array in the order of ``quantiles``.
+
+    A level is one scan, one join with the digits followed so far and one
+    aggregation; these digits, at most two a quantile and group, are written
+    down between levels, so a level's plan doesn't hold the earlier ones.
     """
     if sum(digits) != 64 or not quantiles or any(not 0 <= q <= 1 for q in quantiles):
         raise ValueError("digits must add to 64 and quantiles lie in 0..1")
     keys = [f"_g{i}" for i in range(len(groups))]
     rows = _keyed(df, groups, value)
+    carried = ["_p", "_n", "_start", "_ranks"]
     within = Window.partitionBy(*keys, "_p").orderBy("_d")
     done = 0
     followed: DataFrame | None = None
     for digit in digits:
-        done += digit
+        before, done = 64 - done, done + digit
         prefix = F.shiftright("_key", 64 - done) if done < 64 else F.col("_key")
         if followed is None:
             counted = rows.groupBy(*keys, F.lit(0).cast("long").alias("_p"), prefix.alias("_d")).agg(F.count("*").alias("_c"))
-            n = F.sum("_c").over(Window.partitionBy(*keys))
-            counted = counted.withColumn("_n", n).withColumn("_start", F.lit(0).cast("long")).withColumn("_ranks", _wanted(F.col("_n"), quantiles))
+            counted = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys, "_p"))).withColumn("_start", F.lit(0).cast("long")).withColumn("_ranks", _wanted(F.col("_n"), quantiles))
         else:
-            before = F.shiftright("_key", 64 - (done - digit))
-            inside = rows.withColumn("_p", before).join(followed.select(*keys, "_p"), [*keys, "_p"], "left_semi")
-            counted = inside.groupBy(*keys, "_p", prefix.alias("_d")).agg(F.count("*").alias("_c")).join(followed, [*keys, "_p"])
+            inside = rows.withColumn("_p", F.shiftright("_key", before)).join(followed, [*keys, "_p"])
+            counted = inside.groupBy(*keys, *carried, prefix.alias("_d")).agg(F.count("*").alias("_c"))
         first = F.col("_start") + F.sum("_c").over(within) - F.col("_c")
         held = F.expr("filter(_ranks, r -> r >= _first and r < _first + _c)")
-        followed = counted.withColumn("_first", first).withColumn("_ranks", held).where(F.size("_ranks") > 0).select(*keys, F.col("_d").alias("_p"), "_n", F.col("_first").alias("_start"), "_ranks")
+        step = counted.withColumn("_first", first).withColumn("_ranks", held).where(F.size("_ranks") > 0)
+        step = step.select(*keys, F.col("_d").alias("_p"), "_n", F.col("_first").alias("_start"), "_ranks")
+        followed = step if done == 64 else cut(step)
     found = followed.select(*keys, "_n", key_value(F.col("_p")).alias("_x"), F.explode("_ranks").alias("_r"))
     at = found.groupBy(*keys).agg(F.first("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
 

@@ -125,9 +125,9 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p6_combined(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles from summaries of eight slices of the rows, made apart and then combined."""
-    rows = _pay_groups(spark, sf)
-    slices = [quantiles.summarize(rows.where(F.pmod("posting_id", F.lit(8)) == k), ["dim", "grp"], "salary_mid", SUMMARY_BITS) for k in range(8)]
-    q = quantiles.summary_quantiles(quantiles.combine(slices), QUANTILES, SUMMARY_BITS)
+    rows = _pay_groups(spark, sf).withColumn("slice", F.coalesce(F.pmod("posting_id", F.lit(8)), F.lit(0)))
+    slices = quantiles.summarize(rows, ["slice", "dim", "grp"], "salary_mid", SUMMARY_BITS)
+    q = quantiles.summary_quantiles(quantiles.combine([slices.drop("slice")]), QUANTILES, SUMMARY_BITS)
     return q.select("dim", "grp", "n", *[F.round(F.col("q")[i], 6).alias(f"p{round(x * 100)}") for i, x in enumerate(QUANTILES)])
 
 

@@ -79,6 +79,24 @@ def test_key_keeps_order(spark):
     assert all(r["x"] == r["y"] for r in df.select("x", Q.key_value(F.col("k")).alias("y")).collect())
 
 
+def test_key_is_the_bits_of_the_double(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-(1 << 63), (1 << 63) - 1, 4000).view(np.float64)
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    x = np.concatenate([x[~np.isnan(x)], powers, -powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), rng.lognormal(2, 2, 2000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", Q.order_key(F.col("x")).alias("k"))
+    for r in df.select("x", "k", Q.key_value(F.col("k")).alias("y")).collect():
+        bits = int(np.float64(abs(r["x"])).view(np.int64))
+        assert r["k"] == (bits if r["x"] >= 0 else -bits - 1) and r["x"] == r["y"]
+
+
+def test_a_level_is_one_join(spark):
+    """The plan doesn't grow with the levels before."""
+    q = Q.radix_quantiles(spark.createDataFrame(_values(), "g string, x double"), ["g"], "x", QS)
+    plan = q._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Window [") <= 1
+
+
 QS = (0.0, 0.1, 0.5, 0.75, 1.0)
 
 
