@@ -1,26 +1,25 @@
 """Scores for abusive, hateful or sexual content by a factorization machine.
 
-Texts are first undisguised - invisible signs, letters spelled apart, digits
-and masks for letters, stretched letters - then cut into sentences. A sentence
-is the set of its hashed words and word pairs, and the factorization machine
-scores it as
+Texts are cut into sentences and undisguised - invisible signs, letters spelled
+apart, digits and masks for letters, stretched letters. What is scored is the
+set of hashed words of a sentence, and of each two neighbouring sentences, so
+that an insult and the group it is meant for may stand in two of them:
 
     w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
-so that what only two terms together tell (an insult with a group, a body part
-with an offer) is learned as a product of factors, and a word that is harmless
-in a rule or a report stays harmless there. A document's score is that of its
-worst sentence.
+There are no terms of several words: what only two words together tell (an
+insult with a group, a body part with an offer) can be learned as a product of
+factors alone, and a word that is harmless in a rule or a report stays harmless
+there. A document's score is that of its worst sentence or pair.
 
 The model is trained from reviewers' marks, on at most ``MARKED`` marked
-documents chosen by hash, and on all unmarked ones; every document is scored,
-whole. Marks name documents, not sentences: a marked document's worst sentence
-stands for it and is chosen anew in every round. Unmarked documents weigh a
-little as clear ones, but for sentences the last round was sure of. Their
-sentences are counted by Spark; each distinct one and its count reaches the
-driver, and the models are fitted in tasks. Marks that a model trained without them strongly
-contradicts are taken as mistakes and left out, and the
-threshold is the one that does best on those held-out scores.
+documents chosen by hash; every document is scored, whole. Marks name
+documents, not sentences: a marked document's worst sentence stands for it and
+is chosen anew in every round. Held-out models, fitted in parallel tasks, score
+each mark without having seen it: marks they strongly contradict are taken as
+mistakes and left out, and the threshold is the one that does best on those
+scores. Masked words are resolved by words and neighbours counted over all
+documents.
 
 Defined cases: null and blank texts score 0; a text of any length is read
 whole; ties between raters count as marked; with no marks of either kind the
@@ -33,7 +32,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,17 +40,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.session import cut
-
 MARKED = 20_000
-OTHER_WEIGHT = 0.3
 DOUBTED = 0.1
 FOLDS = 5  # at every size: held-out models see 80 % of the marks
 MOST_WEIGHT = 8.0
-SURE = 1.5  # logit from which an unmarked document's worst sentence is learned as a case
-MOST_COUNTED = 300_000  # words and pairs a task holds before it hands them on
+LEAST_UPDATES = 60  # of one fitting, however few samples there are
 BITS = 17
 FACTORS = 8
+REMEMBERED = 200_000  # sentences a task keeps the score of
 
 INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
 APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-_·|]+[^\W\d_])+(?![^\W\d_])|(?<![^\W\d_])[^\W\d_](?:\*[^\W\d_]){2,}\*?(?![^\W\d_*])")
@@ -60,18 +56,33 @@ STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 DIGITS = str.maketrans("0134578@$9", "oieastbasg")  # digits written for letters
 # What stands behind a figure as a measure.
 MEASURES = frozenset("k tr km m kg th h p cm s đ x st nd rd g pm am t usd vnd y yr yrs mm gb mb w v d l ml ha tỷ triệu".split())
+FIGURES = re.compile(r"[0-9@$]")
+JOINS = re.compile(r"[.\-_·|*]")
 MIXED = re.compile(r"[\w@$*]*[^\W\d_][\w@$*]*")
 SENTENCE = re.compile(r"[.!?\n;…]+(?=\s|$)|\n+|[^\w\s.,!?;:'\"()*%/&+\-–—…\[\]]+")
 WORD = re.compile(r"[^\W_]+(?:\*+[^\W_]*)*|\*+[^\W_]+")
 
 
+class _Plain(dict):
+    """Letter to letter without marks, found out once per letter."""
+
+    def __missing__(self, code: int) -> str:
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code).replace("đ", "d")) if not unicodedata.combining(c))
+        self[code] = bare
+        return bare
+
+
+_PLAIN = _Plain()
+_HASHES: dict[str, int] = {}
+
+
 def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d")) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_PLAIN)
 
 
 def _unleet(match: re.Match) -> str:
     word = match.group()
-    if not re.search(r"[0-9@$]", word) or word.isdigit():
+    if not FIGURES.search(word) or word.isdigit():
         return word
     if sum(c.isdigit() for c in word) > 4 or word.lstrip("0123456789") in MEASURES:
         return word
@@ -81,50 +92,33 @@ def _unleet(match: re.Match) -> str:
 def undisguise(text: str) -> str:
     """Lower-case NFC text with letters put together again."""
     t = INVISIBLE.sub("", unicodedata.normalize("NFC", text)).lower()
-    t = APART.sub(lambda m: re.sub(r"[.\-_·|*]+", "", m.group()), t)
+    if JOINS.search(t):
+        t = APART.sub(lambda m: re.sub(r"[.\-_·|*]+", "", m.group()), t)
     t = SPACED.sub(lambda m: m.group().replace(" ", ""), t)
     t = STRETCHED.sub(r"\1", t)
-    return MIXED.sub(_unleet, t)
+    return MIXED.sub(_unleet, t) if FIGURES.search(t) else t
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence, without marks; '*' stands for masked letters."""
-    if not text or not text.strip():
-        return []
-    out = []
-    for part in SENTENCE.split(undisguise(text)):
-        words = WORD.findall(plain(part))
-        if words:
-            out.append(words)
-    return out
+def words_of(sentence: str) -> list[str]:
+    """The words of a sentence as it stands in the text, without marks; '*' stands for masked letters."""
+    return WORD.findall(plain(undisguise(sentence)))
+
+
+def parts(text: str | None) -> list[str]:
+    """The sentences of a text as they stand there."""
+    return [p for p in SENTENCE.split(text) if p.strip()] if text else []
 
 
-def clear_words(words: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
-    """Words without masks that may stand for a masked one, and pairs of neighbours without masks."""
-    clear = [w if "*" not in w else "" for w in words]
-    return [w for w in clear if w and len(w) < 16 and not w.isdigit()], [(a, b) for a, b in zip(clear, clear[1:], strict=False) if a and b]
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence that has any."""
+    return [w for w in map(words_of, parts(text)) if w]
 
 
 class Unmask:
-    """Guesses masked words from neighbours and frequency in texts."""
-
-    def __init__(self, texts: list[list[str]], least: int = 2) -> None:
-        single: Counter = Counter()
-        pairs: Counter = Counter()
-        for words in texts:
-            one, two = clear_words(words)
-            single.update(one)
-            pairs.update(two)
-        self._take({w: n for w, n in single.items() if n >= least}, {p: n for p, n in pairs.items() if n >= least})
-
-    @classmethod
-    def counted(cls, single: dict[str, int], pairs: dict[tuple[str, str], int]) -> Unmask:
-        """From words and pairs counted elsewhere."""
-        new = cls.__new__(cls)
-        new._take(single, pairs)
-        return new
-
-    def _take(self, single: dict[str, int], pairs: dict[tuple[str, str], int]) -> None:
+    """Guesses masked words from frequency and neighbours: ``single`` counts
+    words that fit a masked one, ``pairs`` neighbours of which one does."""
+
+    def __init__(self, single: dict[str, int], pairs: dict[tuple[str, str], int]) -> None:
         self.single, self.pairs = single, pairs
         self.fits: dict[str, list[str]] = defaultdict(list)
         for w in single:
@@ -151,12 +145,31 @@ class Unmask:
         return out
 
 
+def counted(texts: list[list[str]], least: int = 2) -> Unmask:
+    """:class:`Unmask` from all words and neighbours of a few texts."""
+    clear = [[w if "*" not in w else "" for w in words] for words in texts]
+    single = Counter(w for ws in clear for w in ws if w and len(w) < 16 and not w.isdigit())
+    pairs = Counter((a, b) for ws in clear for a, b in zip(ws, ws[1:], strict=False) if a and b)
+    return Unmask({w: n for w, n in single.items() if n >= least}, {p: n for p, n in pairs.items() if n >= least})
+
+
 def terms(words: list[str]) -> np.ndarray:
-    """Distinct hashed words and word pairs of a sentence."""
-    words = ["0" if w.isdigit() else w for w in words]
-    each = [zlib.crc32(w.encode()) for w in words]
-    two = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)]
-    return np.unique(np.array(each + two, np.int64) & ((1 << BITS) - 1))
+    """Distinct hashed words of a sentence; all numbers are one word."""
+    out = set()
+    for w in words:
+        h = _HASHES.get(w)
+        if h is None:
+            if len(_HASHES) > 500_000:
+                _HASHES.clear()
+            h = _HASHES[w] = zlib.crc32(b"0" if w.isdigit() else w.encode()) & ((1 << BITS) - 1)
+        out.add(h)
+    return np.array(sorted(out), np.int64)
+
+
+def bag(text: str | None, unmask: Unmask) -> list[np.ndarray]:
+    """The terms of each sentence, then of each two neighbouring ones."""
+    one = [terms(unmask(w)) for w in sentences(text)]
+    return one + [np.union1d(a, b) for a, b in zip(one, one[1:], strict=False)]
 
 
 @dataclass
@@ -190,23 +203,31 @@ def fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
     rng = np.random.default_rng(seed)
     m = Machine(0.0, np.zeros(1 << BITS, np.float32), rng.normal(0, 0.05, (1 << BITS, FACTORS)).astype(np.float32))
     gw, gv, g0 = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
+    every, start = _flat(sets)
+    every = every.astype(np.int32)
+    length = np.diff(np.r_[start, len(every)])
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
+    updates = -(-len(sets) // batch)
+    for _ in range(max(epochs, -(-LEAST_UPDATES // max(1, updates)))):
         order = rng.permutation(len(sets))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            ids, starts = _flat([sets[i] for i in some])
-            size = np.diff(np.r_[starts, len(ids)])
+            size = length[some]
+            starts = np.r_[0, np.cumsum(size)[:-1]]
+            ids = every[np.repeat(start[some] - starts, size) + np.arange(size.sum())]
             x = (1 / np.sqrt(size)).astype(np.float32)
             row = np.repeat(np.arange(len(some)), size)
             v = m.v[ids]
             total = np.add.reduceat(v, starts, axis=0)
             square = np.add.reduceat(v * v, starts, axis=0)
             z = m.w0 + np.add.reduceat(m.w[ids], starts) * x + 0.5 * (total * total - square).sum(axis=1) * x * x
-            off = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) * weight[some]).astype(np.float32)
-            sort = np.argsort(ids, kind="stable")
-            unique, first = np.unique(ids[sort], return_index=True)
-            dw = np.add.reduceat((off * x)[row][sort], first) + decay * m.w[unique]
-            dv = np.add.reduceat(((off * x * x)[row][:, None] * (total[row] - v))[sort], first, axis=0) + decay * m.v[unique]
+            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) * weight[some]
+            sort = np.argsort(ids)
+            ordered = ids[sort]
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            unique, row = ordered[first], row[sort]
+            dw = np.add.reduceat((off * x)[row], first) + decay * m.w[unique]
+            dv = np.add.reduceat((off * x * x)[row][:, None] * (total[row] - v[sort]), first, axis=0) + decay * m.v[unique]
             gw[unique] += dw * dw
             gv[unique] += dv * dv
             g0 += float(off.sum()) ** 2
@@ -237,101 +258,67 @@ def _first_guess(bags: list[list[np.ndarray]], y: np.ndarray) -> np.ndarray:
             n[int(c), np.unique(np.concatenate(b))] += 1
     many = np.maximum(np.array([(y == 0).sum(), (y == 1).sum()], float), 1)
     odds = np.log((n[1] + 0.5) / (many[1] + 1)) - np.log((n[0] + 0.5) / (many[0] + 1))
-    trust = (n.sum(axis=0) >= 2) * 1.0
+    odds *= n.sum(axis=0) >= 2
     which = np.zeros(len(bags), np.int64)
     for i, b in enumerate(bags):
         if b:
-            which[i] = int(np.argmax([np.sort((odds * trust)[s])[-6:].sum() for s in b]))
+            which[i] = int(np.argmax([np.sort(odds[s])[-6:].sum() for s in b]))
     return which
 
 
-def _key(s: np.ndarray) -> bytes:
-    return s.astype(np.int32).tobytes()
-
-
-def _set(key: bytes) -> np.ndarray:
-    return np.frombuffer(key, np.int32)
-
-
-def sure_sentences(m: Machine, bags: list[list[np.ndarray]]) -> Counter:
-    """How often each sentence is the worst one of a document that the model is sure of."""
-    best, which = _bag_scores(m, bags)
-    return Counter(_key(bags[i][which[i]]) for i in np.flatnonzero(best > SURE))
-
-
-@dataclass
-class Unmarked:
-    """Sentences of the unmarked documents with their counts; ``sure`` gives
-    :func:`sure_sentences` of these documents for each of several models."""
-
-    documents: int
-    counts: dict[bytes, int]
-    sure: Callable[[list[Machine]], list[Counter]]
-
-
-def _step(bags: list[list[np.ndarray]], y: np.ndarray, documents: int, counts: dict[bytes, int], some: np.ndarray, which: np.ndarray, sure: Counter, epochs: int) -> Machine:
-    """The model of one round from ``some`` of the marked documents and all
-    unmarked ones. Sentences said alike are one sample of more weight, up to a cap."""
+def _step(bags: list[list[np.ndarray]], y: np.ndarray, some: np.ndarray, which: np.ndarray, epochs: int) -> Machine:
+    """The model of one round from ``some`` of the marked documents. Units alike
+    are one sample of more weight, up to a cap."""
     sample: dict[tuple[bytes, float], float] = defaultdict(float)
     for i, worst in zip(some, which, strict=True):
-        for k, s in enumerate(bags[i]):
-            key = _key(s)
-            if not y[i]:
-                sample[key, 0.0] += 1.0
-            elif k == worst:
-                sample[key, 1.0] += 2.0
-            else:
-                sample[key, 0.0] += 0.3
-    other = OTHER_WEIGHT * min(1.0, len(some) / max(1, documents))
-    for key, n in counts.items():
-        cases = sure.get(key, 0)
-        if cases:
-            sample[key, 1.0] += cases
-        if n > cases:
-            sample[key, 0.0] += other * (n - cases)
+        units = bags[i]
+        if not y[i]:
+            for u in units:
+                sample[u.tobytes(), 0.0] += 1.0
+        elif units:
+            sample[units[worst].tobytes(), 1.0] += 2.0
     total: dict[bytes, float] = defaultdict(float)
     for (key, _), n in sample.items():
         total[key] += n
     weights = np.array([n * min(1.0, MOST_WEIGHT / total[key]) for (key, _), n in sample.items()], np.float32)
-    return fit([_set(key) for key, _ in sample], np.array([c for _, c in sample], np.float32), weights, epochs=epochs, batch=512)
+    return fit([np.frombuffer(key, np.int64) for key, _ in sample], np.array([c for _, c in sample], np.float32), weights, epochs=epochs, batch=512)
 
 
-def _train(bags: list[list[np.ndarray]], y: np.ndarray, others: Unmarked, parts: list[np.ndarray], steps: Callable[[list[tuple]], list[Machine]], rounds: int = 3) -> list[Machine]:
-    """The model of each of the ``parts`` of the marked documents."""
-    which = [_first_guess([bags[i] for i in some], y[some]) for some in parts]
+def _train(bags: list[list[np.ndarray]], y: np.ndarray, shares: list[np.ndarray], steps: Callable[[list[tuple]], list[Machine]], rounds: int = 3) -> list[Machine]:
+    """The model of each of the ``shares`` of the marked documents."""
+    which = [_first_guess([bags[i] for i in some], y[some]) for some in shares]
     models: list[Machine] = []
     for r in range(rounds):
-        sure = others.sure(models) if r else [Counter()] * len(parts)
-        models = steps([(some, w, s, 4 if r < rounds - 1 else 8) for some, w, s in zip(parts, which, sure, strict=True)])
-        which = [_bag_scores(m, [bags[i] for i in some])[1] for m, some in zip(models, parts, strict=True)]
+        models = steps([(some, w, 3 if r < rounds - 1 else 6) for some, w in zip(shares, which, strict=True)])
+        which = [_bag_scores(m, [bags[i] for i in some])[1] for m, some in zip(models, shares, strict=True)]
     return models
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold between scores that gives the highest F1; the middle of the gap."""
+def best_threshold(p: np.ndarray, y: np.ndarray, near: float = 0.005) -> float:
+    """The middle, as odds, of the thresholds whose F1 is within ``near`` of the highest."""
     order = np.argsort(-p)
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-    k = int(f1.argmax())
-    low = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float((p[order[k]] + low) / 2)
+    good = np.flatnonzero(f1 >= f1.max() - near)
+    low = p[order[good[-1] + 1]] if good[-1] + 1 < len(p) else 0.0
+    ends = np.clip([p[order[good[0]]], (p[order[good[-1]]] + low) / 2], 1e-6, 1 - 1e-6)
+    return float(1 / (1 + np.exp(-np.log(ends / (1 - ends)).mean())))
 
 
-def _learn(bags: list[list[np.ndarray]], y: np.ndarray, others: Unmarked, steps: Callable[[list[tuple]], list[Machine]]) -> Machine:
+def _learn(bags: list[list[np.ndarray]], y: np.ndarray, steps: Callable[[list[tuple]], list[Machine]]) -> Machine:
     """``steps`` runs :func:`_step` for each of several argument lists."""
-    part = np.arange(len(y)) % FOLDS
+    fold = np.arange(len(y)) % FOLDS
     out = np.zeros(len(y))
-    held = [h for h in range(FOLDS) if len(set(y[part != h])) == 2]
-    for h, m in zip(held, _train(bags, y, others, [np.flatnonzero(part != h) for h in held], steps, rounds=2), strict=True):
-        b = np.flatnonzero(part == h)
+    held = [h for h in range(FOLDS) if len(set(y[fold != h])) == 2]
+    for h, m in zip(held, _train(bags, y, [np.flatnonzero(fold != h) for h in held], steps, rounds=2), strict=True):
+        b = np.flatnonzero(fold == h)
         out[b] = _bag_scores(m, [bags[i] for i in b])[0]
     p = 1 / (1 + np.exp(-out))
-    keep = np.flatnonzero(~((y == 1) & (p < DOUBTED)) & ~((y == 0) & (p > 0.9)))
+    keep = np.flatnonzero(~((y == 1) & (p < DOUBTED)) & ~((y == 0) & (p > 1 - DOUBTED)))
     if y[keep].sum() < 2:
         keep = np.arange(len(y))
-    m = _train(bags, y, others, [keep], steps)[0]
-    # held-out scores lie a little lower than those of the model of all marks
-    m.threshold = min(0.6, max(0.25, best_threshold(p[keep], y[keep])))
+    m = _train(bags, y, [keep], steps)[0]
+    m.threshold = best_threshold(p[keep], y[keep])
     return m
 
 
@@ -343,20 +330,14 @@ def _nothing() -> Machine:
     return Machine(-20.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
 
 
-def learn(texts: list[str | None], marked: np.ndarray, others: list[str | None] = ()) -> tuple[Machine, Unmask]:
-    """The model, from texts and whether each is marked as a case. ``others``
-    are unmarked texts, most of which are clear: they weigh little and keep
-    common sentences from being learned from wrong marks."""
+def learn(texts: list[str | None], marked: np.ndarray) -> tuple[Machine, Unmask]:
+    """The model, from texts and whether each is marked as a case."""
     y = np.asarray(marked, np.int64)
-    words = [sentences(t) for t in texts]
-    unmask = Unmask([s for d in words for s in d])
+    unmask = counted([s for t in texts for s in sentences(t)])
     if not _enough(y):
         return _nothing(), unmask
-    bags = [[terms(unmask(s)) for s in d] for d in words]
-    more = [[terms(unmask(s)) for s in sentences(t)] for t in others]
-    counts = Counter(_key(s) for b in more for s in b)
-    unmarked = Unmarked(len(more), {k: counts[k] for k in sorted(counts)}, lambda models: [sure_sentences(m, more) for m in models])
-    return _learn(bags, y, unmarked, lambda steps: [_step(bags, y, unmarked.documents, unmarked.counts, *s) for s in steps]), unmask
+    bags = [bag(t, unmask) for t in texts]
+    return _learn(bags, y, lambda steps: [_step(bags, y, *s) for s in steps]), unmask
 
 
 def marks(labels: DataFrame, key: str, label: str, clear: str = "none") -> DataFrame:
@@ -365,101 +346,132 @@ def marks(labels: DataFrame, key: str, label: str, clear: str = "none") -> DataF
     return votes.agg((F.avg(F.when(F.col(label) == clear, 0.0).otherwise(1.0)) >= 0.5).alias("marked"))
 
 
+def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each masked word with what stands before and after it."""
+    for b in batches:
+        seen = {(w, words[i - 1].replace("*", "") if i else "", words[i + 1].replace("*", "") if i + 1 < len(words) else "") for t in b["_t"] for words in sentences(t) for i, w in enumerate(words) if "*" in w}
+        yield pd.DataFrame(sorted(seen), columns=["m", "l", "r"])
+
+
+class Fitting:
+    """Counts words that fit one of the masked words, and their neighbours next to these."""
+
+    def __init__(self, masks: Iterable[tuple[str, str, str]]) -> None:
+        masks = list(masks)
+        self.shapes = {m for m, _, _ in masks} | {m.replace("*", "") for m, _, _ in masks}
+        self.before, self.after = {x for _, x, _ in masks}, {x for _, _, x in masks}
+        self.known: dict[str, bool] = {}
+        self.counts: Counter = Counter()
+
+    def fits(self, word: str) -> bool:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            got = len(word) < 16 and "*" not in word and not word.isdigit() and (word in self.shapes or any(word[:i] + "*" + word[i + 1 :] in self.shapes for i in range(len(word))))
+            self.known[word] = got
+        return got
+
+    def add(self, words: list[str], times: int) -> None:
+        for i, w in enumerate(words):
+            if self.fits(w):
+                self.counts["", w] += times
+                if i and (words[i - 1] in self.before or self.fits(words[i - 1])):
+                    self.counts[words[i - 1], w] += times
+                if i + 1 < len(words) and words[i + 1] in self.after and not self.fits(words[i + 1]):  # else counted from there
+                    self.counts[w, words[i + 1]] += times
+
+
 def corpus_unmask(documents: DataFrame, text: str, least: int = 2) -> Unmask:
-    """:class:`Unmask` from the words and pairs of all ``documents``. Only words
-    that fit a masked one, and their pairs with what stands next to masked words,
-    reach the driver."""
+    """:class:`Unmask` from words and neighbours of all ``documents``, in one pass
+    over them and one over those with a mask. Sentences repeated in a task are
+    read once. What reaches the driver is the masked words with their neighbours
+    and what fits them, not the vocabulary."""
+    rows = documents.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull())
+    masks = [tuple(r) for r in rows.where(F.contains("_t", F.lit("*"))).mapInPandas(_masked, "m string, l string, r string").distinct().collect()]
+    if not masks:
+        return Unmask({}, {})
+    shared = documents.sparkSession.sparkContext.broadcast(masks)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        for batch in batches:
-            for t in batch["_t"]:
-                for words in sentences(t):
-                    one, two = clear_words(words)
-                    n.update([("word", w, "") for w in one])
-                    n.update([("pair", *p) for p in two])
-                    for i, w in enumerate(words):
-                        if "*" in w:
-                            n["mask", w, w.replace("*", "")] += 1
-                            n.update([("near", x.replace("*", ""), "") for x in (*words[max(0, i - 1) : i], *words[i + 1 : i + 2])])
-                if len(n) > MOST_COUNTED:
-                    yield _tallied(n)
-                    n.clear()
-        yield _tallied(n)
-
-    rows = documents.select(F.col(text).alias("_t")).mapInPandas(tally, "what string, a string, b string, n long")
-    counts = cut(rows.groupBy("what", "a", "b").agg(F.sum("n").alias("n")))
-    masks = counts.where(F.col("what") == "mask")
-    masked = masks.select(F.explode(F.array("a", "b")).alias("_m")).distinct()
-    holes = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.lit("*"), F.substring("w", i + 1, F.length("w"))))
-    words = counts.where((F.col("what") == "word") & (F.col("n") >= least)).select(F.col("a").alias("w"), "n")
-    fits = cut(words.select("w", "n", F.explode(F.concat(F.array("w"), holes)).alias("_m")).join(masked, "_m", "left_semi").select("w", "n").distinct())
-    near = counts.where(F.col("what") == "near").select(F.col("a").alias("w")).unionByName(fits.select("w")).distinct()
-    pairs = counts.where((F.col("what") == "pair") & (F.col("n") >= least)).select("a", "b", "n")
-
-    def among(df: DataFrame, side: str, these: DataFrame) -> DataFrame:
-        return df.join(these.select(F.col("w").alias(side)), side, "left_semi").select("a", "b", "n")
-
-    used = among(among(pairs, "b", fits), "a", near).unionByName(among(among(pairs, "a", fits), "b", near)).distinct()
-    return Unmask.counted({r["w"]: r["n"] for r in fits.orderBy("w").collect()}, {(r["a"], r["b"]): r["n"] for r in used.collect()})
-
-
-def _tallied(n: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(*k, c) for k, c in n.items()], columns=["what", "a", "b", "n"])
-
-
-def count_unmarked(documents: DataFrame, text: str, unmask: Unmask) -> Unmarked:
-    """The sentences of all ``documents``. Each distinct one reaches the driver
-    once, with its count, in an order that doesn't depend on the partitions."""
-    sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast(unmask)
+        fitting, said = Fitting(shared.value), Counter()
+
+        def read() -> None:
+            for sentence, n in said.items():
+                fitting.add(words_of(sentence), n)
+            said.clear()
 
-    def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"bag": [[_key(terms(shared.value(s))) for s in sentences(t)] for t in batch["_t"]]})
-
-    bags = cut(documents.select(F.col(text).alias("_t")).mapInPandas(bag, "bag array<binary>"))
-    rows = bags.select(F.explode("bag").alias("s")).groupBy("s").agg(F.count("*").alias("n")).toPandas()
-    counts = dict(sorted(zip(map(bytes, rows["s"]), map(int, rows["n"]), strict=True)))
-
-    def sure(models: list[Machine]) -> list[Counter]:
-        said = sc.broadcast(models)
-
-        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            each: Counter = Counter()
-            for batch in batches:
-                some = [[_set(s) for s in b] for b in batch["bag"]]
-                for k, m in enumerate(said.value):
-                    each.update({(k, s): n for s, n in sure_sentences(m, some).items()})
-            yield pd.DataFrame([(k, s, n) for (k, s), n in each.items()], columns=["model", "s", "n"])
-
-        out = [Counter() for _ in models]
-        for r in bags.mapInPandas(tally, "model int, s binary, n long").groupBy("model", "s").agg(F.sum("n").alias("n")).collect():
-            out[r["model"]][bytes(r["s"])] = r["n"]
-        return out
+            for t in batch["_t"]:
+                said.update(parts(t))
+                if len(said) > REMEMBERED:
+                    read()
+        read()
+        yield pd.DataFrame([(a, b, n) for (a, b), n in fitting.counts.items()], columns=["a", "b", "n"])
 
-    return Unmarked(bags.count(), counts, sure)
+    counts = rows.mapInPandas(tally, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("a", "b").collect()
+    return Unmask({r["b"]: r["n"] for r in counts if not r["a"]}, {(r["a"], r["b"]): r["n"] for r in counts if r["a"]})
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = MARKED) -> tuple[Machine, Unmask]:
-    """The model from at most ``most`` marked documents, chosen by hash, and all unmarked ones."""
+    """The model from at most ``most`` marked documents, chosen by hash."""
     mark = marks(labels, key, label)
     chosen = mark.orderBy(F.xxhash64(key), key).limit(most)
     rows = documents.select(key, text).join(F.broadcast(chosen), key).select(key, text, "marked").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[key]).encode()), r[key], r[text] or ""))
     y = np.array([r["marked"] for r in rows], np.int64)
     if not _enough(y):
-        return _nothing(), Unmask([])
+        return _nothing(), Unmask({}, {})
     unmask = corpus_unmask(documents, text)
-    bags = [[terms(unmask(s)) for s in sentences(r[text])] for r in rows]
-    others = count_unmarked(documents.select(key, text).join(mark.select(key), key, "left_anti"), text, unmask)
+    bags = [bag(r[text], unmask) for r in rows]
     sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast((bags, y, others.documents, others.counts))
+    shared = sc.broadcast((bags, y))
 
     def steps(each: list[tuple]) -> list[Machine]:
         return sc.parallelize(each, len(each)).map(lambda s: _step(*shared.value, *s)).collect()
 
-    return _learn(bags, y, others, steps), unmask
+    return _learn(bags, y, steps), unmask
+
+
+class Scorer:
+    """Scores of texts; sentences seen before in the task are not read again."""
+
+    def __init__(self, machine: Machine, unmask: Unmask) -> None:
+        self.machine, self.unmask = machine, unmask
+        self.known: dict[str, np.ndarray] = {}
+
+    def terms(self, sentence: str) -> np.ndarray:
+        got = self.known.get(sentence)
+        if got is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            got = self.known[sentence] = terms(self.unmask(words_of(sentence))).astype(np.int64)
+        return got
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """The worst unit of each text, 0 to 1."""
+        sets, owner = [], []
+        for i, t in enumerate(texts):
+            for p in parts(t):
+                s = self.terms(p)
+                if len(s):
+                    sets.append(s)
+                    owner.append(i)
+        best = np.full(len(texts), -30.0)
+        if sets:
+            at = np.array(owner)
+            ids, starts = _flat(sets)
+            np.maximum.at(best, at, self.machine.logits(ids, starts))
+            two = np.flatnonzero(at[1:] == at[:-1])
+            if len(two):  # neighbours: both sets' terms, each once
+                size = np.diff(np.r_[starts, len(ids)])
+                both = size[two] + size[two + 1]
+                inside = np.repeat(starts[two] - np.r_[0, np.cumsum(both)[:-1]], both) + np.arange(both.sum())
+                code = np.sort(np.repeat(np.arange(len(two)) << BITS, both) | ids[inside])
+                code = code[np.r_[True, code[1:] != code[:-1]]]
+                first = np.searchsorted(code, np.arange(len(two)) << BITS)
+                np.maximum.at(best, at[two], self.machine.logits(code & ((1 << BITS) - 1), first))
+        return np.where(best > -30.0, 1 / (1 + np.exp(-np.clip(best, -30, 30))), 0.0)
 
 
 def score(documents: DataFrame, key: str, text: str, model: tuple[Machine, Unmask], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -467,18 +479,12 @@ def score(documents: DataFrame, key: str, text: str, model: tuple[Machine, Unmas
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, unmask = shared.value
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            sets, owner = [], []
-            for i, t in enumerate(batch["_t"]):
-                for s in sentences(t):
-                    sets.append(terms(unmask(s)))
-                    owner.append(i)
-            best = np.zeros(len(batch))
-            if sets:
-                z = m.logits(*_flat(sets))
-                np.maximum.at(best, np.array(owner), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield batch.drop(columns="_t").assign(score=np.round(best, 6))
+            texts = batch["_t"].tolist()
+            # a few documents at once, so that very long ones don't add up
+            got = [scorer(texts[i : i + 256]) for i in range(0, len(texts), 256)]
+            yield batch.drop(columns="_t").assign(score=np.round(np.concatenate(got), 6) if got else np.zeros(0))
 
     rows = documents.select(F.col(key), *keep, F.col(text).alias("_t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_t")

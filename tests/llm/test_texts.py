@@ -233,7 +233,7 @@ def test_undisguise(text, expected):
 
 
 def test_masks_are_guessed():
-    unmask = Y.Unmask([["toan", "lu", "khon", "nan"]] * 5 + [["nha", "may"]] * 3)
+    unmask = Y.counted([["toan", "lu", "khon", "nan"]] * 5 + [["nha", "may"]] * 3)
     assert unmask(["lu", "khon", "na*"]) == ["lu", "khon", "nan"] and unmask(["z*q"]) == ["zq"]
 
 
@@ -261,7 +261,7 @@ def test_held_out_accuracy_with_wrong_marks():
     texts, marked = _texts(500, 1)
     rng = random.Random(9)
     noisy = [m if rng.random() > 0.05 else not m for m in marked]
-    machine, unmask = Y.learn(texts, np.array(noisy, np.int64), _texts(200, 5)[0])
+    machine, unmask = Y.learn(texts, np.array(noisy, np.int64))
     held, truth = _texts(300, 2)
     z, _ = Y._bag_scores(machine, [[Y.terms(unmask(s)) for s in Y.sentences(t)] for t in held])
     said = 1 / (1 + np.exp(-z)) >= machine.threshold
@@ -294,13 +294,67 @@ def test_scores_of_rows(spark):
     assert max(r["score"] for r in Y.score(docs, "doc_id", "text", none).collect()) < 0.01
 
 
-def test_all_unmarked_documents_are_learned_from(spark):
-    """More unmarked documents than any sample took; each says a word of its own."""
-    docs = spark.createDataFrame([(i, "Mày là đồ ngu." if i % 2 else "Mức lương ổn định.") for i in range(12)] + [(100 + i, f"riêng{i}q") for i in range(11_000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(12)], "doc_id long, label string")
-    machine, unmask = Y.train(docs, labels, "doc_id", "text", "label")
-    own = np.array([Y.terms(unmask(Y.sentences(f"riêng{i}q")[0]))[0] for i in range(11_000)])
-    assert (machine.w[own] != 0).all()
+def _without_factors(sets, y, weight, **settings):
+    """Logistic regression on the same samples: the linear weights alone."""
+    m = Y.Machine(0.0, np.zeros(1 << Y.BITS, np.float32), np.zeros((1 << Y.BITS, Y.FACTORS), np.float32))
+    g = np.full(1 << Y.BITS, 1e-2, np.float32)
+    ids, starts = Y._flat(sets)
+    size = np.diff(np.r_[starts, len(ids)])
+    x = 1 / np.sqrt(size)
+    for _ in range(80):
+        off = (1 / (1 + np.exp(-np.clip(m.logits(ids, starts), -30, 30))) - y) * weight
+        d = np.bincount(ids, weights=np.repeat(off * x, size), minlength=1 << Y.BITS)
+        g += d * d
+        m.w -= 0.3 * d / np.sqrt(g)
+        m.w0 -= 0.05 * off.mean()
+    return m
+
+
+GROUPS, SCORN = ["nhóm alpha", "dân beta", "bọn gamma", "người delta"], ["là rác rưởi", "đáng bị đuổi", "toàn lũ bẩn", "không phải người"]
+THINGS, PRAISE = ["thùng số ba", "kho phía nam", "máy in cũ", "giấy vụn"], ["rất thân thiện", "làm việc giỏi", "được quý trọng", "luôn đúng giờ"]
+
+
+def _pairs_of_meaning(n, seed, apart):
+    """Scorn of a group is a case and scorn of a thing none; what is praise of a
+    group is a case said of a thing, so no word tells by itself. With ``apart``
+    who and what stand in neighbouring sentences, and only scorn of a group is a case."""
+    rng = random.Random(seed)
+    texts, marked = [], []
+    for _ in range(n):
+        group, scorn = rng.random() < 0.5, rng.random() < 0.5
+        who, what = rng.choice(GROUPS if group else THINGS), rng.choice(SCORN if scorn else PRAISE)
+        said = f"Đây là {who}. Tất cả {what}." if apart else f"{who} {rng.choice(['thì', 'ở đây', 'bao giờ cũng'])} {what}."
+        texts.append(" ".join([*rng.sample(FILLER, 2), said, rng.choice(FILLER)]))
+        marked.append(int(group and scorn if apart else group == scorn))
+    return texts, np.array(marked)
+
+
+def _right(texts, y, test, truth) -> float:
+    machine, unmask = Y.learn(texts, y)
+    p = 1 / (1 + np.exp(-Y._bag_scores(machine, [Y.bag(t, unmask) for t in test])[0]))
+    return float(((p >= machine.threshold) == truth).mean())
+
+
+def test_factors_beat_linear_weights_on_held_out_texts(monkeypatch):
+    data = *_pairs_of_meaning(700, 5, False), *_pairs_of_meaning(300, 6, False)
+    with_factors = _right(*data)
+    monkeypatch.setattr(Y, "fit", _without_factors)
+    assert with_factors > 0.97 and _right(*data) < 0.8
+
+
+def test_insult_and_group_may_stand_in_neighbouring_sentences(monkeypatch):
+    data = *_pairs_of_meaning(4000, 5, True), *_pairs_of_meaning(300, 6, True)
+    with_neighbours = _right(*data)
+    monkeypatch.setattr(Y, "bag", lambda t, unmask: [Y.terms(unmask(w)) for w in Y.sentences(t)])
+    assert with_neighbours > 0.95 and _right(*data) < 0.9
+
+
+def test_scorer_gives_the_scores_of_the_bags():
+    texts, y = _texts(200, 2)
+    machine, unmask = Y.learn(texts, y)
+    more = [*texts[:50], None, "", "... !!", "một. hai. ba.", "Chào. " * 3000]
+    plain = [max((1 / (1 + np.exp(-machine.logits(s, np.array([0]))[0])) for s in Y.bag(t, unmask) if len(s)), default=0.0) for t in more]
+    assert np.allclose(Y.Scorer(machine, unmask)(more), plain, atol=1e-5)
 
 
 @pytest.mark.parametrize("n", [500, 2500])
@@ -308,7 +362,7 @@ def test_held_out_models_see_four_fifths_at_every_size(n, monkeypatch):
     seen = []
     step = Y._step
     monkeypatch.setattr(Y, "fit", lambda *a, **k: Y.Machine(0.0, np.zeros(1 << Y.BITS, np.float32), np.zeros((1 << Y.BITS, Y.FACTORS), np.float32)))
-    monkeypatch.setattr(Y, "_step", lambda bags, y, documents, counts, some, *a: seen.append(len(some)) or step(bags, y, documents, counts, some, *a))
+    monkeypatch.setattr(Y, "_step", lambda bags, y, some, *a: seen.append(len(some)) or step(bags, y, some, *a))
     Y.learn(*_texts(n, 3))
     assert seen[:10] == [n * 4 // 5] * 10
 
@@ -321,6 +375,6 @@ def test_masks_are_resolved_by_words_of_all_documents(spark):
     labels = spark.createDataFrame([(i, "abusive" if i % 2 else "none") for i in range(12)], "doc_id long, label string")
     unmask = Y.train(docs, labels, "doc_id", "text", "label")[1]
     assert unmask(["wor*hless", "b*t"]) == ["worthless", "bit"]
-    whole = Y.Unmask([s for _, t in [*marked, *more] for s in Y.sentences(t)])
+    whole = Y.counted([s for _, t in [*marked, *more] for s in Y.sentences(t)])
     assert unmask.single == {w: n for w, n in whole.single.items() if w in ("worthless", "bat", "bit")}
     assert unmask.pairs == {p: n for p, n in whole.pairs.items() if p[0] == "worthless"}
