@@ -295,14 +295,14 @@ def _train(bags: list[list[np.ndarray]], y: np.ndarray, shares: list[np.ndarray]
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, near: float = 0.005) -> float:
-    """The middle, as odds, of the thresholds whose F1 is within ``near`` of the highest."""
+    """The lowest threshold whose F1 is within ``near`` of the highest: where F1
+    hardly differs, a case missed counts more than one to look at."""
     order = np.argsort(-p)
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-    good = np.flatnonzero(f1 >= f1.max() - near)
-    low = p[order[good[-1] + 1]] if good[-1] + 1 < len(p) else 0.0
-    ends = np.clip([p[order[good[0]]], (p[order[good[-1]]] + low) / 2], 1e-6, 1 - 1e-6)
-    return float(1 / (1 + np.exp(-np.log(ends / (1 - ends)).mean())))
+    k = int(np.flatnonzero(f1 >= f1.max() - near)[-1])
+    low = p[order[k + 1]] if k + 1 < len(p) else 0.0
+    return float((p[order[k]] + low) / 2)
 
 
 def _learn(bags: list[list[np.ndarray]], y: np.ndarray, steps: Callable[[list[tuple]], list[Machine]]) -> Machine:
