@@ -56,9 +56,10 @@ STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 DIGITS = str.maketrans("0134578@$9", "oieastbasg")  # digits written for letters
 # What stands behind a figure as a measure.
 MEASURES = frozenset("k tr km m kg th h p cm s đ x st nd rd g pm am t usd vnd y yr yrs mm gb mb w v d l ml ha tỷ triệu".split())
+LETTER = re.compile(r"[^\W\d_]")
 FIGURES = re.compile(r"[0-9@$]")
 JOINS = re.compile(r"[.\-_·|*]")
-MIXED = re.compile(r"[\w@$*]*[^\W\d_][\w@$*]*")
+MIXED = re.compile(r"[\w@$*]*[0-9@$][\w@$*]*")
 SENTENCE = re.compile(r"[.!?\n;…]+(?=\s|$)|\n+|[^\w\s.,!?;:'\"()*%/&+\-–—…\[\]]+")
 WORD = re.compile(r"[^\W_]+(?:\*+[^\W_]*)*|\*+[^\W_]+")
 
@@ -82,7 +83,7 @@ def plain(text: str) -> str:
 
 def _unleet(match: re.Match) -> str:
     word = match.group()
-    if not FIGURES.search(word) or word.isdigit():
+    if word.isdigit() or not LETTER.search(word):
         return word
     if sum(c.isdigit() for c in word) > 4 or word.lstrip("0123456789") in MEASURES:
         return word
@@ -445,7 +446,8 @@ class Scorer:
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            got = self.known[sentence] = terms(self.unmask(words_of(sentence))).astype(np.int64)
+            words = words_of(sentence)
+            got = self.known[sentence] = terms(self.unmask(words) if "*" in sentence else words)
         return got
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
