@@ -3,11 +3,13 @@
 1. *Infer*: for every source, each candidate delimiter is scored over all cells
    on two things: how steady the number of pieces is (few empty pieces, counts
    of 2 to 12), and how regular the pieces are (share that is a known name).
-   Counts are summed per task and then per source, so what reaches the driver
-   is one row per source and candidate. A weak prior speaks for signs and words
-   that usually separate, so a sign seen a few times only keeps its usual role.
+   Equal cells of a source are scored once, with their number. A weak prior
+   speaks for signs and words that usually separate, so a sign seen a few times
+   only keeps its usual role. What a source uses is one number per source, a
+   bit per candidate, joined to its cells; nothing reaches the driver.
 2. *Split*: one scan of each cell with the delimiters its source was found to
-   use. Nothing separates within quotes, round brackets or a known name.
+   use, and with no others. Nothing separates within quotes, round brackets or
+   a known name.
 
 Defined cases: a null or blank cell and a cell of one value give no row; empty
 pieces don't count and take no position; a cell of any length is scanned once;
@@ -22,9 +24,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.session import cut
+
 # The candidate delimiters, as patterns over lower-case text.
 CANDIDATES = {
     ",": r",",
@@ -59,7 +63,6 @@ _NUMBERED = re.compile(r"(?:\(\d{1,3}\)\s*|\d{1,3}[.)/]\s+)")
 _LEAD = re.compile(r"\s*(?:(?:\(\d{1,3}\)\s*|\d{1,3}[.)/]\s+|[-–—+*•·▪●►✓]\s+)\s*)?")
 _NOTE = re.compile(r"\s*\([^()]*\)\s*$")
 _QUOTED = {q: re.compile(rf"{q}(?:[^{q}]|{q}{q})*{q}") for q in "\"'"}
-_MAYBE = re.compile("|".join(f"(?:{p})" for k, p in CANDIDATES.items() if k not in NEVER_USUAL) + r"|(?<=\s)\d{1,2}[.)/]\s")
 _ANY = re.compile("|".join(f"(?:{p})" for p in CANDIDATES.values()))
 
 
@@ -99,6 +102,11 @@ class Splitter:
         number = r"(?P<num>(?<=\s)\(?(?P<n>\d{1,2})[.)/](?=\s))"
         self._next = re.compile(f"(?P<guard>{guard or '(?!)'})|(?P<bracket>\\([^()]*\\))|{number}|{groups or '(?!)'}")
         self._keys = {f"d{i}": k for i, k in enumerate(CANDIDATES)}
+        self._some = re.compile("|".join(f"(?:{CANDIDATES[k]})" for k in use) + ("|" if use else "") + r"(?<=\s)\(?\d{1,2}[.)/]\s")
+
+    def may_hold_several(self, cell: str) -> bool:
+        """False only if none of the delimiters in use and no numbering stands in the cell."""
+        return self._some.search(lowered(unicodedata.normalize("NFC", cell))) is not None
 
     def pieces(self, cell: str) -> tuple[list[tuple[int, int]], list[str], str]:
         """Raw spans between separators over the NFC text, the separators' names, the NFC text."""
@@ -195,7 +203,7 @@ def _score_task(names: list[str]):
         known = next(iter(one.values())).names
         finder = {k: re.compile(p) for k, p in CANDIDATES.items()}
         for batch in batches:
-            for source, raw in zip(batch["_s"], batch["_raw"], strict=True):
+            for source, raw, times in zip(batch["_s"], batch["_raw"], batch["_n"], strict=True):
                 low = lowered(unicodedata.normalize("NFC", raw))
                 if not _ANY.search(low):
                     continue
@@ -212,64 +220,82 @@ def _score_task(names: list[str]):
                     # a piece still holding other signs is judged by its own first value
                     good = sum(_NOTE.sub("", lowered(re.split(r"[,;|/\n\t、；]", x)[0].strip(" '\"[]"))) in known for x in full)
                     row = tally.setdefault((source, k), np.zeros(4))
-                    row += (1, len(full), good / len(full), 2 <= len(full) <= 12 and len(parts) - len(full) <= 1)
+                    row += np.array((1, len(full), good / len(full), 2 <= len(full) <= 12 and len(parts) - len(full) <= 1)) * times
         yield pd.DataFrame([(s, k, int(v[0]), int(v[1]), float(v[2]), int(v[3])) for (s, k), v in tally.items()], columns=["source", "delimiter", "cells", "pieces", "regular", "steady"])
 
     return run
 
 
+def _source(source: str) -> Column:
+    return F.coalesce(F.col(source).cast("string"), F.lit(""))
+
+
 def score_delimiters(df: DataFrame, source: str, raw: str, names: list[str]) -> DataFrame:
     """``(source, delimiter, cells, pieces, regular, steady)`` over all cells.
-    A null source is a source of its own."""
-    rows = df.where(F.col(raw).isNotNull()).select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), F.col(raw).alias("_raw"))
-    told = rows.mapInPandas(_score_task(names), "source string, delimiter string, cells long, pieces long, regular double, steady long")
+    A null source is a source of its own, named ''."""
+    cells = df.where(F.col(raw).isNotNull()).groupBy(_source(source).alias("_s"), F.col(raw).alias("_raw")).agg(F.count("*").alias("_n"))
+    told = cells.mapInPandas(_score_task(names), "source string, delimiter string, cells long, pieces long, regular double, steady long")
     return told.groupBy("source", "delimiter").agg(*[F.sum(c).alias(c) for c in ("cells", "pieces", "regular", "steady")])
 
 
-def in_use(delimiter: str, cells: int = 0, pieces: int = 0, regular: float = 0, steady: int = 0) -> bool:
-    """Whether a delimiter separates, from its score and the prior."""
-    good, seen = UNUSUAL if delimiter in NEVER_USUAL else SELDOM.get(delimiter, USUAL)
-    regularity = (regular + good) / (cells + seen)
-    steadiness = (steady + 4) / (cells + 5)
-    return regularity * steadiness >= LEAST_SCORE
+def prior(delimiter: str) -> tuple[float, float]:
+    """Regular cells and all cells assumed before any is seen."""
+    return UNUSUAL if delimiter in NEVER_USUAL else SELDOM.get(delimiter, USUAL)
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """Adds ``score`` and ``separates`` to :func:`score_delimiters`, from counts and prior."""
+    table = F.create_map(*[x for k in CANDIDATES for x in (F.lit(k), F.array(*map(F.lit, prior(k))))])
+    assumed = F.element_at(table, F.col("delimiter"))
+    score = (F.col("regular") + assumed[0]) / (F.col("cells") + assumed[1]) * (F.col("steady") + 4) / (F.col("cells") + 5)
+    return scored.withColumn("score", score).withColumn("separates", F.col("score") >= LEAST_SCORE)
 
 
-MAX_SOURCES = 10_000
+USUALLY = sum(1 << i for i, k in enumerate(CANDIDATES) if prior(k)[0] / prior(k)[1] * 0.8 >= LEAST_SCORE)
 
 
-def infer_delimiters(df: DataFrame, source: str, raw: str, names: list[str]) -> dict[str, tuple[str, ...]]:
-    """The delimiters each source uses. The scores reach the driver: one row
-    per source and candidate, refused beyond ``MAX_SOURCES`` sources."""
-    scored = score_delimiters(df, source, raw, names).limit(MAX_SOURCES * len(CANDIDATES) + 1).collect()
-    if len(scored) > MAX_SOURCES * len(CANDIDATES):
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    seen = {(r["source"], r["delimiter"]): (r["cells"], r["pieces"], r["regular"], r["steady"]) for r in scored}
-    sources = {s for s, _ in seen} | {""}
-    return {s: tuple(k for k in CANDIDATES if in_use(k, *seen.get((s, k), ()))) for s in sources}
+def used_delimiters(code: int) -> tuple[str, ...]:
+    """The delimiters of a number with a bit per candidate."""
+    return tuple(k for i, k in enumerate(CANDIDATES) if code >> i & 1)
+
+
+def infer_delimiters(df: DataFrame, source: str, raw: str, names: list[str]) -> DataFrame:
+    """``(source, uses)`` of every source with a candidate in some cell; ``uses``
+    has a bit per candidate. Any other source uses what is usual, ``USUALLY``."""
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(CANDIDATES) for x in (k, 1 << i)]), F.col("delimiter"))
+    usual = bit.bitwiseAND(F.lit(USUALLY))
+    change = F.when(F.col("separates"), bit).otherwise(0) - usual
+    return judged(score_delimiters(df, source, raw, names)).groupBy("source").agg((F.sum(change) + USUALLY).cast("int").alias("uses"))
+
+
+REMEMBERED = 200_000
 
 
 def split_values(df: DataFrame, key: str, source: str, raw: str, names: list[str], least: int = 2) -> DataFrame:
     """``(key, pos, item)``: the values of every cell that holds ``least`` or
     more, ``pos`` from 1. Rows with a null key are kept under the null key."""
-    found = infer_delimiters(df, source, raw, names)
-    usual = tuple(k for k in CANDIDATES if in_use(k))
+    found = cut(infer_delimiters(df, source, raw, names))  # one row a source
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = {s: Splitter(names, use) for s, use in found.items()}
-        other = Splitter(names, usual)
+        made: dict[int, Splitter] = {}
+        seen: dict[tuple[int, str], list[str]] = {}
         for batch in batches:
             keys, pos, items = [], [], []
-            for k, s, raw in zip(batch["_k"], batch["_s"], batch["_raw"], strict=True):
-                if least > 1 and not _MAYBE.search(lowered(unicodedata.normalize("NFC", raw))):
-                    continue
-                values = made.get(s, other).split(raw)
+            for k, code, raw in zip(batch["_k"], batch["_u"], batch["_raw"], strict=True):
+                values = seen.get((code, raw))
+                if values is None:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    splitter = made.get(code) or made.setdefault(code, Splitter(names, used_delimiters(code)))
+                    values = splitter.split(raw) if least < 2 or splitter.may_hold_several(raw) else []
+                    seen[code, raw] = values
                 if len(values) >= least:
                     keys += [k] * len(values)
                     pos += range(1, len(values) + 1)
                     items += values
             yield pd.DataFrame({"_k": pd.Series(keys, dtype=batch["_k"].dtype), "pos": np.asarray(pos, np.int32), "item": pd.Series(items, dtype=object)})
 
-    rows = df.where(F.col(raw).isNotNull()).select(F.col(key).alias("_k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), F.col(raw).alias("_raw"))
-    out = rows.mapInPandas(run, f"_k {kind.simpleString()}, pos int, item string")
+    rows = df.where(F.col(raw).isNotNull()).select(F.col(key).alias("_k"), _source(source).alias("source"), F.col(raw).alias("_raw")).join(found, "source", "left")
+    out = rows.select("_k", F.coalesce("uses", F.lit(USUALLY)).alias("_u"), "_raw").mapInPandas(run, f"_k {kind.simpleString()}, pos int, item string")
     return out.select(F.col("_k").alias(key), "pos", "item")

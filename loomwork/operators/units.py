@@ -375,7 +375,7 @@ class Converter:
         return out[0], out[1]
 
 
-MAX_RATES = 10_000
+MAX_RATES = 100_000
 
 
 def small_rows(df: DataFrame, what: str) -> list:

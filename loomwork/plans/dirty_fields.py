@@ -39,8 +39,5 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p4_delimiters(spark: SparkSession, sf: str) -> DataFrame:
     """What each source separates with, and the counts behind it."""
-    scored = packed.score_delimiters(table(spark, sf, "posting_skills"), "source", "raw", skill_names(spark, sf))
-    rows = [(k, *((packed.SELDOM.get(k, packed.USUAL)) if k not in packed.NEVER_USUAL else packed.UNUSUAL)) for k in packed.CANDIDATES]
-    prior = spark.createDataFrame(rows, "delimiter string, good double, seen double")
-    score = (F.col("regular") + F.col("good")) / (F.col("cells") + F.col("seen")) * (F.col("steady") + 4) / (F.col("cells") + 5)
-    return scored.join(F.broadcast(prior), "delimiter").select("source", "delimiter", "cells", "pieces", F.round("regular", 6).alias("regular"), "steady", F.round(score, 6).alias("score"), (score >= packed.LEAST_SCORE).alias("separates"))
+    scored = packed.judged(packed.score_delimiters(table(spark, sf, "posting_skills"), "source", "raw", skill_names(spark, sf)))
+    return scored.withColumns({c: F.round(c, 6) for c in ("regular", "score")})

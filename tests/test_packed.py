@@ -1,3 +1,5 @@
+import random
+import re
 import unicodedata
 
 import pytest
@@ -5,7 +7,7 @@ import pytest
 from loomwork.operators import packed as P
 
 NAMES = ["ci/cd", "r&d", "sổ sách và chứng từ", "an toàn, vệ sinh lao động", "xuất - nhập khẩu", "excel", "python", "c++", "tư vấn"]
-USE = [k for k in P.CANDIDATES if P.in_use(k) and k not in P.SELDOM]
+USE = [k for k in P.used_delimiters(P.USUALLY) if k not in P.SELDOM]
 
 
 @pytest.fixture(scope="module")
@@ -73,11 +75,50 @@ def test_random_lists_round_trip(splitter):
 def test_inference_and_rows(spark):
     rows = [(i, "a", "excel, python", "k") for i in range(40)] + [(100, "a", "node.js; excel", "k"), (101, None, "excel|python", "k"), (102, "b", None, "k"), (103, "b", "excel", "k"), (None, "b", "excel/python", "k"), (105, "a", "x, " * 4000 + "y", "k")]
     df = spark.createDataFrame(rows, "mention_id long, source string, raw string, item string")
-    found = P.infer_delimiters(df, "source", "raw", NAMES)
-    assert "," in found["a"] and "dot" not in found["a"]
+    found = {r["source"]: P.used_delimiters(r["uses"]) for r in P.infer_delimiters(df, "source", "raw", NAMES).collect()}
+    assert "," in found["a"] and "dot" not in found["a"] and found["b"] == P.used_delimiters(P.USUALLY)
     out = P.split_values(df, "mention_id", "source", "raw", NAMES)
     assert out.dtypes == [("mention_id", "bigint"), ("pos", "int"), ("item", "string")]
     got = {(r[0], r[1]): r[2] for r in out.collect()}
     assert got[0, 1] == "excel" and got[0, 2] == "python" and got[100, 1] == "node.js" and got[101, 2] == "python" and got[None, 2] == "python"
     assert (103, 1) not in got and got[105, 4001] == "y"
     assert P.split_values(df.limit(0), "mention_id", "source", "raw", NAMES).count() == 0
+
+
+def _sources(spark):
+    """'colons' separates by ':' and '_' alone, 'paths' has '/' within values only, 'plain' has few cells."""
+    rng = random.Random(3)
+    names = ["excel", "python", "word", "kế toán"]
+    rows = [("colons", rng.choice((":", " : ", "_")).join(rng.sample(names, rng.randint(2, 3)))) for _ in range(60)]
+    rows += [("paths", f"dự án {i}/phần {j}") for i in range(12) for j in range(5)] + [("paths", "excel, python")] * 20
+    rows += [("plain", "word: excel"), ("plain", "word/excel"), (None, "a_b: c")]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "mention_id long, source string, raw string")
+
+
+def test_a_source_is_split_by_what_it_uses(spark, monkeypatch):
+    df = _sources(spark)
+
+    def split():
+        out = {}
+        for r in P.split_values(df, "mention_id", "source", "raw", NAMES).collect():
+            out.setdefault(r["mention_id"], {})[r["pos"]] = r["item"]
+        return {k: [v[i + 1] for i in range(len(v))] for k, v in out.items()}
+
+    got = split()
+    cells = {r["mention_id"]: r for r in df.collect()}
+    for k, r in cells.items():
+        if r["source"] == "colons":
+            assert got[k] == [x.strip() for x in re.split("[:_]", r["raw"])]
+        elif r["source"] == "paths":
+            assert got.get(k) == (["excel", "python"] if "," in r["raw"] else None)
+        else:
+            assert got.get(k) == (["word", "excel"] if "/" in r["raw"] else None)
+    usual = df.sparkSession.createDataFrame([], "source string, uses int")
+    monkeypatch.setattr(P, "infer_delimiters", lambda *a: usual)
+    skipped = split()
+    assert sum(skipped.get(k) == v for k, v in got.items()) < len(got) / 2
+
+
+def test_all_bits_are_used_names():
+    assert P.used_delimiters((1 << len(P.CANDIDATES)) - 1) == tuple(P.CANDIDATES)
+    assert set(P.used_delimiters(P.USUALLY)) == set(P.CANDIDATES) - P.NEVER_USUAL
