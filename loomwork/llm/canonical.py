@@ -2,7 +2,8 @@
 
 Every entry goes into one trie by several paths: its name, its other names,
 and spellings people use instead (joined words, swapped letters of one sound,
-signs written out, initials). A typed value is cleaned into a few forms and
+signs written out, initials that no other entry has). Which words and sounds
+count so is a parameter, :class:`Spelling`. A typed value is cleaned into a few forms and
 each form is run through the trie with a Levenshtein automaton - a bit-parallel
 NFA that follows all edits up to the bound at once, a swap of neighbours
 counting as one - so a lookup costs the part of the trie that is still within
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,23 @@ from pyspark.sql import functions as F
 
 from loomwork.operators.packed import Splitter
 
-# Words that say how well a skill is known, not which.
-BEFORE = ("có kiến thức về", "có kiến thức", "hiểu biết về", "sử dụng tốt", "thành thạo", "kinh nghiệm", "kỹ năng", "nắm vững", "biết", "có khả năng", "am hiểu", "sử dụng")
-AFTER = ("ở mức khá", "là lợi thế", "loại giỏi", "nâng cao", "cơ bản", "tốt", "ưu tiên", "bắt buộc", "khá", "giỏi")
 VERSION = re.compile(r"\s+(?:v\.?\s?)?\d+(?:\.\d+)*\+?$")
-# Letters written for one another, whole words, and signs written out.
-SOUNDS = (("s", "x"), ("x", "s"), ("ch", "tr"), ("tr", "ch"), ("y", "i"), ("i", "y"), ("l", "n"), ("n", "l"), ("d", "gi"), ("gi", "d"), ("r", "d"), ("v", "d"))
-WRITTEN = (("&", " and "), ("&", " n "), ("&", " và "), ("+", " plus "), ("#", " sharp "), (" và ", " với "), (" và ", " & "), ("/", " "), (" - ", " "), (".", " dot "), (".", ""))
+
+
+@dataclass(frozen=True)
+class Spelling:
+    """How people write names: words before and after that say how well a skill is
+    known, not which; letters written for one another; signs written out."""
+
+    before: tuple[str, ...] = ("có kiến thức về", "có kiến thức", "hiểu biết về", "sử dụng tốt", "thành thạo", "kinh nghiệm", "kỹ năng", "nắm vững", "biết", "có khả năng", "am hiểu", "sử dụng")
+    after: tuple[str, ...] = ("ở mức khá", "là lợi thế", "loại giỏi", "nâng cao", "cơ bản", "tốt", "ưu tiên", "bắt buộc", "khá", "giỏi")
+    sounds: tuple[tuple[str, str], ...] = (("s", "x"), ("x", "s"), ("ch", "tr"), ("tr", "ch"), ("y", "i"), ("i", "y"), ("l", "n"), ("n", "l"), ("d", "gi"), ("gi", "d"), ("r", "d"), ("v", "d"))
+    written: tuple[tuple[str, str], ...] = (("&", " and "), ("&", " n "), ("&", " và "), ("+", " plus "), ("#", " sharp "), (" và ", " với "), (" và ", " & "), ("/", " "), (" - ", " "), (".", " dot "), (".", ""))
+    shortest_initials: int = 3
+
+
+# What a path of the trie is.
+NAME, SOUND, INITIALS = 0, 1, 2
 TELEX_TONES = {"s": "́", "f": "̀", "r": "̉", "x": "̃", "j": "̣"}
 TELEX_LETTERS = (("dd", "đ"), ("aa", "â"), ("ee", "ê"), ("oo", "ô"), ("aw", "ă"), ("ow", "ơ"), ("uw", "ư"))
 VOWELS = "aăâeêioôơuưy"
@@ -65,10 +77,6 @@ def plain(text: str) -> str:
     return text if text.isascii() else text.translate(_UNMARKED)
 
 
-_FIRST = tuple(plain(w) + " " for w in BEFORE)
-_LAST = tuple(" " + plain(w) for w in AFTER)
-
-
 def squeezed(text: str) -> str:
     """Without blanks and the signs typed for them."""
     return re.sub(r"[^\w+#&]|_", "", text)
@@ -198,10 +206,12 @@ class Trie:
 class Matcher:
     """The entries of a list, ready for lookups; rows are (id, name, other names)."""
 
-    def __init__(self, rows: list[tuple[int, str, list[str] | None]]) -> None:
+    def __init__(self, rows: list[tuple[int, str, list[str] | None]], spelling: Spelling = Spelling()) -> None:
         self.trie = Trie()
+        self.spelling = spelling
+        self.first = tuple(plain(w) + " " for w in spelling.before)
+        self.last = tuple(" " + plain(w) for w in spelling.after)
         self.names: dict[int, list[str]] = {}
-        self.initials: dict[str, set[int]] = {}
         self.splitter = Splitter([n for _, n, _ in rows])
         exact: dict[str, int] = {}
         for key, name, others in rows:
@@ -211,25 +221,30 @@ class Matcher:
                 exact.setdefault(squeezed(plain(s)), key)
         self.cache: dict[tuple[str, str], int] = {}
         self.seen: dict[str, tuple[int, float]] = {}
+        initials: dict[str, set[int]] = {}
         for key, spelled in self.names.items():
             for s in spelled:
                 paths = {squeezed(plain(s))}
-                for a, b in WRITTEN:
+                for a, b in spelling.written:
                     if a in s:
                         paths.add(squeezed(plain(s.replace(a, b))))
                 if s.endswith("ing"):
                     paths.add(squeezed(plain(s[:-3])))
                 for p in paths:
-                    if len(p) > 1:
-                        self.trie.add(p, (key, s, 0))
-                for a, b in SOUNDS:  # one sound written for another costs half an edit
+                    if p:
+                        self.trie.add(p, (key, s, NAME))
+                for a, b in spelling.sounds:  # one sound written for another costs half an edit
                     p = squeezed(plain(s)).replace(a, b)
                     if p not in paths and exact.get(p, key) == key and len(p) > 3:
-                        self.trie.add(p, (key, s, 1))
+                        self.trie.add(p, (key, s, SOUND))
             for s in spelled[:1]:
                 words = re.findall(r"\w+", plain(s.replace("+", " plus ").replace("#", " sharp ")))
-                if len(words) > 1:
-                    self.initials.setdefault("".join(w[0] for w in words), set()).add(key)
+                if len(words) >= spelling.shortest_initials:
+                    initials.setdefault("".join(w[0] for w in words), set()).add(key)
+        for p, keys in initials.items():
+            if len(keys) == 1:
+                key = next(iter(keys))
+                self.trie.add(p, (key, self.names[key][0], INITIALS))
 
     def forms(self, value: str) -> list[str]:
         """The value as typed, then without words of level and version."""
@@ -240,11 +255,11 @@ class Matcher:
             before = text
             text = VERSION.sub("", text)
             low = plain(text)
-            if low.startswith(_FIRST):
-                p = next(w for w in _FIRST if low.startswith(w))
+            if low.startswith(self.first):
+                p = next(w for w in self.first if low.startswith(w))
                 text = text[len(p) :].strip()
-            elif low.endswith(_LAST):
-                p = next(w for w in _LAST if low.endswith(w))
+            elif low.endswith(self.last):
+                p = next(w for w in self.last if low.endswith(w))
                 text = text[: -len(p)].strip()
             if text == before or not text:
                 break
@@ -261,13 +276,18 @@ class Matcher:
 
     def candidates(self, value: str, typed: list[str] | None = None) -> list[tuple[float, float, int]]:
         """(distance, tie distance, id) of all entries within the bound of any
-        form, nearest first, one row an entry."""
+        form, nearest first, one row an entry. Initials count only letter for letter."""
         best: dict[int, tuple[float, float]] = {}
         for t in typed or self._typed(value):
             p = squeezed(plain(t))
-            for d, (key, spelled, extra) in self.trie.within(p, bound(len(p))):
-                if d + 0.5 * extra <= best.get(key, (1e9, 0))[0]:
-                    cost = (d + 0.5 * extra, distance(squeezed(t), squeezed(spelled)) + 0.01 * distance(t, spelled))
+            for d, (key, spelled, kind) in self.trie.within(p, bound(len(p))):
+                if kind == INITIALS:
+                    if d == 0 and p == t:
+                        best[key] = min((0.0, 0.0), best.get(key, (1e9, 0.0)))
+                    continue
+                far = d + 0.5 * (kind == SOUND)
+                if far <= best.get(key, (1e9, 0))[0]:
+                    cost = (far, distance(squeezed(t), squeezed(spelled)) + 0.01 * distance(t, spelled))
                     best[key] = min(cost, best.get(key, (1e9, 0)))
         return sorted((d, tie, key) for key, (d, tie) in best.items())
 
@@ -281,14 +301,12 @@ class Matcher:
 
     def _nearest(self, value: str) -> tuple[int, float]:
         typed = self._typed(value)
-        for t in typed:  # spelled right but for marks and blanks: nothing can be nearer
-            hits = {key for key, _, extra in self.trie.exact(squeezed(plain(t))) if not extra}
-            if len(hits) == 1:
-                return next(iter(hits)), 0.0
-        for t in typed:
-            ids = self.initials.get(t, ())
-            if len(t) > 2 and len(ids) == 1:
-                return next(iter(ids)), 0.0
+        for wanted in (NAME, INITIALS):  # spelled right but for marks and blanks: nothing can be nearer
+            for t in typed:
+                p = squeezed(plain(t))
+                hits = {key for key, _, kind in self.trie.exact(p) if kind == wanted and (wanted == NAME or p == t)}
+                if len(hits) == 1:
+                    return next(iter(hits)), 0.0
         got = self.candidates(value, typed)
         return (got[0][2], got[0][0]) if got else (0, 1e9)
 
@@ -328,14 +346,28 @@ def load(entries: DataFrame, key: str, name: str, others: str, most: int = 100_0
     return [(r[0], r[1], r[2]) for r in rows]
 
 
-def map_values(df: DataFrame, key: str, value: str, context: str, entries: list[tuple[int, str, list[str] | None]]) -> DataFrame:
-    """``(key, id)`` for every row with a value: the entry it means, or 0."""
+def map_values(df: DataFrame, key: str, value: str, context: str, entries: list[tuple[int, str, list[str] | None]], spelling: Spelling = Spelling()) -> DataFrame:
+    """``(key, value, id)`` for every row with a value: the entry it means, or 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(entries)
+        matcher = Matcher(entries, spelling)
         for batch in batches:
             ids = [matcher.resolve(v, c) for v, c in zip(batch["_v"], batch["_c"], strict=True)]
-            yield pd.DataFrame({"_k": batch["_k"], "id": np.asarray(ids, np.int64)})
+            yield pd.DataFrame({"_k": batch["_k"], "_v": batch["_v"], "id": np.asarray(ids, np.int64)})
 
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(context).alias("_c"))
-    return rows.mapInPandas(run, f"_k {df.schema[key].dataType.simpleString()}, id long").select(F.col("_k").alias(key), "id")
+    return rows.mapInPandas(run, f"_k {df.schema[key].dataType.simpleString()}, _v string, id long").select(F.col("_k").alias(key), F.col("_v").alias(value), "id")
+
+
+def near_entries(df: DataFrame, value: str, entries: list[tuple[int, str, list[str] | None]], spelling: Spelling = Spelling()) -> DataFrame:
+    """``(value, id, distance, rank)``: of every different value all entries within
+    the bound of its length, nearest first; a value near none gives no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(entries, spelling)
+        for batch in batches:
+            rows = [(v, key, d, i) for v in batch["_v"] for i, (d, _, key) in enumerate(matcher.candidates(v) if v.strip() else [], 1)]
+            yield pd.DataFrame(rows, columns=["_v", "id", "distance", "rank"])
+
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
+    return values.mapInPandas(run, "_v string, id long, distance double, rank int").withColumnRenamed("_v", value)

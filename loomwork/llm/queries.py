@@ -22,25 +22,35 @@ def query(f):
 # 1: freely typed values to entries
 
 
-def _mapped(spark: SparkSession, sf: str) -> DataFrame:
-    """``(mention_id, skill_id)`` of the rows whose skill is no entry's name as stored."""
+def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    """The rows whose skill is no entry's name as stored, and the entries."""
     ref = table(spark, sf, "skill_ref")
     entries = canonical.load(ref, "skill_id", "skill", "also_called")
     rows = table(spark, sf, "posting_skills").select("mention_id", "skill", "raw").where(F.col("skill").isNotNull())
-    other = rows.join(F.broadcast(ref.select("skill")), "skill", "left_anti")  # load() has bounded the list
-    return canonical.map_values(other, "mention_id", "skill", "raw", entries).withColumnRenamed("id", "skill_id")
+    return rows.join(F.broadcast(ref.select("skill")), "skill", "left_anti"), entries  # load() has bounded the list
+
+
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    rows, entries = _typed(spark, sf)
+    return canonical.map_values(rows, "mention_id", "skill", "raw", entries).withColumnRenamed("id", "skill_id")
 
 
 @query
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _mapped(spark, sf)
+    return _mapped(spark, sf).select("mention_id", "skill_id")
 
 
 @query
 def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     """The typed values that no entry means, and how many rows have each."""
-    rows = table(spark, sf, "posting_skills").select("mention_id", "skill")
-    return _mapped(spark, sf).where(F.col("skill_id") == 0).join(rows, "mention_id").groupBy("skill").agg(F.count("*").alias("n"))
+    return _mapped(spark, sf).where(F.col("skill_id") == 0).groupBy("skill").agg(F.count("*").alias("n"))
+
+
+@query
+def p1_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries near each typed value, not only the one it is taken for."""
+    rows, entries = _typed(spark, sf)
+    return canonical.near_entries(rows, "skill", entries).withColumnRenamed("id", "skill_id")
 
 
 # 2: the best of every group

@@ -2,6 +2,7 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import canonical as C
 
@@ -77,10 +78,37 @@ def test_all_entries_within_the_bound(matcher):
 
 def test_rows(spark):
     df = spark.createDataFrame([(1, "pythn", None, 0), (1, "pythn", None, 0), (2, None, "python", 0), (None, "Java 2", "x", 0), (3, "cobol", None, 0)], "mention_id long, skill string, raw string, id int")
-    out = C.map_values(df, "mention_id", "skill", "raw", REF)
+    out = C.map_values(df, "mention_id", "skill", "raw", REF).select("mention_id", F.col("id"))
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(["(1, 1)", "(1, 1)", "(None, 2)", "(3, 0)"])
     assert C.map_values(df.limit(0), "mention_id", "skill", "raw", REF).count() == 0
     ref = spark.createDataFrame(REF, "skill_id long, skill string, also_called array<string>")
     assert C.load(ref, "skill_id", "skill", "also_called")[0] is not None
     with pytest.raises(ValueError):
         C.load(ref, "skill_id", "skill", "also_called", most=3)
+
+
+def test_entries_of_one_letter_are_found():
+    m = C.Matcher([(1, "R", None), (2, "C", None), (3, "C++", ["cpp"]), (4, "excel", None)])
+    assert [m.resolve(x) for x in ("r", "R", "c", "C", "C++", "cpp", "x")] == [1, 1, 2, 2, 3, 3, 0]
+
+
+def test_initials_are_paths_of_the_trie():
+    rows = [(1, "quản trị nhân sự", None), (2, "quan hệ khách hàng", None), (3, "quản lý khách hàng", None), (4, "quy lý kho hàng", None)]
+    m = C.Matcher(rows)
+    assert any(kind == C.INITIALS for _, _, kind in m.trie.exact("qtns"))
+    assert m.resolve("qtns") == 1 and m.resolve("QTNS tốt") == 1
+    assert m.resolve("qlkh") == 0  # two entries have these
+    assert m.resolve("qtnx") == 0  # initials count letter for letter
+
+
+def test_spelling_is_a_parameter():
+    rows = [(1, "excel", None)]
+    assert C.Matcher(rows).resolve("rành excel") == 0
+    assert C.Matcher(rows, C.Spelling(before=("rành",))).resolve("rành excel") == 1
+
+
+def test_near_entries_gives_all_within_the_bound(spark):
+    entries = [(1, "excel", None), (2, "excek", None), (3, "python", None)]
+    df = spark.createDataFrame([("excelk",), ("excelk",), ("zzzzzz",), (None,), ("  ",)], "skill string").withColumn("id", F.lit("clash"))
+    got = [tuple(r) for r in C.near_entries(df, "skill", entries).orderBy("rank").collect()]
+    assert got == [("excelk", 1, 1.0, 1), ("excelk", 2, 1.0, 2)]
