@@ -13,6 +13,11 @@ so what is shuffled is bounded by the distinct pairs per task. Items under
 ``min_pair`` baskets can be in no reported pair and are left out beforehand
 (exact). A basket holds each item once, so no basket is longer than the number
 of items, however many rows a basket has.
+
+A basket of more than ``part`` items is cut by hash into g = ceil(n / part)
+parts, and each two parts, and each part with itself, are a unit of their own:
+its pairs are spread over g * (g + 1) / 2 tasks, none of which holds more than
+about 2 * ``part`` of its items, at the price of g copies of its rows.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ from pyspark.sql import functions as F
 BLOCK = 8192
 CHUNK = 1 << 20
 FLUSH = 300_000
+PART = 2000
+SALTS = 16
+ROWS = 1 << 16  # rows a task gathers before it counts
 
 
 def distinct_baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -106,15 +114,27 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return unique, np.bincount(where, weights=counts, minlength=len(unique)).astype(np.int64)
 
 
+def split_pairs(items: np.ndarray, second: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of one unit of a large basket, in pieces: each item of
+    the first part with each of the second, or of a part of its ``own`` with each other."""
+    left = np.flatnonzero(~second)
+    right = left if own else np.flatnonzero(second)
+    rows = max(1, CHUNK // max(1, len(right)))
+    for at in range(0, len(left), rows):
+        some = left[at : at + rows]
+        i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+        keep = items[i] < items[j] if own else np.ones(len(i), bool)
+        yield i[keep], j[keep]
+
+
 def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by basket. Item codes are the task's own: heavy items
-    first. Counts are kept per task and handed on when the table is large."""
-    rest: pd.DataFrame | None = None
+    """Rows come sorted by unit. Item codes are the task's own: heavy items
+    first. Counts are kept per task and handed on when the table is large; pairs
+    of a large basket's unit are handed on at once, each is there once."""
     table: dict[tuple[str, str], int] = {}
     count_of: dict[str, int] = {}
 
-    def work(rows: pd.DataFrame) -> None:
-        basket = pd.factorize(rows["_b"])[0]
+    def work(rows: pd.DataFrame, unit: np.ndarray) -> None:
         code, uniques = pd.factorize(rows["_i"])
         flag = rows["_h"].to_numpy()
         first = np.zeros(len(uniques), bool)
@@ -125,7 +145,7 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = np.empty(len(uniques), np.int64)
         place[rank] = np.arange(len(uniques))
         n_items = len(uniques)
-        codes, n = block_counts(basket.astype(np.int64), place[code], flag, int(first.sum()), n_items)
+        codes, n = block_counts(unit - unit[0], place[code], flag, int(first.sum()), n_items)
         names = np.asarray(uniques, dtype=object)[rank]
         for name, k in zip(names, count[rank], strict=True):
             count_of[name] = int(k)
@@ -141,23 +161,60 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count_of.clear()  # every block sets its own items again
         return out
 
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        starts = np.flatnonzero(np.r_[True, rows["_b"].to_numpy()[1:] != rows["_b"].to_numpy()[:-1]]) if len(rows) else np.zeros(0, int)
-        while len(starts) > BLOCK:
-            work(rows.iloc[: starts[BLOCK]])
-            rows = rows.iloc[starts[BLOCK] :].reset_index(drop=True)
-            starts = starts[BLOCK:] - starts[BLOCK]
+    def large(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        items, n = rows["_i"].to_numpy(), rows["_n"].to_numpy()
+        low, high = divmod(int(rows["_p"].iloc[0]), int(rows["_g"].iloc[0]))
+        for i, j in split_pairs(items, rows["_s"].to_numpy(), low == high):
+            turn = items[i] > items[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            yield pd.DataFrame({"_a": items[i], "_c": items[j], "_k": np.ones(len(i), np.int64), "_na": n[i], "_nc": n[j]})
+
+    def finish(rows: pd.DataFrame, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Counts the units that end at ``ends``."""
+        unit = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        parted = rows["_g"].to_numpy()[: ends[-1]] > 1
+        for k in np.unique(unit[parted]):
+            yield from large(rows.iloc[ends[k - 1] if k else 0 : ends[k]])
+        whole = np.flatnonzero(~parted)
+        for at in np.unique(unit[whole] // BLOCK):
+            some = whole[unit[whole] // BLOCK == at]
+            work(rows.iloc[some], pd.factorize(unit[some])[0].astype(np.int64))
             if len(table) > FLUSH:
                 yield flush()
-        rest = rows
-    if rest is not None and len(rest):
-        work(rest)
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) < ROWS:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        b, p = rows["_b"].to_numpy(), rows["_p"].to_numpy()
+        ends = 1 + np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1]))
+        if len(ends):  # the last unit may go on
+            yield from finish(rows, ends)
+        held = [rows.iloc[ends[-1] if len(ends) else 0 :]]
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        b, p = rows["_b"].to_numpy(), rows["_p"].to_numpy()
+        yield from finish(rows, np.r_[1 + np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1])), len(rows)])
     if table:
         yield flush()
 
 
-def pair_counts(baskets: DataFrame, min_pair: int = 5, max_heavy: int = 256) -> tuple[DataFrame, DataFrame]:
+def in_units(rows: DataFrame, part: int) -> DataFrame:
+    """``rows`` (_b, _i, ...) with ``_g`` parts of its basket, ``_p`` the unit within
+    the basket and ``_s``, whether the row is of the unit's second part."""
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_size")).where(F.col("_size") > part)
+    sized = rows.join(sizes, "_b", "left").withColumn("_g", F.coalesce(F.ceil(F.col("_size") / part), F.lit(1)).cast("int")).drop("_size")
+    own = F.pmod(F.xxhash64("_i", F.lit("part")), F.col("_g").cast("long")).cast("int")
+    unit = F.struct(F.least("_own", "_with").alias("lo"), F.greatest("_own", "_with").alias("hi"))
+    spread = sized.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    named = spread.withColumn("_u", unit).withColumn("_p", F.col("_u.lo") * F.col("_g") + F.col("_u.hi"))
+    return named.withColumn("_s", (F.col("_own") == F.col("_u.hi")) & (F.col("_u.lo") != F.col("_u.hi"))).drop("_own", "_with", "_u")
+
+
+def pair_counts(baskets: DataFrame, min_pair: int = 5, max_heavy: int = 256, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """``(pairs, totals)``: pairs ``(a, b, n_a, n_b, n_ab)`` with a < b by code
     point and n_ab >= ``min_pair``; totals one row with ``n``, the number of
     baskets. Items that are in no basket with another give no pair.
@@ -168,12 +225,13 @@ def pair_counts(baskets: DataFrame, min_pair: int = 5, max_heavy: int = 256) ->
     counts = every.where(F.col("_n") >= min_pair).crossJoin(F.broadcast(split))
     # each heavy item holds over rows / max_heavy rows, so there are fewer than max_heavy
     heavy = counts.where(F.col("_n") > F.col("_limit")).select("_i", "_n", F.lit(True).alias("_h"))
-    light = counts.where(F.col("_n") <= F.col("_limit")).select("_i", "_n")
+    # a light item still may hold rows / max_heavy rows, so its rows are spread over salts
+    light = counts.where(F.col("_n") <= F.col("_limit")).select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     joined = baskets.join(F.broadcast(heavy), "_i", "left")
-    rows = joined.where(F.col("_h")).select("_b", "_i", "_n", "_h").unionByName(
-        joined.where(F.col("_h").isNull()).select("_b", "_i").join(light, "_i").select("_b", "_i", "_n", F.lit(False).alias("_h"))
-    )
-    counted = rows.repartition("_b").sortWithinPartitions("_b").mapInPandas(_count_task, "_a string, _c string, _k long, _na long, _nc long")
+    salted = joined.where(F.col("_h").isNull()).select("_b", "_i", F.pmod(F.xxhash64("_b"), F.lit(SALTS)).cast("int").alias("_salt"))
+    rows = joined.where(F.col("_h")).select("_b", "_i", "_n", "_h").unionByName(salted.join(light, ["_i", "_salt"]).select("_b", "_i", "_n", F.lit(False).alias("_h")))
+    units = in_units(rows, part)
+    counted = units.repartition("_b", "_p").sortWithinPartitions("_b", "_p").mapInPandas(_count_task, "_a string, _c string, _k long, _na long, _nc long")
     pairs = counted.groupBy(F.col("_a").alias("a"), F.col("_c").alias("b")).agg(F.max("_na").alias("n_a"), F.max("_nc").alias("n_b"), F.sum("_k").alias("n_ab")).where(F.col("n_ab") >= min_pair)
     return pairs, totals
 

@@ -57,7 +57,7 @@ def p1_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
-    return topn.latest_scores(table(spark, sf, "relevance_llm"), "cv_id", "posting_id", "grade", "graded_at", F.col("grade").between(0, 2))
+    return topn.latest_scores(table(spark, sf, "relevance_llm"), "cv_id", "posting_id", "grade", "graded_at", between=(0, 2))
 
 
 @query

@@ -14,18 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_scores(df: DataFrame, group: str, item: str, score: str, at: str, valid: Column | None = None) -> DataFrame:
+def latest_scores(df: DataFrame, group: str, item: str, score: str, at: str, valid: Column | None = None, between: tuple[int, int] | None = None) -> DataFrame:
     """One row ``(_g, _i, _s)`` per (group, item): the score of the latest row.
 
     Rows with a null group, item or score, or failing ``valid``, are left out
     first. Of rows equally late, the higher score holds; a null time counts as
     the earliest. Aggregates on the map side, so a pair repeated without end
-    is no hot key.
+    is no hot key. With ``between``, the lowest and highest of whole scores, all
+    other scores are left out too, and time and score are packed into one number,
+    which hash aggregation can keep; else they are compared as a pair, which it can't.
     """
     keep = F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull()
     if valid is not None:
         keep = keep & valid
     rows = df.where(keep).select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(score).alias("_s"), F.col(at).alias("_t"))
+    if between is not None:
+        low, high = between
+        width = high - low + 1
+        early = F.lit(-(1 << 62) // width)
+        time = F.coalesce(F.unix_micros(F.col("_t").cast("timestamp")), early)
+        packed = rows.where(F.col("_s").between(low, high)).select("_g", "_i", (time * width + (F.col("_s") - low)).alias("_p"))
+        best = packed.groupBy("_g", "_i").agg(F.max("_p").alias("_p"))
+        return best.select("_g", "_i", (F.pmod("_p", F.lit(width)) + low).cast(df.schema[score].dataType).alias("_s"))
     return rows.groupBy("_g", "_i").agg(F.max(F.struct("_t", "_s")).alias("_m")).select("_g", "_i", F.col("_m._s").alias("_s"))
 
 

@@ -32,6 +32,15 @@ def test_top_n_against_plain(spark):
         N.top_n(scored, 0)
 
 
+def test_packed_latest_scores(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(40), rng.choice([-1, 0, 1, 2, 3, None]), rng.choice([None, "1969-05-01 00:00:00.000001", "2024-01-01 10:00:00", "2024-01-01 10:00:00.000001"])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, i int, s int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    plain = N.latest_scores(df, "g", "i", "s", "t", F.col("s").between(0, 2))
+    packed = N.latest_scores(df, "g", "i", "s", "t", between=(0, 2))
+    assert packed.dtypes == plain.dtypes and sorted(packed.collect()) == sorted(plain.collect())
+
+
 def _plain(baskets, least):
     n, pairs, each = len(baskets), Counter(), Counter()
     for items in baskets.values():
@@ -57,6 +66,30 @@ def test_pairs_against_plain(spark, max_heavy, monkeypatch):
     assert {(r["skill_a"], r["skill_b"]) for r in P.associated_pairs(df, "b", "i", 5, 1.5, max_heavy).collect()} == set(lifted)
 
 
+@pytest.mark.parametrize("part", [1, 3, 8])
+def test_large_baskets_in_parts_against_plain(spark, part, monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 50)
+    rng = random.Random(4)
+    items = [f"i{k:02d}" for k in range(40)]
+    baskets = {b: set(rng.sample(items, rng.choice([1, 2, 5, 30]))) for b in range(60)}
+    df = spark.createDataFrame([(b, i) for b, some in baskets.items() for i in some], "b long, i string")
+    pairs, totals = P.pair_counts(P.distinct_baskets(df, "b", "i"), 2, 4, part)
+    n = totals.collect()[0]["n"]
+    assert {(r["a"], r["b"]): (r["n_ab"], r["n_a"], r["n_b"], n) for r in pairs.collect()} == _plain(baskets, 2)
+
+
+def test_one_basket_of_many_items_is_spread(spark):
+    """No unit holds more than two parts, and every pair is counted once."""
+    df = spark.range(6000).select(F.lit(1).cast("long").alias("b"), F.format_string("i%05d", "id").alias("i"))
+    units = P.in_units(P.distinct_baskets(df, "b", "i").withColumn("_n", F.lit(1)).withColumn("_h", F.lit(False)), 500)
+    sizes = [r["count"] for r in units.groupBy("_b", "_p").count().collect()]
+    assert len(sizes) == 12 * 13 // 2 and max(sizes) < 2.4 * 500
+    small = df.where("id < 1500")
+    pairs, _ = P.pair_counts(P.distinct_baskets(small, "b", "i"), 1, 256, 200)
+    got = pairs.agg(F.count("*"), F.max("n_ab")).collect()[0]
+    assert tuple(got) == (1500 * 1499 // 2, 1)
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([(i, "only") for i in range(9)], "b long, i string")
     assert P.associated_pairs(df, "b", "i", 1, 0).count() == 0
