@@ -12,6 +12,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
+
+
+def _micros(at: str, kind: DataType) -> Column:
+    """Microseconds since 1970; times without a zone are not moved by the session's."""
+    if not isinstance(kind, TimestampNTZType):
+        return F.unix_micros(F.col(at).cast("timestamp"))
+    day = F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = (day * 24 + F.hour(at)) * 60 + F.minute(at)
+    return minutes * 60_000_000 + (F.expr(f"extract(SECOND FROM {at})") * 1_000_000).cast("long")
 
 
 def latest_scores(df: DataFrame, group: str, item: str, score: str, at: str, valid: Column | None = None, between: tuple[int, int] | None = None) -> DataFrame:
@@ -32,7 +42,7 @@ def latest_scores(df: DataFrame, group: str, item: str, score: str, at: str, val
         low, high = between
         width = high - low + 1
         early = F.lit(-(1 << 62) // width)
-        time = F.coalesce(F.unix_micros(F.col("_t").cast("timestamp")), early)
+        time = F.coalesce(_micros("_t", df.schema[at].dataType), early)
         packed = rows.where(F.col("_s").between(low, high)).select("_g", "_i", (time * width + (F.col("_s") - low)).alias("_p"))
         best = packed.groupBy("_g", "_i").agg(F.max("_p").alias("_p"))
         return best.select("_g", "_i", (F.pmod("_p", F.lit(width)) + low).cast(df.schema[score].dataType).alias("_s"))

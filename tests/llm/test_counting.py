@@ -32,10 +32,11 @@ def test_top_n_against_plain(spark):
         N.top_n(scored, 0)
 
 
-def test_packed_latest_scores(spark):
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_packed_latest_scores(spark, kind):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), rng.randrange(40), rng.choice([-1, 0, 1, 2, 3, None]), rng.choice([None, "1969-05-01 00:00:00.000001", "2024-01-01 10:00:00", "2024-01-01 10:00:00.000001"])) for _ in range(600)]
-    df = spark.createDataFrame(rows, "g string, i int, s int, t string").withColumn("t", F.col("t").cast("timestamp"))
+    df = spark.createDataFrame(rows, "g string, i int, s int, t string").withColumn("t", F.col("t").cast(kind))
     plain = N.latest_scores(df, "g", "i", "s", "t", F.col("s").between(0, 2))
     packed = N.latest_scores(df, "g", "i", "s", "t", between=(0, 2))
     assert packed.dtypes == plain.dtypes and sorted(packed.collect()) == sorted(plain.collect())
