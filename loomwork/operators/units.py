@@ -194,8 +194,10 @@ class Amount:
 
 
 @lru_cache(maxsize=100_000)
-def read_amount(cell: str, field: str) -> Amount | None:
-    """What a cell states, or None. ``cell`` is lower-case NFC text."""
+def read_amount(cell: str, field: str, months: tuple[tuple[str, float], ...] = ()) -> Amount | None:
+    """What a cell states, or None. ``cell`` is lower-case NFC text. Of several
+    range signs the first and the last figure are the ends; figures that don't
+    belong together leave the first. ``months`` are the rates of experience."""
     text = NOTES.sub(" ", cell) if field == MONEY else cell
     if field == EXPERIENCE:
         text = WORD_FIGURE.sub(lambda m: f"{NUMBER_WORDS[m.group(1)]:g} ", text)
@@ -213,13 +215,13 @@ def read_amount(cell: str, field: str) -> Amount | None:
             cuts.append((sign.start(), sign.end()))
         else:
             groups[-1].append(k)
-    if len(groups) > 2:
-        return None
     edges = [0, *(c[0] for c in cuts)], [*(c[0] for c in cuts), len(text)]
     starts = [0, *(c[1] for c in cuts)]
     values = []
     for g, a, b in zip(groups, starts, edges[1], strict=True):
-        values.append(_value(text, [found[k] for k in g], a, b, field))
+        values.append(_value(text, [found[k] for k in g], a, b, field, dict(months)))
+    if len(values) > 2:
+        values = [values[0], values[-1]]
     if any(v is None for v in values):
         return None
     before, after = text[: found[0].start()], text[found[groups[-1][-1]].end() :]
@@ -242,7 +244,7 @@ def _shared(own: Unit, other: Unit) -> Unit:
     return Unit(other.scale, other.currency, own.time or other.time)
 
 
-def _value(text: str, figures: list[re.Match], a: int, b: int, field: str) -> tuple[float, Unit] | None:
+def _value(text: str, figures: list[re.Match], a: int, b: int, field: str, rates: dict[str, float]) -> tuple[float, Unit] | None:
     first = figures[0]
     if field == EXPERIENCE:
         total, unit = 0.0, NONE
@@ -257,20 +259,20 @@ def _value(text: str, figures: list[re.Match], a: int, b: int, field: str) -> tu
                 if HALF.search(text, m.end(), end):
                     total += 0.5
             else:  # "2 năm 6 tháng"
-                total += months * _RELATIVE.get((u.time, unit.time), math.nan)
-        return (total, unit) if not math.isnan(total) else None
+                if u.time not in rates or unit.time not in rates:
+                    return None
+                total += months * rates[u.time] / rates[unit.time]
+        return total, unit
     x = figure(first.group())
     tail = text[first.end() : b]
-    if len(figures) == 2:  # "12tr5", "13 triệu 500"
+    if len(figures) > 1:  # "12tr5", "13 triệu 500"
         join = text[first.end() : figures[1].start()]
         u = segment(join, field)
         if u.scale is None or u.currency or u.time:
-            return None
+            return x, u
         digits = figures[1].group()
         x += float(f"0.{digits}")
-        tail = join.rstrip() + " " + text[figures[1].end() : b]
-    elif len(figures) > 2:
-        return None
+        tail = join.rstrip() + " " + text[figures[1].end() : figures[2].start() if len(figures) > 2 else b]
     unit = segment(tail.strip(), field)
     if unit.scale is not None and len(figures) == 1 and HALF.search(tail):
         x += 0.5
@@ -278,8 +280,6 @@ def _value(text: str, figures: list[re.Match], a: int, b: int, field: str) -> tu
     return x, Unit(unit.scale, unit.currency or lead.currency, unit.time)
 
 
-_RELATIVE = {("month", "year"): 1 / 12, ("week", "year"): 1 / 48, ("week", "month"): 0.25, ("month", "month"): 1.0, ("year", "year"): 1.0}
-
 SENTENCE = re.compile(r"[^.;!?\n]+")
 CUES = {
     MONEY: re.compile(r"(?<!\w)(?:lương|thu nhập|trả công|tiền công|thù lao|thu nhập|salary|salaries|wage|wages|pay|income)(?!\w)"),
@@ -321,6 +321,7 @@ class Converter:
         self.money = {u: f for (q, u), f in rates.items() if q == "money"}
         self.period = {u: f for (q, u), f in rates.items() if q == "pay_period"}
         self.experience = {u: f for (q, u), f in rates.items() if q == "experience"}
+        self._months = tuple(sorted(self.experience.items()))
         self.feeds = {f: (segment((a or "").lower(), MONEY), segment((b or "").lower(), EXPERIENCE)) for f, (a, b) in feeds.items()}
 
     def pay(self, x: float, unit: Unit) -> int | None:
@@ -341,7 +342,7 @@ class Converter:
         low_text = unicodedata.normalize("NFC", cell).lower().strip()
         if field == EXPERIENCE and NOT_ASKED.search(low_text):
             return 0, 0
-        amount = read_amount(low_text, field)
+        amount = read_amount(low_text, field, self._months)
         if amount is None:
             return None
         ends = [amount.low, amount.high]

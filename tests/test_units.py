@@ -100,3 +100,22 @@ def test_rows_with_nulls_repeats_and_long_texts(spark):
     assert got == sorted([("1", "salary", 9000, 9000)] * 2 + [("1", "experience_required", 24, 24)] * 2 + [("None", "salary", 50 * 208, 50 * 208), ("3", "salary", 60 * 208, 60 * 208)])
     assert out.limit(0).count() == 0
     assert U.convert_amounts(df.limit(0), "row_id", "feed", {"salary": U.MONEY}, ("description",), rates, feeds).count() == 0
+
+
+FEW_RATES = {("money", "VND"): 0.001, ("pay_period", "month"): 1.0, ("experience", "month"): 1.0, ("experience", "year"): 12.0, ("experience", "day"): 1 / 30}
+
+
+def test_parts_of_an_experience_take_their_rates_from_the_table():
+    c = U.Converter(FEW_RATES, {})
+    assert c.convert("2 năm 60 ngày", U.EXPERIENCE, None, ()) == (26, 26)
+    without = U.Converter({k: v for k, v in FEW_RATES.items() if k[1] != "day"}, {})
+    assert without.convert("2 năm 60 ngày", U.EXPERIENCE, None, ()) is None
+    half = U.Converter(FEW_RATES | {("experience", "year"): 10.0}, {})
+    assert half.convert("2 năm 6 tháng", U.EXPERIENCE, None, ()) == (26, 26)
+
+
+def test_several_range_signs_and_loose_figures():
+    c = U.Converter(FEW_RATES, {})
+    assert c.convert("1 - 3 - 5 năm", U.EXPERIENCE, None, ()) == (12, 60)
+    assert c.convert("8 triệu - 10 triệu - 12 triệu", U.MONEY, None, ()) == (8000, 12000)
+    assert c.convert("12 triệu đồng ca 8 tiếng 26 buổi", U.MONEY, None, ()) == (12000, 12000)
