@@ -33,10 +33,10 @@ def present(x: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def bin_of(x: Column, uppers: tuple[float, ...], labels: tuple[str, ...], closed: bool = False) -> Column:
-    """The label of the first bin whose upper bound lies above ``x`` (at or above if ``closed``)."""
+def bin_of(x: Column, bins: tuple[tuple[float, str], ...], closed: bool = False) -> Column:
+    """The label of the first (upper, label) whose bound lies above ``x`` (at or above if ``closed``)."""
     out = F.lit(None).cast("string")
-    for upper, label in reversed(list(zip(uppers, labels, strict=True))):
+    for upper, label in reversed(bins):
         inside = F.lit(True) if upper == math.inf else (x <= upper if closed else x < upper)
         out = F.when(inside, F.lit(label)).otherwise(out)
     return F.when(x.isNotNull(), out)

@@ -19,13 +19,14 @@ TONE_MOVES = (
 )
 
 
-# How figures, citations and years stand in Vietnamese answers.
-CITATIONS = r"\[#?\s*\d+(?:\s*,\s*#?\s*\d+)*\]|#\d+"
-YEARS = r"(?:năm|/)\s*(?:19|20)\d{2}(?![\p{L}\p{N}_])"
-SHORT_MILLIONS = r"(\d+)\s*tr\s*(\d+)(?![\p{L}\p{N}_])"
-FIGURES = r"(\d+(?:[.,]\d+)*(?:\s*(?i:đồng|vnđ|vnd|đ)(?![\p{L}\p{N}_]))?)"
-THOUSANDS = r"^\d{1,3}(?:\.\d{3})+(?:,\d+)?$"
-DONG = r"(?i)(?:đồng|vnđ|vnd|đ)$"
+# What stands in Vietnamese answers as a figure, each shape in turn: citations,
+# years, millions with a tail ("12tr5"), figures with or without a currency.
+FIGURE = (
+    r"\[#?\s*\d+(?:\s*,\s*#?\s*\d+)*\]|#\d+"
+    r"|(?:năm|/)\s*(?:19|20)\d{2}(?![\p{L}\p{N}_])"
+    r"|\d+\s*tr\s*\d+(?![\p{L}\p{N}_])"
+    r"|\d+(?:[.,]\d+)*(?:\s*(?i:đồng|vnđ|vnd|đ)(?![\p{L}\p{N}_]))?"
+)
 
 
 def col(x: Column | str) -> Column:
@@ -115,20 +116,21 @@ def numbers(x: Column | str) -> Column:
     """Figures of a Vietnamese sentence as doubles, in order. Citations ("[#12]",
     "#12") and years ("năm 2025", "/2025") are none; dots group thousands and
     commas are decimal; "12tr5" is 12.5; sums in đồng from 100,000 up are
-    given in millions."""
-    t = F.regexp_replace(col(x), CITATIONS, " ")
-    t = F.regexp_replace(t, YEARS, " ")
-    t = F.regexp_replace(t, SHORT_MILLIONS, "$1,$2 triệu")
-    found = F.regexp_extract_all(t, F.lit(FIGURES), F.lit(1))
+    given in millions. One pattern finds the figures, then each is read by its
+    first and last letters."""
 
     def value(m: Column) -> Column:
-        figure = F.regexp_extract(m, r"^[\d.,]+", 0)
-        grouped = figure.rlike(THOUSANDS) | figure.contains(",")
-        plain = F.when(grouped, F.replace(F.replace(figure, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(figure)
+        short = F.contains(m, F.lit("tr"))
+        digits = F.translate(m, " \t\n\r\u00a0đồngvĐỒNGVdD", "")
+        pieces = F.split(digits, r"\.")
+        grouped = (F.size(pieces) > 1) & F.forall(F.slice(pieces, 2, 1 << 10), lambda p: F.length(F.substring_index(p, ",", 1)) == 3) & (F.length(pieces[0]) <= 3)
+        plain = F.when(short, F.concat_ws(".", F.transform(F.split(digits, "tr"), lambda p: F.trim(p)))).when(grouped | F.contains(digits, F.lit(",")), F.translate(digits, ",.", ".")).otherwise(digits)
         v = plain.try_cast("double")
-        return F.when((v >= 100_000) & m.rlike(DONG), v / 1_000_000).otherwise(v)
+        last = F.lower(F.substring(m, -1, 1))
+        return F.when((v >= 100_000) & last.isin("g", "đ", "d"), v / 1_000_000).otherwise(v)
 
-    return F.coalesce(F.filter(F.transform(found, value), lambda v: v.isNotNull()), F.array().cast("array<double>"))
+    counted = F.filter(F.regexp_extract_all(col(x), F.lit(FIGURE), F.lit(0)), lambda m: F.substring(m, 1, 1).between("0", "9"))
+    return F.coalesce(F.filter(F.transform(counted, value), lambda v: v.isNotNull()), F.array().cast("array<double>"))
 
 
 def close_to(x: Column, allowed: Column, absolute: float = 0.05, relative: float = 0.005) -> Column:
