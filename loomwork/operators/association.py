@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.maths import chi2_critical, chi2_tail
+from loomwork.session import cut
 
 
 def vocabulary(mentions: DataFrame, basket: str, item: str, least: int) -> DataFrame:
@@ -54,39 +55,60 @@ def chi2_grid(mentions: DataFrame, basket: str, item: str, groups: DataFrame, gr
     return out.withColumn("p_value", chi2_tail("chi2")) if p_values else out
 
 
-FLUSH = 300_000
+GATHERED = 1 << 20  # pairs a task holds before it counts them
+PART = 2000
 
 
-def _pairs_of_baskets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts pairs within the task, so that counts are shuffled and not pairs."""
-    table: Counter = Counter()
+def _pairs_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts pairs within the task, so that counts are shuffled and not pairs. A
+    unit is a sorted list of item codes; with ``_right`` each pairs with each of
+    that list instead of with its own later ones."""
+    held: list[np.ndarray] = []
+    size = 0
 
-    def out() -> pd.DataFrame:
-        rows = pd.DataFrame([(a, b, n) for (a, b), n in table.items()], columns=["item_a", "item_b", "k"])
-        table.clear()
-        return rows
+    def out() -> pa.RecordBatch:
+        pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs >> 32, pa.int64()), pa.array(pairs & 0xFFFFFFFF, pa.int64()), pa.array(n, pa.int64())], ["_x", "_y", "k"])
 
     for batch in batches:
-        for items in batch["_items"]:
-            for i, a in enumerate(items):
-                table.update((a, b) for b in items[i + 1 :])
-                if len(table) > FLUSH:
-                    yield out()
-    yield out()
-
-
-def pmi_pairs(mentions: DataFrame, basket: str, item: str, n_baskets: int | None = None, least: int = 5, words: DataFrame | None = None) -> DataFrame:
+        for left, right in zip(batch.column("_left"), batch.column("_right"), strict=True):
+            a = left.values.to_numpy()
+            if right.is_valid:
+                b = right.values.to_numpy()
+                x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+            else:
+                i, j = np.triu_indices(len(a), 1)
+                x, y = a[i], a[j]
+            held.append(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y))
+            size += len(x)
+            if size > GATHERED:
+                yield out()
+                size = 0
+    if held:
+        yield out()
+
+
+def pmi_pairs(mentions: DataFrame, basket: str, item: str, n_baskets: int | None = None, least: int = 5, words: DataFrame | None = None, part: int = PART) -> DataFrame:
     """``(item_a, item_b, n_ab, pmi, npmi)``, item_a < item_b, over distinct
     mentions; ``n_baskets`` counts baskets without any item too (default: those
     with one). Items in fewer than ``least`` baskets are left out beforehand, so
-    a basket's list is bounded by the vocabulary."""
+    a basket's list is bounded by the vocabulary; one of more than ``part`` items
+    is cut into parts, and each two parts are paired in a task of their own."""
     base = mentions.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(basket, item).distinct()
     base = base.join(words.select(item), item, "left_semi") if words is not None else base
     counts = base.groupBy(item).agg(F.count("*").alias("c"))
     busy = base.join(counts.where(F.col("c") >= least), item, "left_semi")
-    lists = busy.groupBy(basket).agg(F.array_sort(F.collect_list(item)).alias("_items")).where(F.size("_items") > 1).select("_items")
-    counted = lists.mapInPandas(_pairs_of_baskets, "item_a string, item_b string, k long")
-    pairs = counted.groupBy("item_a", "item_b").agg(F.sum("k").alias("n_ab")).where(F.col("n_ab") >= least)
+    # codes in the order of the names, so that a smaller code is a smaller name
+    coded = cut(counts.where(F.col("c") >= least).select(item).withColumn("_code", F.row_number().over(Window.orderBy(item)).cast("long")))  # the vocabulary
+    lists = busy.join(coded, item).groupBy(basket).agg(F.array_sort(F.collect_list("_code")).alias("_all")).where(F.size("_all") > 1)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / part)), lambda i: F.slice("_all", (i * part + 1).cast("int"), part))
+    none = F.lit(None).cast("array<bigint>")
+    units = F.flatten(F.transform("_parts", lambda p, i: F.transform(F.slice("_parts", i + 1, F.size("_parts")), lambda q: F.struct(p.alias("_left"), F.when(F.array_min(p) != F.array_min(q), q).otherwise(none).alias("_right")))))
+    large = lists.where(F.size("_all") > part).withColumn("_parts", parts).select(F.explode(units).alias("u")).select("u.*").repartition(F.xxhash64("_left", "_right"))
+    unit = lists.where(F.size("_all") <= part).select(F.col("_all").alias("_left"), none.alias("_right")).unionByName(large)
+    counted = unit.mapInArrow(_pairs_of_units, "_x long, _y long, k long").groupBy("_x", "_y").agg(F.sum("k").alias("n_ab")).where(F.col("n_ab") >= least)
+    pairs = counted.join(coded.select(F.col("_code").alias("_x"), F.col(item).alias("item_a")), "_x").join(coded.select(F.col("_code").alias("_y"), F.col(item).alias("item_b")), "_y").select("item_a", "item_b", "n_ab")
     pairs = pairs.join(counts.select(F.col(item).alias("item_a"), F.col("c").alias("_ca")), "item_a").join(counts.select(F.col(item).alias("item_b"), F.col("c").alias("_cb")), "item_b")
     total = base.agg(F.count_distinct(basket).alias("_n")) if n_baskets is None else base.sparkSession.range(1).select(F.lit(n_baskets).alias("_n"))
     pmi = F.ln(F.col("n_ab").cast("double") * F.col("_n") / (F.col("_ca") * F.col("_cb")))

@@ -33,11 +33,19 @@ def parse(lines: DataFrame, by: list[str]) -> DataFrame:
     return changed.select(*by, "n", F.when(sign == "+", F.col("_new")).otherwise(F.col("_old")).alias("file"), sign.alias("sign"), F.substring("text", 2, 1 << 30).alias("text"))
 
 
+def masked(x: Column) -> Column:
+    """A line without what may be a secret: quoted values and long tokens keep two characters."""
+    quoted = F.regexp_replace(x, r"""(['"])([^'"]{0,2})[^'"]*\1""", "$1$2***$1")
+    return F.regexp_replace(quoted, r"([A-Za-z0-9+/_-]{2})[A-Za-z0-9+/_=-]{18,}", "$1***")
+
+
 def rule_hits(changed: DataFrame, rules: list[tuple[str, str, str]], by: list[str], exempt: tuple[str, ...] = ()) -> DataFrame:
-    """``(by..., n, rule, file, text)`` of added lines; a rule is (name, file pattern, line pattern)."""
+    """``(by..., n, rule, file, text)`` of added lines; a rule is (name, file pattern,
+    line pattern). What stands behind a sign of assignment, in quotes or as a long
+    run of letters and digits is masked, so that no secret is shown again."""
     added = changed.where((F.col("sign") == "+") & ~F.col("file").isin(*exempt))
     hit = F.array_compact(F.array(*[F.when(F.col("file").rlike(f) & F.col("text").rlike(p), F.lit(name)) for name, f, p in rules]))
-    return added.select(*by, "n", F.explode(hit).alias("rule"), "file", F.substring(F.trim("text"), 1, 120).alias("text"))
+    return added.select(*by, "n", F.explode(hit).alias("rule"), "file", F.substring(masked(F.trim("text")), 1, 120).alias("text"))
 
 
 def empty_handlers(changed: DataFrame, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +59,23 @@ def paired(metrics: DataFrame, query: str, a: str, b: str, value: str = "ndcg")
 
 def kappa(df: DataFrame, a: str, b: str, linear: bool = False) -> DataFrame:
     """``(n, agreement, kappa)`` of two raters; with ``linear`` weights labels are
-    numbers. Null where chance agreement is certain."""
+    numbers. Null where chance agreement is certain. What chance gives comes from
+    each rater's counts of a label, or of the labels up to one, never from pairs
+    of labels."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cells = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("c"))
-    left, right = cells.groupBy("x").agg(F.sum("c").alias("r")), cells.groupBy("y").agg(F.sum("c").alias("s"))
-    off = F.abs(F.col("x") - F.col("y")).cast("double") if linear else (F.col("x") != F.col("y")).cast("double")
+    x, y = (F.col(a).cast("double"), F.col(b).cast("double")) if linear else (F.col(a), F.col(b))
+    cells = rows.groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("c"))
+    off = F.abs(F.col("x") - F.col("y")) if linear else (F.col("x") != F.col("y")).cast("double")
     seen = cells.agg(F.sum("c").alias("n"), F.sum(F.col("c") * off).alias("o"), F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)).alias("same"))
-    chance = left.crossJoin(right).agg(F.sum(F.col("r") * F.col("s") * off).alias("e"))  # label values squared
-    return seen.crossJoin(chance).select("n", (F.col("same") / F.col("n")).alias("agreement"), (1 - F.col("o") * F.col("n") / F.nullif(F.col("e"), F.lit(0.0))).alias("kappa"))
+    sides = F.explode(F.array(F.struct(F.col("x").alias("l"), F.col("c").alias("r"), F.lit(0).alias("s")), F.struct(F.col("y").alias("l"), F.lit(0).alias("r"), F.col("c").alias("s"))))
+    labels = cells.select(sides.alias("v")).groupBy("v.l").agg(F.sum("v.r").cast("double").alias("r"), F.sum("v.s").cast("double").alias("s"))
+    if linear:  # the distance of two labels is the sum of the gaps between them
+        order = Window.orderBy("l")  # one row a label
+        upto = labels.select((F.lead("l").over(order) - F.col("l")).alias("gap"), F.sum("r").over(order).alias("r"), F.sum("s").over(order).alias("s"), F.sum("r").over(Window.partitionBy()).alias("n"))
+        chance = upto.agg(F.sum(F.col("gap") * (F.col("r") * (F.col("n") - F.col("s")) + F.col("s") * (F.col("n") - F.col("r")))).alias("e"))
+    else:
+        chance = labels.agg((F.sum("r") * F.sum("s") - F.sum(F.col("r") * F.col("s"))).alias("e"))
+    return seen.crossJoin(chance).select("n", (F.col("same") / F.col("n")).alias("agreement"), (1 - F.col("o") * F.col("n") / F.nullif(F.col("e"), F.lit(0.0))).alias("kappa"))  # one row each
 
 
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -80,21 +91,28 @@ def classification_report(df: DataFrame, truth: str, predicted: str, labels: lis
     return df.agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"), (sum(f1[1:], f1[0]) / len(labels)).alias("macro_f1"))
 
 
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
 def bootstrap(pairs: DataFrame, query: str, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
     """``(n, diff, low, high, p)`` of the mean difference a - b over paired values,
-    resampled ``n_boot`` times by hash; p is two-sided. Fewer than two pairs or a
-    missing value is an error. Each resample is a sum over draws, so nothing is
-    gathered: draws are joined to values by position."""
+    resampled ``n_boot`` times; p is two-sided. Fewer than two pairs or a missing
+    value is an error. A value is drawn into each resample as often as a Poisson
+    variable of mean 1 says, told by a hash of query and resample, so resamples
+    are sums that tasks add up on their own; nothing is broadcast or numbered."""
     check = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull() | F.isnan("a") | F.isnan("b")).alias("bad")).collect()[0]
     if check["n"] < 2 or check["bad"]:
         raise ValueError("bootstrap needs two or more pairs without missing values")
-    n = check["n"]
-    numbered = pairs.select((F.col("a") - F.col("b")).alias("d"), (F.row_number().over(Window.orderBy(query)) - 1).alias("i"))
-    draws = pairs.sparkSession.range(n_boot).select(F.col("id").alias("boot"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("boot", F.pmod(F.xxhash64("boot", "k", F.lit(seed)), F.lit(n)).cast("int").alias("i"))
-    means = draws.join(F.broadcast(numbered), "i").groupBy("boot").agg(F.avg("d").alias("m"))
+    values = pairs.select((F.col("a") - F.col("b")).alias("d"), F.xxhash64(query, F.lit(seed)).alias("_h"))
+    u = F.pmod(F.xxhash64("_h", "boot"), F.lit(1 << 40)) / float(1 << 40)
+    times = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        times = F.when(F.col("_u") < POISSON[k], k).otherwise(times)
+    drawn = values.select("d", "_h", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot")).select("d", "boot", u.alias("_u")).select("d", "boot", times.alias("_w"))
+    means = drawn.groupBy("boot").agg(F.sum(F.col("d") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n")).where(F.col("_n") > 0).select((F.col("_s") / F.col("_n")).alias("m"))
     low = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     below, above = F.avg((F.col("m") <= 0).cast("int")), F.avg((F.col("m") >= 0).cast("int"))
-    return means.agg(low.alias("_q"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p")).crossJoin(numbered.agg(F.count("*").alias("n"), F.avg("d").alias("diff"))).select("n", "diff", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "p")
+    return means.agg(low.alias("_q"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p")).crossJoin(values.agg(F.count("*").alias("n"), F.avg("d").alias("diff"))).select("n", "diff", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "p")
 
 
 def error_rates(df: DataFrame, fields: list[str]) -> DataFrame:

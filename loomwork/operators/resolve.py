@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from loomwork.session import cut
 
 TILE = 4096
-PIVOTS = 64
+MAX_PIVOTS = 8192
 
 
-def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, kind: str | None = None, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
+def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, kind: str | None = None, pivots: int | None = None, tile: int = TILE) -> DataFrame:
     """``(a, b, score)``, a < b: all pairs of unit vectors with cosine >= ``threshold``, exactly.
 
-    Vectors are filed under the nearest of at most ``pivots`` sampled ones; by
+    Vectors are filed under the nearest of ``pivots`` sampled ones, the root of
+    their number unless given, at most MAX_PIVOTS; by
     the triangle inequality of angles two cells farther apart than their radii
     and the threshold's angle hold no pair and are never compared. The others
     are compared tile by tile with matrix products; cells are cut into tiles of
@@ -28,7 +29,8 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, kind
     ``kind`` only vectors of one kind are paired. Null vectors pair with none.
     """
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(vector).alias("_v"), (F.col(kind) if kind else F.lit("")).alias("_kind"))
-    some = min(pivots, max(1, rows.count() // tile))  # few vectors need no cells
+    n = rows.count()
+    some = pivots or max(1, min(MAX_PIVOTS, math.isqrt(n), n // tile * 8))  # few vectors need no cells
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(some).collect()
     id_type = rows.schema["_id"].dataType.simpleString()
     empty = rows.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}, score double")
@@ -78,13 +80,13 @@ def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, kind
     return tiles.groupBy("_tile").applyInPandas(compare, f"a {id_type}, b {id_type}, score double")
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)``: the smallest id reachable over the pairs. Large-star
     and small-star steps in turn, so rounds grow with the logarithm of the
-    longest path; each round is cut, so the plan stays short."""
+    longest path; it goes on until a round changes nothing. Each round is cut, so the plan stays short."""
     edges = cut(pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -108,7 +110,7 @@ def conflicting(a: str, b: str, forbidden: set[tuple[str, str]] = frozenset()) -
     """Whether two names must stay apart: said so, other figures, or other languages."""
     if (a, b) in forbidden or (b, a) in forbidden:
         return True
-    x, y = sorted(re.findall(r"\d+", a)), sorted(re.findall(r"\d+", b))
+    x, y = set(re.findall(r"\d+", a)), set(re.findall(r"\d+", b))
     if x and y and x != y:
         return True
     x, y = ({w for w in re.split(r"[\s,/]+", s) if w in LANGUAGES} for s in (a, b))

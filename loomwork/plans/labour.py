@@ -421,7 +421,7 @@ def bm25_topk(spark, sf):
 
 
 @query(
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % {EVERY} = 0), s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(v.embedding, q.e), lambda z: CAST(z[1] AS DOUBLE) * z[2])) AS score FROM embeddings v CROSS JOIN q),
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % {EVERY} = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.e), lambda z: CAST(z[1] AS DOUBLE) * z[2])), 9) AS score FROM embeddings v CROSS JOIN q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s WHERE score > 0) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 )
 def dense_topk(spark, sf):

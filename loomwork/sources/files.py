@@ -7,9 +7,8 @@ import os
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as D
 
 POSTING_COLUMNS = (
     "job_title", "location", "country", "qualifications", "experience_required", "salary", "salary_max", "languages_required", "contract_type",
@@ -52,8 +51,14 @@ def read_postings_csv(spark: SparkSession, path: str, columns: tuple[str, ...] =
     """Notices of a CSV with line breaks in cells; ``posting_id`` is the row's place in the file."""
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     named = header.select(*[F.col(c).cast("int").alias(c) if c == "salary_max" else F.col(c) for c in columns if c in header.columns])
-    schema = D.StructType([D.StructField("posting_id", D.LongType()), *named.schema.fields])
-    return spark.createDataFrame(named.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), schema)
+    # the id Spark gives has the partition above 33 bits and the row within it below
+    given = named.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33).alias("_part")
+    counts = given.groupBy(part).agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))  # one row a partition
+    placed = given.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before.select("_part", "_before")), "_part")
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(place.alias("posting_id"), *named.columns)
 
 
 def read_sheet(spark: SparkSession, path: str, numbers: tuple[str, ...] = ()) -> DataFrame:
@@ -113,7 +118,8 @@ def cache_key(*parts: Column | str) -> Column:
 
 def read_cached(spark: SparkSession, path: str, asked: DataFrame, key: str = "key") -> DataFrame:
     """``asked`` with ``answer``, null where there is none yet; only the shards asked for are read."""
-    stored = spark.read.parquet(path).select(F.col("key").alias(key), "answer")
+    shards = [r["s"] for r in asked.select(F.substring(key, 1, 2).alias("s")).distinct().collect()]  # two hexadecimal digits: at most 256
+    stored = spark.read.schema("key string, answer string, shard string").parquet(path).where(F.col("shard").isin(shards))  # shards are no numbers.select(F.col("key").alias(key), "answer")
     return asked.join(stored, key, "left")
 
 
@@ -151,10 +157,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def markdown_table(rows: DataFrame, formats: dict[str, str] | None = None, most: int = 1000) -> str:
-    """A small result as a Markdown table; missing values are a dash."""
+def markdown_table(rows: DataFrame, formats: dict[str, str] | None = None) -> str:
+    """A small result as a Markdown table, all its rows; missing values are a dash."""
     formats = formats or {}
-    got = rows.limit(most).collect()
+    got = rows.toLocalIterator()
 
     def cell(name: str, value: object) -> str:
         if value is None or value != value:

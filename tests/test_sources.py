@@ -82,3 +82,20 @@ def test_entry_and_contract(spark):
     assert e.entry(spark).limit(1).count() == 1
     queries, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 60
+
+
+def test_ids_of_a_csv_in_order_and_tables_of_any_length(spark, tmp_path):
+    lines = ["job_title,salary_max,other"] + [f'"title {i}",{i},x' for i in range(2500)]
+    (tmp_path / "a.csv").write_text("\n".join(lines), encoding="utf-8")
+    rows = S.read_postings_csv(spark, str(tmp_path / "a.csv")).orderBy("posting_id").collect()
+    assert [r["posting_id"] for r in rows] == list(range(2500)) and all(r["job_title"] == f"title {r['salary_max']}" == f"title {r['posting_id']}" for r in rows)
+    assert S.markdown_table(spark.range(1500)).count("\n") == 1502
+
+
+def test_only_the_shards_asked_for_are_read(spark, tmp_path):
+    df = spark.createDataFrame([(f"q{i}",) for i in range(300)], "q string").select(S.cache_key("q").alias("key"), F.col("q").alias("answer"))
+    S.write_cached(df, str(tmp_path / "c"))
+    asked = df.where("answer = 'q7'").select("key").unionByName(spark.createDataFrame([("zz",)], "key string"))
+    got = S.read_cached(spark, str(tmp_path / "c"), asked)
+    assert {r["key"][:2]: r["answer"] for r in got.collect()}["zz"] is None and got.where("answer = 'q7'").count() == 1
+    assert "PartitionFilters: [shard" in got._jdf.queryExecution().executedPlan().toString()
