@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.session import cut
+
 BLOCK = 8192
 CHUNK = 1 << 20
 FLUSH = 300_000
@@ -202,10 +204,12 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def in_units(rows: DataFrame, part: int) -> DataFrame:
+def in_units(rows: DataFrame, part: int, baskets: DataFrame | None = None) -> DataFrame:
     """``rows`` (_b, _i, ...) with ``_g`` parts of its basket, ``_p`` the unit within
-    the basket and ``_s``, whether the row is of the unit's second part."""
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_size")).where(F.col("_size") > part)
+    the basket and ``_s``, whether the row is of the unit's second part. The large
+    baskets, counted in ``baskets``, are written down: as a rule there are few, and
+    the rows need no shuffle to learn of them."""
+    sizes = cut((rows if baskets is None else baskets).groupBy("_b").agg(F.count("*").alias("_size")).where(F.col("_size") > part))
     sized = rows.join(sizes, "_b", "left").withColumn("_g", F.coalesce(F.ceil(F.col("_size") / part), F.lit(1)).cast("int")).drop("_size")
     own = F.pmod(F.xxhash64("_i", F.lit("part")), F.col("_g").cast("long")).cast("int")
     unit = F.struct(F.least("_own", "_with").alias("lo"), F.greatest("_own", "_with").alias("hi"))
@@ -219,6 +223,7 @@ def pair_counts(baskets: DataFrame, min_pair: int = 5, max_heavy: int = 256, par
     point and n_ab >= ``min_pair``; totals one row with ``n``, the number of
     baskets. Items that are in no basket with another give no pair.
     """
+    baskets = cut(baskets)  # distinct rows, read several times below
     totals = baskets.agg(F.count_distinct("_b").alias("n"))
     every = baskets.groupBy("_i").agg(F.count("*").alias("_n"))
     split = every.agg((F.sum("_n") / F.lit(max_heavy)).alias("_limit"))  # one row
@@ -230,7 +235,7 @@ def pair_counts(baskets: DataFrame, min_pair: int = 5, max_heavy: int = 256, par
     joined = baskets.join(F.broadcast(heavy), "_i", "left")
     salted = joined.where(F.col("_h").isNull()).select("_b", "_i", F.pmod(F.xxhash64("_b"), F.lit(SALTS)).cast("int").alias("_salt"))
     rows = joined.where(F.col("_h")).select("_b", "_i", "_n", "_h").unionByName(salted.join(light, ["_i", "_salt"]).select("_b", "_i", "_n", F.lit(False).alias("_h")))
-    units = in_units(rows, part)
+    units = in_units(rows, part, baskets)
     counted = units.repartition("_b", "_p").sortWithinPartitions("_b", "_p").mapInPandas(_count_task, "_a string, _c string, _k long, _na long, _nc long")
     pairs = counted.groupBy(F.col("_a").alias("a"), F.col("_c").alias("b")).agg(F.max("_na").alias("n_a"), F.max("_nc").alias("n_b"), F.sum("_k").alias("n_ab")).where(F.col("n_ab") >= min_pair)
     return pairs, totals
