@@ -244,7 +244,7 @@ def sums(groups: DataFrame, caps: np.ndarray, value) -> np.ndarray:
     return np.array([got.get(i, 0.0) for i in range(max(got, default=-1) + 1)])
 
 
-def fit_rates(groups: DataFrame, caps: np.ndarray, wanted: np.ndarray, held: np.ndarray, near: float = 1e-4, rate: float = 0.9, most: int = MAX_STEPS) -> Fit:
+def fit_rates(groups: DataFrame, caps: np.ndarray, wanted: np.ndarray, held: np.ndarray, near: float = 5e-4, rate: float = 0.9, most: int = MAX_STEPS) -> Fit:
     """Least squares of the domain totals, each scaled by what the domain holds.
     Ends when all are within ``near`` of the whole, or where the squares no
     longer fall; more than ``most`` steps are an error."""
