@@ -3,16 +3,16 @@ the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.functions.maths import present
-from loomwork.operators import association, cleaning, evaluation, graph, labels, learning, linking, questions, resolve, retrieval
+from loomwork.operators import association, cleaning, evaluation, facts, graph, labels, learning, linking, questions, resolve, retrieval
 from loomwork.operators.units import small_rows
-from loomwork.session import table
+from loomwork.session import cut, table
 from loomwork.streaming import windows
 
 QUERIES: dict = {}
@@ -384,7 +384,11 @@ def induced_subgraph(spark, sf):
 
 
 def _docs(spark, sf) -> DataFrame:
-    return retrieval.documents(postings(spark, sf), mentions(spark, sf))
+    """Each posting's title, skills, requirements and description; texts are those of its latest notice."""
+    raw = table(spark, sf, "vietjobs")
+    latest = raw.groupBy("posting_id").agg(F.max(F.struct("crawled_at", "row_id")).alias("_m")).select(F.col("_m.row_id").alias("row_id"))
+    texts = raw.join(latest, "row_id", "left_semi").select("posting_id", "requirements_text", "description")
+    return retrieval.documents(postings(spark, sf).select("posting_id", "job_title").join(texts, "posting_id", "left"), mentions(spark, sf))
 
 
 def _asking(spark, sf) -> DataFrame:
@@ -392,7 +396,8 @@ def _asking(spark, sf) -> DataFrame:
 
 
 _TERMS = rf"""WITH {_M}, sk AS (SELECT posting_id, string_agg(skill, ', ' ORDER BY skill) AS s FROM m GROUP BY 1),
-d AS (SELECT posting_id, concat_ws('. ', CASE WHEN trim(job_title) <> '' THEN job_title END, CASE WHEN trim(s) <> '' THEN s END) AS doc FROM postings LEFT JOIN sk USING (posting_id)),
+tx AS (SELECT posting_id, requirements_text, description FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY crawled_at DESC NULLS LAST, row_id DESC) AS k FROM vietjobs) WHERE k = 1),
+d AS (SELECT posting_id, concat_ws('. ', CASE WHEN trim(job_title) <> '' THEN job_title END, CASE WHEN trim(s) <> '' THEN s END, CASE WHEN trim(requirements_text) <> '' THEN requirements_text END, CASE WHEN trim(description) <> '' THEN description END) AS doc FROM postings LEFT JOIN sk USING (posting_id) LEFT JOIN tx USING (posting_id)),
 dw AS (SELECT posting_id, regexp_extract_all(lower(doc), '[\p{{L}}\p{{N}}_]+') AS w FROM d), dt AS (SELECT posting_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS term FROM dw),
 tf AS (SELECT posting_id, term, count(*) AS tf FROM dt GROUP BY 1, 2), qw AS (SELECT cv_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM cvs WHERE CAST(substr(cv_id, 3) AS BIGINT) % {EVERY} = 0),
 qt AS (SELECT cv_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS term FROM qw), qf AS (SELECT cv_id, term, count(*) AS qtf FROM qt GROUP BY 1, 2),
@@ -406,18 +411,14 @@ sc AS (SELECT cv_id, posting_id, round(sum(qtf * i * tf * 2.5 / (tf + 1.5 * (0.2
 _RANK = ", rk AS (SELECT cv_id, posting_id, score, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, posting_id) AS INTEGER) AS rank FROM sc WHERE score > 0) SELECT cv_id, posting_id, round(score, 5) AS score, rank FROM rk WHERE rank <= 10"
 
 
-def _short_docs(spark, sf) -> DataFrame:
-    return retrieval.documents(postings(spark, sf).select("posting_id", "job_title"), mentions(spark, sf))
-
-
 @query(_TERMS + _TFIDF + _RANK)
 def tfidf_topk(spark, sf):
-    return rounded(retrieval.tfidf_search(_short_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text"), "score", to=5)
+    return rounded(retrieval.tfidf_search(_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text"), "score", to=5)
 
 
 @query(_TERMS + _BM25 + _RANK)
 def bm25_topk(spark, sf):
-    return rounded(retrieval.bm25_search(_short_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text"), "score", to=5)
+    return rounded(retrieval.bm25_search(_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text"), "score", to=5)
 
 
 @query(
@@ -448,13 +449,44 @@ def skill_search(spark, sf):
     return rounded(retrieval.skill_search(asked, "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count()), "score")
 
 
+SYSTEMS = ("tfidf", "bm25", "dense", "graph", "hybrid")
+
+
+def _searches(spark, sf, asked: DataFrame, k: int = 10, deep: int = 100) -> dict[str, DataFrame]:
+    """The five systems' rankings of postings for the CVs that ask: words twice,
+    hashed vectors, shared skills, and all four fused by rank."""
+    docs = _docs(spark, sf)
+    vectors = retrieval.hashed_vectors(docs, "posting_id", "doc")
+    asking = retrieval.hashed_vectors(asked, "cv_id", "text").withColumnRenamed("vector", "asked_vector")
+    lists = {
+        "tfidf": retrieval.tfidf_search(docs, "posting_id", "doc", asked, "cv_id", "text", deep),
+        "bm25": retrieval.bm25_search(docs, "posting_id", "doc", asked, "cv_id", "text", deep),
+        "dense": retrieval.dense_search(vectors, "posting_id", "vector", asking, "cv_id", "asked_vector", deep),
+        "graph": retrieval.skill_search(_cv_skills(spark, sf, asked), "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count(), deep),
+    }
+    lists = {name: cut(ranking) for name, ranking in lists.items()}
+    return {name: ranking.where(F.col("rank") <= k) for name, ranking in lists.items()} | {"hybrid": retrieval.fuse(list(lists.values()), "cv_id", "posting_id", k)}
+
+
 @query()
 def hybrid_search(spark, sf):
-    """BM25, TF-IDF and shared skills fused by rank."""
-    docs, asked = _docs(spark, sf), _asking(spark, sf)
-    lists = [f(docs, "posting_id", "doc", asked, "cv_id", "text", k=100) for f in (retrieval.tfidf_search, retrieval.bm25_search)]
-    skills = retrieval.skill_search(_cv_skills(spark, sf, asked), "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count(), k=100)
-    return rounded(retrieval.fuse([*lists, skills], "cv_id", "posting_id"), "score", to=9)
+    """TF-IDF, BM25, vectors and shared skills fused by rank."""
+    return rounded(_searches(spark, sf, _asking(spark, sf))["hybrid"], "score", to=9)
+
+
+@query()
+def five_systems(spark, sf):
+    """What each of the five systems finds for the CVs that ask."""
+    found = _searches(spark, sf, _asking(spark, sf))
+    return reduce(DataFrame.unionByName, [found[name].select("cv_id", F.lit(name).alias("system"), "posting_id", "rank") for name in SYSTEMS])
+
+
+@query()
+def search_metrics(spark, sf):
+    """The five systems against the grades there are, as means over CVs."""
+    grades = _grades(spark, sf)
+    found = cut(five_systems(spark, sf))
+    return rounded(evaluation.system_scores(evaluation.ranking_metrics(found, grades, "cv_id", "posting_id")), "recall", "mrr", "ndcg")
 
 
 _SYSTEMS = """v AS (SELECT cv_id, posting_id, arg_max(grade, (coalesce(graded_at, TIMESTAMP '1900-01-01'), grade)) AS grade FROM relevance_llm WHERE cv_id IS NOT NULL AND grade BETWEEN 0 AND 2 AND posting_id IS NOT NULL GROUP BY 1, 2),
@@ -595,7 +627,7 @@ def label_sheet(spark, sf):
 @query()
 def shown_matches(spark, sf):
     """What a search shows: each hit's title, pay, and the skills it shares with the CV."""
-    hits = retrieval.bm25_search(_short_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text")
+    hits = retrieval.bm25_search(_docs(spark, sf), "posting_id", "doc", _asking(spark, sf), "cv_id", "text")
     return retrieval.match_table(hits, "cv_id", "posting_id", _cv_skills(spark, sf, _asking(spark, sf)), postings(spark, sf), mentions(spark, sf))
 
 
@@ -679,11 +711,49 @@ def other_years(spark, sf):
 @query()
 def linked_entities(spark, sf):
     """What every CV names: categories, titles, places, skills, experience."""
+    return linking.link_entities(table(spark, sf, "cvs").select("cv_id", "text"), "cv_id", "text", _lexicon(spark, sf))
+
+
+def _lexicon(spark, sf) -> linking.Names:
     p = postings(spark, sf)
     titles = {r["t"]: r["t"] for r in small_rows(p.select(F.col("job_title_node").alias("t")).where(F.col("t").isNotNull()).distinct(), "titles")}
     categories = [r["c"] for r in small_rows(p.select(F.col("category").alias("c")).where(F.col("c").isNotNull()).distinct(), "categories")]
     skills = {r["skill"]: r["skill"] for r in small_rows(table(spark, sf, "skill_ref").select("skill"), "skill_ref")}
-    return linking.link_entities(table(spark, sf, "cvs").select("cv_id", "text"), "cv_id", "text", linking.Names(categories, titles, skills))
+    return linking.Names(categories, titles, skills)
+
+
+def _questions(spark, sf) -> DataFrame:
+    return cut(questions.question_set(postings(spark, sf), mentions(spark, sf)))
+
+
+def _question_facts(spark, sf, asked: DataFrame) -> DataFrame:
+    linked = cut(linking.link_entities(asked, "id", "text", _lexicon(spark, sf)))
+    return facts.question_facts(linked, "id", postings(spark, sf), mentions(spark, sf), _pairs(spark, sf), plan=True)
+
+
+@query()
+def question_facts(spark, sf):
+    """Facts of every kind for the questions of the workload."""
+    return _question_facts(spark, sf, _questions(spark, sf))
+
+
+def _scored_answers(spark, sf) -> DataFrame:
+    asked = _questions(spark, sf)
+    found = cut(_question_facts(spark, sf, asked))
+    said = facts.fallback_answers(found, asked, "id")
+    checked = linking.verify(said.join(facts.context(found, "id").select("id", "facts"), "id", "left").join(asked.select("id", F.col("text").alias("asked")), "id"), "text", "citations", "asked", "facts")
+    return facts.score_answers(checked.select("id", "text", "refuse", "citations", "ok"), asked, "id")
+
+
+@query()
+def scored_answers(spark, sf):
+    """Answers made of facts alone, scored against the tables' own answers."""
+    return rounded(_scored_answers(spark, sf), "citation_precision")
+
+
+@query()
+def answer_scores(spark, sf):
+    return rounded(evaluation.answer_summary(_scored_answers(spark, sf), ["group"]), "accuracy", "citation_precision", "grounded", "false_refusal")
 
 
 @query()
@@ -695,9 +765,14 @@ def fact_table(spark, sf):
 
 @query()
 def verified_facts(spark, sf):
-    """Every fact's own text checked against all facts of its kind: none may be refused."""
-    facts = fact_table(spark, sf)
-    return linking.verify(facts.select("kind", F.col("text").alias("said"), F.slice("sources", 1, 2).alias("cited"), F.array(F.struct("text", "values", "sources")).alias("facts"), F.lit("").alias("asked")), "said", "cited", "asked", "facts").select("kind", "said", "bad_numbers", "bad_citations", "ok")
+    """Every fact's own text must pass; the same with a figure raised by a tenth and
+    one, and with a source no fact has, must not."""
+    found = cut(fact_table(spark, sf))
+    given = F.array(F.struct("text", "values", "sources"))
+    told = F.concat(F.col("text"), F.lit(" Thêm "), F.round(F.element_at("values", 1) * 1.1 + 1, 1).cast("string"), F.lit("."))
+    shapes = [("as said", F.col("text"), F.slice("sources", 1, 2)), ("other figure", told, F.slice("sources", 1, 2)), ("foreign source", F.col("text"), F.array(F.lit(-1).cast("bigint")))]
+    every = reduce(DataFrame.unionByName, [found.select("kind", F.lit(name).alias("shape"), said.alias("said"), cited.alias("cited"), given.alias("facts"), F.lit("").alias("asked")) for name, said, cited in shapes])
+    return linking.verify(every, "said", "cited", "asked", "facts").select("kind", "shape", "said", "bad_numbers", "bad_citations", "ok")
 
 
 # learning
