@@ -122,30 +122,41 @@ def group_counts(spark, sf):
 
 
 def _chi2_sql(least: int, alpha: float) -> str:
-    """The significance limit depends on the number of tests, for which SQL has no
-    inverse normal; the limit is therefore left to the query's own column and
-    compared through chi2 alone."""
+    """Cells with their chi-squared and whether it is significant over all cells.
+    SQL has no normal tail, so for each cell the upper tail is summed from its
+    continued fraction, which converges for the large values that matter."""
+    fraction = "x"
+    for k in range(40, 0, -1):
+        fraction = f"(x + {k}.0 / {fraction})"
     return f"""WITH {_M}, k AS (SELECT posting_id, category FROM postings WHERE category IS NOT NULL),
 w AS (SELECT skill FROM m GROUP BY skill HAVING count(*) >= {least}), g AS (SELECT category, count(*) AS n_group FROM k GROUP BY 1),
 c AS (SELECT category, skill, count(*) AS ab FROM k JOIN m USING (posting_id) JOIN w USING (skill) GROUP BY 1, 2),
 s AS (SELECT w.skill, coalesce(sum(ab), 0) AS n_item FROM w LEFT JOIN c USING (skill) GROUP BY 1), t AS (SELECT count(*) AS n FROM k),
-f AS (SELECT g.category, s.skill, coalesce(ab, 0) AS n_ab, n_group, n_item, n FROM g CROSS JOIN s CROSS JOIN t LEFT JOIN c ON c.category = g.category AND c.skill = s.skill)
-SELECT category, skill, CAST(n_ab AS BIGINT) AS n_ab, n_group, CAST(n_item AS BIGINT) AS n_item, round(CAST(n_ab AS DOUBLE) / n_group, 6) AS rate_in,
-round(coalesce((n_item - n_ab) / nullif(CAST(n - n_group AS DOUBLE), 0), 0), 6) AS rate_out,
-round(CASE WHEN CAST(n_group AS DOUBLE) * (n - n_group) * n_item * (n - n_item) > 0 THEN n * pow(CAST(n_ab AS DOUBLE) * (n - n_group - n_item + n_ab) - CAST(n_group - n_ab AS DOUBLE) * (n_item - n_ab), 2)
-/ (CAST(n_group AS DOUBLE) * (n - n_group) * n_item * (n - n_item)) ELSE 0 END, 4) AS chi2 FROM f"""
+f AS (SELECT g.category, s.skill, coalesce(ab, 0) AS n_ab, n_group, n_item, n FROM g CROSS JOIN s CROSS JOIN t LEFT JOIN c ON c.category = g.category AND c.skill = s.skill),
+v AS (SELECT *, coalesce((n_item - n_ab) / nullif(CAST(n - n_group AS DOUBLE), 0), 0) AS r_out, CAST(n_ab AS DOUBLE) / n_group AS r_in,
+CASE WHEN CAST(n_group AS DOUBLE) * (n - n_group) * n_item * (n - n_item) > 0 THEN n * pow(CAST(n_ab AS DOUBLE) * (n - n_group - n_item + n_ab) - CAST(n_group - n_ab AS DOUBLE) * (n_item - n_ab), 2)
+/ (CAST(n_group AS DOUBLE) * (n - n_group) * n_item * (n - n_item)) ELSE 0 END AS chi FROM f), u AS (SELECT *, sqrt(chi) AS x, count(*) OVER () AS tests FROM v)
+SELECT category, skill, CAST(n_ab AS BIGINT) AS n_ab, n_group, CAST(n_item AS BIGINT) AS n_item, round(r_in, 6) AS rate_in, round(r_out, 6) AS rate_out, round(chi, 4) AS chi2, r_in > r_out AS positive,
+x > 1.5 AND 2 * exp(-chi / 2) / sqrt(2 * pi()) / {fraction} < {alpha} / tests AS significant FROM u"""
 
 
 @query(_chi2_sql(30, 0.05))
 def chi2_association(spark, sf):
     grid = association.chi2_grid(mentions(spark, sf), "posting_id", "skill", postings(spark, sf), "category", 30)
-    return rounded(grid.select("category", "skill", "n_ab", "n_group", "n_item", "rate_in", "rate_out", F.round("chi2", 4).alias("chi2")), "rate_in", "rate_out")
+    return rounded(grid.select("category", "skill", "n_ab", "n_group", "n_item", "rate_in", "rate_out", F.round("chi2", 4).alias("chi2"), "positive", "significant"), "rate_in", "rate_out")
 
 
-@query()
+@query(f"SELECT category, skill, chi2, positive FROM ({_chi2_sql(30, 0.05)}) WHERE significant AND positive")
 def chi2_significant(spark, sf):
+    grid = association.chi2_grid(mentions(spark, sf), "posting_id", "skill", postings(spark, sf), "category", 30)
+    return grid.where("positive and significant").select("category", "skill", F.round("chi2", 4).alias("chi2"), "positive")
+
+
+@query()
+def chi2_p_values(spark, sf):
+    """The p-value of every cell, which SQL has no function for."""
     grid = association.chi2_grid(mentions(spark, sf), "posting_id", "skill", postings(spark, sf), "category", 30, p_values=True)
-    return grid.where("positive and significant").select("category", "skill", F.round("chi2", 4).alias("chi2"), "p_value")
+    return grid.select("category", "skill", F.round("chi2", 4).alias("chi2"), "p_value", "significant")
 
 
 _PMI = f"""WITH {_M}, c AS (SELECT skill, count(*) AS c FROM m GROUP BY 1), t AS (SELECT count(*) AS n FROM postings),
@@ -437,13 +448,29 @@ def _cv_skills(spark, sf, cvs: DataFrame) -> DataFrame:
     return retrieval.named_skills(cvs, "cv_id", "text", names.select(F.concat_ws(" ", T.syllables(T.nfc("phrase"))).alias("phrase"), "skill"))
 
 
-@query()
+def _cv_skill_sql(which: str) -> str:
+    """Skills named in CVs: runs of up to eight words without a joining word, but for fragments of longer ones."""
+    return rf"""nm AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(nfc_normalize(phrase)), '[\p{{L}}\p{{N}}_]+'), ' ') AS phrase, skill FROM (SELECT skill AS phrase, skill FROM skill_ref UNION ALL SELECT unnest(also_called), skill FROM skill_ref)),
+cw AS (SELECT cv_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{{L}}\p{{N}}_]+') AS w FROM cvs WHERE {which}), ci AS (SELECT cv_id, w, unnest(range(1, len(w) + 1)) AS i FROM cw), cl AS (SELECT *, unnest(range(1, 9)) AS l FROM ci),
+sp AS (SELECT cv_id, i AS s, i + l AS e, array_to_string(w[i:i + l - 1], ' ') AS phrase FROM cl WHERE i + l - 1 <= len(w) AND NOT list_has_any(w[i:i + l - 1], ['và', 'hoặc', 'hay'])),
+hs AS (SELECT cv_id, s, e, phrase, skill FROM sp JOIN nm USING (phrase) WHERE length(phrase) >= 3),
+cs AS (SELECT DISTINCT cv_id, skill FROM hs h WHERE NOT EXISTS (SELECT 1 FROM hs o WHERE o.cv_id = h.cv_id AND o.s <= h.s AND h.e <= o.e AND o.e - o.s > h.e - h.s AND contains(o.skill, h.phrase)))"""
+
+
+_ASKING = f"CAST(substr(cv_id, 3) AS BIGINT) % {EVERY} = 0"
+
+
+@query(f"WITH {_cv_skill_sql('true')} SELECT cv_id, skill FROM cs")
 def cv_skills(spark, sf):
     """Skills that each CV names."""
     return _cv_skills(spark, sf, table(spark, sf, "cvs").select("cv_id", "text"))
 
 
-@query()
+_SKILL_SEARCH = f"""{_M}, {_cv_skill_sql(_ASKING)}, dn AS (SELECT skill, count(*) AS df FROM m GROUP BY 1), id AS (SELECT skill, ln((SELECT count(*) FROM postings) / CAST(df AS DOUBLE)) AS i FROM dn),
+sg AS (SELECT cv_id, posting_id, round(sum(i), 9) AS score FROM cs JOIN id USING (skill) JOIN m USING (skill) WHERE i > 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SKILL_SEARCH}, rk AS (SELECT cv_id, posting_id, score, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, posting_id) AS INTEGER) AS rank FROM sg WHERE score > 0) SELECT cv_id, posting_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def skill_search(spark, sf):
     asked = _cv_skills(spark, sf, _asking(spark, sf))
     return rounded(retrieval.skill_search(asked, "cv_id", mentions(spark, sf), "posting_id", postings(spark, sf).count()), "score")
@@ -606,7 +633,11 @@ def sampled_ids(spark, sf):
     return evaluation.sample_ids(postings(spark, sf), "posting_id", 200, 7)
 
 
-@query()
+@query(
+    """WITH v AS (SELECT cv_id, posting_id, arg_max(grade, (coalesce(graded_at, TIMESTAMP '1900-01-01'), grade)) AS grade FROM relevance_llm WHERE cv_id IS NOT NULL AND grade BETWEEN 0 AND 2 AND posting_id IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT *, md5(cv_id || '|' || posting_id || '-7') AS h FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY grade ORDER BY h, cv_id, posting_id) AS r FROM h),
+p AS (SELECT *, CASE WHEN r <= 33 THEN 0 ELSE 1 END AS p FROM r) SELECT cv_id, posting_id, grade FROM p ORDER BY p, h, cv_id, posting_id LIMIT 99"""
+)
 def sampled_by_grade(spark, sf):
     return evaluation.sample_by_grade(_grades(spark, sf), ["cv_id", "posting_id"], "grade", 99, 7)
 
@@ -617,7 +648,12 @@ def question_set(spark, sf):
     return rounded(questions.question_set(postings(spark, sf), mentions(spark, sf)), "number")
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT skill AS canonical, lower(raw) AS l, min(raw) AS raw FROM posting_skills WHERE skill IS NOT NULL AND raw IS NOT NULL AND NOT regexp_matches(raw, '[,;:()|/\n]') GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY md5(raw || '-7'), raw) AS r FROM s), t AS (SELECT canonical, min(raw) AS a, max(raw) AS b, count(*) AS k FROM f WHERE r <= 2 GROUP BY 1),
+d AS (SELECT a, b FROM t WHERE k = 2 ORDER BY md5(canonical || '-7'), canonical LIMIT 60), o AS (SELECT DISTINCT a, b FROM d), n AS (SELECT *, row_number() OVER (ORDER BY md5(a || '|' || b || '-7'), a || '|' || b) - 1 AS p FROM o)
+SELECT 'rule-' || lpad(CAST(p AS VARCHAR), 3, '0') AS pair_id, a, b, 'rule' AS stratum, CAST(NULL AS DOUBLE) AS cosine, CASE WHEN p % 2 = 0 THEN 'dev' ELSE 'test' END AS split, '' AS label FROM n"""
+)
 def label_sheet(spark, sf):
     """Pairs of spellings of one skill to be labelled, dev and test in turn."""
     rows = table(spark, sf, "posting_skills").where(F.col("skill").isNotNull() & F.col("raw").isNotNull()).select("raw", F.col("skill").alias("canonical"))
@@ -646,7 +682,7 @@ def near_vectors(spark, sf):
     return rounded(_near(spark, sf), "score")
 
 
-@query()
+@query(_NEAR.replace("WITH p", "WITH RECURSIVE p") + ", e AS (SELECT a AS u, b AS v FROM n UNION SELECT b, a FROM n), c AS (SELECT u AS id, u AS root FROM e UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.id) SELECT id, min(root) AS component FROM c GROUP BY id")
 def vector_components(spark, sf):
     return resolve.components(_near(spark, sf))
 
@@ -700,12 +736,13 @@ def numbers_in_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.numbers("text").alias("numbers"))
 
 
+# each year in turn is looked for as a word: DuckDB's patterns have no look-around
 @query(
-    r"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])((?:19|20)\d{2})', 1), lambda y: CAST(y AS INTEGER)), lambda y: y <> 2025))) AS years FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?:19|20)\d{2}[\p{L}\p{N}_]')"""
+    r"""SELECT doc_id, list_filter(range(1900, 2100), lambda y: y <> 2025 AND regexp_matches(text, '(^|[^\p{L}\p{N}_])' || y || '($|[^\p{L}\p{N}_])')) AS years FROM documents WHERE text IS NOT NULL"""
 )
 def other_years(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"(?:19|20)\d{2}[\p{L}\p{N}_]"))
-    return d.select("doc_id", T.other_years("text").alias("years"))
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    return d.select("doc_id", F.transform(T.other_years("text"), lambda y: y.cast("bigint")).alias("years"))
 
 
 @query()
