@@ -39,7 +39,7 @@ def majority(train: DataFrame, label: str) -> Column:
     return F.lit(row[0][label] if row else None)
 
 
-def text_features(text: str, features: int = 1 << 16, min_docs: int = 2) -> list:
+def text_features(text: str, features: int = 200_000, min_docs: int = 2) -> list:
     """Stages from a word array column: words and word pairs, counts, idf, unit length."""
     return [
         NGram(n=2, inputCol=text, outputCol="_pairs"),
@@ -52,7 +52,7 @@ def text_features(text: str, features: int = 1 << 16, min_docs: int = 2) -> list
     ]
 
 
-def logistic(train: DataFrame, validation: DataFrame, text: str, label: str, strengths: tuple[float, ...] = (0.3, 1.0, 3.0, 10.0), features: int = 1 << 16) -> tuple[PipelineModel, float]:
+def logistic(train: DataFrame, validation: DataFrame, text: str, label: str, strengths: tuple[float, ...] = (0.3, 1.0, 3.0, 10.0), features: int = 200_000) -> tuple[PipelineModel, float]:
     """The model with the best macro F1 on validation among the inverse
     regularisation strengths, and that score. Rows without label are left out."""
     words = T.syllables(T.nfc(text))

@@ -598,6 +598,29 @@ def rater_confusion(spark, sf):
     return evaluation.confusion(_two_raters(spark, sf), "a", "b")
 
 
+_SEVERITY = ("none", "abusive", "hateful", "sexual")
+_NUMBERED = f"SELECT list_position({list(_SEVERITY)!r}, a) AS a, list_position({list(_SEVERITY)!r}, b) AS b FROM ({_RATERS})"
+
+
+@query(
+    f"""WITH r AS ({_NUMBERED}), x AS (SELECT a, count(*) AS s FROM r GROUP BY 1), y AS (SELECT b, count(*) AS s FROM r GROUP BY 1), t AS (SELECT count(*) AS n, sum(abs(a - b)) AS o, count(*) FILTER (WHERE a = b) AS same FROM r),
+e AS (SELECT sum(abs(a - b) * x.s * y.s) AS e FROM x CROSS JOIN y) SELECT CAST(n AS BIGINT) AS n, round(CAST(same AS DOUBLE) / n, 6) AS agreement, round(1 - CAST(o AS DOUBLE) * n / nullif(CAST(e AS DOUBLE), 0), 6) AS kappa FROM t CROSS JOIN e"""
+)
+def rater_kappa_linear(spark, sf):
+    """Labels as steps of a scale, a near miss counting less than a far one."""
+    step = {c: F.array_position(F.array(*map(F.lit, _SEVERITY)), F.col(c)) for c in ("a", "b")}
+    return rounded(evaluation.kappa(_two_raters(spark, sf).withColumns(step), "a", "b", linear=True), "agreement", "kappa")
+
+
+@query(
+    f"""WITH r AS ({_RATERS}), f AS (SELECT l, coalesce(2.0 * count(*) FILTER (WHERE a = l AND b = l) / nullif(count(*) FILTER (WHERE a = l) + count(*) FILTER (WHERE b = l), 0), 0) AS f1 FROM r CROSS JOIN (SELECT unnest({list(_SEVERITY)!r}) AS l) GROUP BY 1)
+SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(CAST(a = b AS INTEGER)) FROM r), 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM f"""
+)
+def label_report(spark, sf):
+    """The second rater's labels as predictions of the first's."""
+    return rounded(evaluation.classification_report(_two_raters(spark, sf), "a", "b", list(_SEVERITY)), "accuracy", "macro_f1")
+
+
 _PR = "SELECT count(*) AS n, count(*) FILTER (WHERE a <> 'none' AND b <> 'none') AS tp, count(*) FILTER (WHERE a = 'none' AND b <> 'none') AS fp, count(*) FILTER (WHERE a <> 'none' AND b = 'none') AS fn FROM r"
 
 
@@ -697,6 +720,38 @@ def vector_clusters(spark, sf):
     return resolve.merge_clusters(pairs.select(F.translate("a", "0123456789", "abcdefghij").alias("a"), F.translate("b", "0123456789", "abcdefghij").alias("b"), "score"), names.withColumn("skill", F.translate("skill", "0123456789", "abcdefghij")), floor=0.3)
 
 
+@query(_NEAR + " SELECT a, b, round(score, 6) AS score FROM n WHERE la = lb")
+def near_vectors_of_a_kind(spark, sf):
+    v = table(spark, sf, "embeddings").withColumn("kind", F.col("label").cast("string"))
+    return rounded(resolve.near_pairs(v, "vec_id", "embedding", NEAR, "kind"), "score")
+
+
+_EDGES_OF_BINS = (0.35, 0.4, 0.45, 0.5, 0.6)
+
+
+@query(
+    _NEAR
+    + f""", b AS (SELECT a, b, score, CASE {' '.join(f"WHEN score >= {x} AND score < {y} THEN {i}" for i, (x, y) in enumerate(zip(_EDGES_OF_BINS, _EDGES_OF_BINS[1:])))} END AS bin FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(a || '|' || b || '-7'), a, b) AS r FROM b WHERE bin IS NOT NULL) SELECT a, b, bin FROM r WHERE r <= 20"""
+)
+def sampled_by_score(spark, sf):
+    """Pairs to label, a few of every bin of similarity."""
+    return evaluation.sample_bins(_near(spark, sf), "score", list(_EDGES_OF_BINS), 20, 7, ["a", "b"]).select("a", "b", "bin")
+
+
+@query(_NEAR + ", t AS (SELECT unnest([0.35, 0.4, 0.45, 0.5]) AS threshold), c AS (SELECT threshold, count(*) FILTER (WHERE la = lb AND score >= threshold) AS tp, count(*) FILTER (WHERE score >= threshold) AS said FROM n CROSS JOIN t GROUP BY 1) SELECT CAST(min(threshold) FILTER (WHERE tp >= 0.5 * said AND said > 0) AS DOUBLE) AS threshold FROM c")
+def chosen_threshold(spark, sf):
+    return resolve.choose_threshold(threshold_sweep(spark, sf), 0.5)
+
+
+@query()
+def resolution_tiers(spark, sf):
+    """Vectors merged in tiers: sure pairs by themselves, pairs in the band by whether their labels agree."""
+    v = table(spark, sf, "embeddings")
+    names = v.select(F.concat(F.lit("v"), F.translate(F.col("vec_id").cast("string"), "0123456789", "abcdefghij")).alias("skill"), (F.pmod("vec_id", F.lit(50)) + 5).alias("count"), F.lit("vector").alias("kind"), F.col("embedding").alias("vector"))
+    return resolve.resolve_tiers(names, auto=0.45, low=0.4, judge=lambda pairs: pairs["score"] >= 0.42, floor=0.3)
+
+
 _STEPS = (0.35, 0.4, 0.45, 0.5)
 
 
@@ -828,7 +883,7 @@ def text_classifier(spark, sf):
     cvs = table(spark, sf, "cvs").select("cv_id", "category", "text", "split")
     dev = cvs.where(F.col("split") == "dev")
     part = F.pmod(F.xxhash64("cv_id"), F.lit(5)) == 0
-    model, _ = learning.logistic(dev.where(~part), dev.where(part), "text", "category", strengths=(1.0, 10.0), features=1 << 13)
+    model, _ = learning.logistic(dev.where(~part), dev.where(part), "text", "category")
     return learning.predict(model, cvs.where(F.col("split") == "test"), "cv_id", "text", "category")
 
 
