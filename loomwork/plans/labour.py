@@ -121,22 +121,22 @@ def group_counts(spark, sf):
     return association.group_counts(mentions(spark, sf), "posting_id", "skill", postings(spark, sf), "category")
 
 
-def _chi2_sql(least: int, alpha: float) -> str:
+def _chi2_sql(least: int, alpha: float, group: str = "category") -> str:
     """Cells with their chi-squared and whether it is significant over all cells.
     SQL has no normal tail, so for each cell the upper tail is summed from its
     continued fraction, which converges for the large values that matter."""
     fraction = "x"
     for k in range(40, 0, -1):
         fraction = f"(x + {k}.0 / {fraction})"
-    return f"""WITH {_M}, k AS (SELECT posting_id, category FROM postings WHERE category IS NOT NULL),
-w AS (SELECT skill FROM m GROUP BY skill HAVING count(*) >= {least}), g AS (SELECT category, count(*) AS n_group FROM k GROUP BY 1),
-c AS (SELECT category, skill, count(*) AS ab FROM k JOIN m USING (posting_id) JOIN w USING (skill) GROUP BY 1, 2),
+    return f"""WITH {_M}, k AS (SELECT posting_id, {group} FROM postings WHERE {group} IS NOT NULL),
+w AS (SELECT skill FROM m GROUP BY skill HAVING count(*) >= {least}), g AS (SELECT {group}, count(*) AS n_group FROM k GROUP BY 1),
+c AS (SELECT {group}, skill, count(*) AS ab FROM k JOIN m USING (posting_id) JOIN w USING (skill) GROUP BY 1, 2),
 s AS (SELECT w.skill, coalesce(sum(ab), 0) AS n_item FROM w LEFT JOIN c USING (skill) GROUP BY 1), t AS (SELECT count(*) AS n FROM k),
-f AS (SELECT g.category, s.skill, coalesce(ab, 0) AS n_ab, n_group, n_item, n FROM g CROSS JOIN s CROSS JOIN t LEFT JOIN c ON c.category = g.category AND c.skill = s.skill),
+f AS (SELECT g.{group}, s.skill, coalesce(ab, 0) AS n_ab, n_group, n_item, n FROM g CROSS JOIN s CROSS JOIN t LEFT JOIN c ON c.{group} = g.{group} AND c.skill = s.skill),
 v AS (SELECT *, coalesce((n_item - n_ab) / nullif(CAST(n - n_group AS DOUBLE), 0), 0) AS r_out, CAST(n_ab AS DOUBLE) / n_group AS r_in,
 CASE WHEN CAST(n_group AS DOUBLE) * (n - n_group) * n_item * (n - n_item) > 0 THEN n * pow(CAST(n_ab AS DOUBLE) * (n - n_group - n_item + n_ab) - CAST(n_group - n_ab AS DOUBLE) * (n_item - n_ab), 2)
 / (CAST(n_group AS DOUBLE) * (n - n_group) * n_item * (n - n_item)) ELSE 0 END AS chi FROM f), u AS (SELECT *, sqrt(chi) AS x, count(*) OVER () AS tests FROM v)
-SELECT category, skill, CAST(n_ab AS BIGINT) AS n_ab, n_group, CAST(n_item AS BIGINT) AS n_item, round(r_in, 6) AS rate_in, round(r_out, 6) AS rate_out, round(chi, 4) AS chi2, r_in > r_out AS positive,
+SELECT {group}, skill, CAST(n_ab AS BIGINT) AS n_ab, n_group, CAST(n_item AS BIGINT) AS n_item, round(r_in, 6) AS rate_in, round(r_out, 6) AS rate_out, round(chi, 4) AS chi2, r_in > r_out AS positive,
 x > 1.5 AND 2 * exp(-chi / 2) / sqrt(2 * pi()) / {fraction} < {alpha} / tests AS significant FROM u"""
 
 
@@ -365,10 +365,29 @@ def posting_edges(spark, sf):
     return graph.posting_edges(postings(spark, sf))
 
 
-@query()
+def _edges_sql() -> str:
+    """All relations: filed under, required, named alike, seen together, associated, typical."""
+    none = "CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS DOUBLE) AS chi2, CAST(NULL AS DOUBLE) AS npmi"
+    parts = [f"SELECT src, dst, rel, {none} FROM (WITH {_PLACED} {_EDGES})"]
+    known = f"WITH {_M}, w AS (SELECT skill FROM m GROUP BY 1 HAVING count(*) >= 5), kn AS (SELECT posting_id, skill FROM m JOIN w USING (skill))"
+    parts.append(f"SELECT src, dst, rel, {none} FROM ({known} SELECT 'posting:' || posting_id AS src, 'skill:' || skill AS dst, 'REQUIRES' AS rel FROM kn)")
+    parts.append(f"SELECT src, dst, rel, {none} FROM ({known} SELECT 'skill:' || al AS src, 'skill:' || skill AS dst, 'ALIAS_OF' AS rel FROM (SELECT unnest(also_called) AS al, skill FROM skill_ref) JOIN w USING (skill))")
+    parts.append(
+        f"""SELECT * FROM ({known}, c AS (SELECT skill, count(*) AS c FROM kn GROUP BY 1), t AS (SELECT count(DISTINCT posting_id) AS n FROM kn), pr AS (SELECT a.skill AS a, b.skill AS b, count(*) AS k FROM kn a JOIN kn b ON a.posting_id = b.posting_id AND a.skill < b.skill GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT 'skill:' || a AS src, 'skill:' || b AS dst, 'CO_OCCURS_WITH' AS rel, k AS n, CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS DOUBLE) AS chi2, round(coalesce(ln(CAST(k AS DOUBLE) * t.n / (x.c * y.c)) / nullif(-ln(CAST(k AS DOUBLE) / t.n), 0), 1), 6) AS npmi FROM pr JOIN c x ON x.skill = a JOIN c y ON y.skill = b CROSS JOIN t)"""
+    )
+    for prefix, column in (("category", "category"), ("exp", "experience_level"), ("salary", "salary_band")):
+        parts.append(f"SELECT '{prefix}:' || {column}, 'skill:' || skill, 'ASSOCIATED_WITH', n_ab, CAST(NULL AS DOUBLE), chi2, CAST(NULL AS DOUBLE) FROM ({_chi2_sql(30, 0.05, column)}) WHERE positive AND significant")
+    for prefix, column in (("category", "category"), ("title", "job_title_node")):
+        parts.append(f"SELECT '{prefix}:' || {column}, 'skill:' || skill, 'TYPICALLY_REQUIRES', n_with, round(CAST(n_with AS DOUBLE) / n_group, 6), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM ({_RATES.format(column)} SELECT * FROM r JOIN (SELECT skill FROM m GROUP BY 1 HAVING count(*) >= 5) USING (skill))")
+    return " UNION ALL ".join(parts)
+
+
+@query(_edges_sql())
 def graph_edges(spark, sf):
     aliases = table(spark, sf, "skill_ref").select(F.explode("also_called").alias("skill"), F.col("skill").alias("canonical"))
-    return graph.edges(postings(spark, sf), mentions(spark, sf), aliases)
+    edges = graph.edges(postings(spark, sf), mentions(spark, sf), aliases)
+    return rounded(edges, "rate", "npmi").withColumn("chi2", F.round("chi2", 4))
 
 
 @query(f"WITH {_PLACED}, {_M} SELECT type, count(*) AS n FROM ({_NODES}) GROUP BY type")
