@@ -141,6 +141,22 @@ def top_skills(rates: DataFrame, group: str, k: int, grid: DataFrame | None = No
     return top.join(grid.where("positive and significant").select(group, "skill", "chi2"), [group, "skill"], "left")
 
 
+def skills_table(rates: DataFrame, group: str, k: int, grid: DataFrame | None, broader: DataFrame, broad_grid: DataFrame, broad: str) -> DataFrame:
+    """:func:`top_skills` with ``chi2``: that of the group itself where ``grid`` has
+    one, else that of its commonest ``broad`` group. ``broader`` has (group, broad)."""
+    top = top_skills(rates, group, k, grid)
+    wide = broad_grid.where("positive and significant").select(broad, "skill", F.col("chi2").alias("_wide"))
+    both = top.join(broader.select(group, broad), group, "left").join(wide, [broad, "skill"], "left")
+    own = F.col("chi2") if grid is not None else F.lit(None).cast("double")
+    return both.withColumn("chi2", F.coalesce(own, "_wide")).drop("_wide")
+
+
+def raw_to_skill(mentions: DataFrame, order: str) -> DataFrame:
+    """``(raw, canonical)``: the name that the last row with a typed value gave it."""
+    named = mentions.where(F.col("raw").isNotNull() & F.col("skill").isNotNull())
+    return named.groupBy("raw").agg(F.max_by("skill", order).alias("canonical"))
+
+
 def missing_skills(rates: DataFrame, group: str, owned: DataFrame, k: int) -> DataFrame:
     """The most frequent skills of every group that ``owned`` (skill) lacks."""
     return top_skills(rates.join(owned.select("skill").distinct(), "skill", "left_anti"), group, k)

@@ -213,6 +213,42 @@ def top_skills(spark, sf):
     return graph.top_skills(_rates(spark, sf, "job_title_node"), "job_title_node", 8).select("job_title_node", "skill", "n_with", "rank")
 
 
+@query(
+    f"""WITH tops AS ({_RATES.format("job_title_node") + _TOP.format("job_title_node", "", 8)}), x AS ({_chi2_sql(30, 0.05)}), cc AS (SELECT job_title_node, category, count(*) AS n FROM postings WHERE job_title_node IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2),
+dc AS (SELECT job_title_node, category FROM (SELECT *, row_number() OVER (PARTITION BY job_title_node ORDER BY n DESC, category) AS k FROM cc) WHERE k = 1)
+SELECT tops.job_title_node, tops.skill, tops.rank, dc.category, x.chi2 FROM tops LEFT JOIN dc USING (job_title_node) LEFT JOIN x ON x.category = dc.category AND x.skill = tops.skill AND x.positive AND x.significant"""
+)
+def title_skill_table(spark, sf):
+    """Each title's most frequent skills and how typical they are of its commonest category."""
+    p = postings(spark, sf)
+    grid = association.chi2_grid(mentions(spark, sf), "posting_id", "skill", p, "category", 30)
+    shown = graph.skills_table(_rates(spark, sf, "job_title_node"), "job_title_node", 8, None, graph.dominant(p, "job_title_node", "category"), grid, "category")
+    return shown.select("job_title_node", "skill", "rank", "category", F.round("chi2", 4).alias("chi2"))
+
+
+@query("SELECT raw, arg_max(skill, mention_id) AS canonical FROM posting_skills WHERE raw IS NOT NULL AND skill IS NOT NULL GROUP BY raw")
+def raw_to_skill(spark, sf):
+    return graph.raw_to_skill(table(spark, sf, "posting_skills"), "mention_id")
+
+
+@query(
+    """SELECT skill, count(DISTINCT posting_id) AS n_postings, CASE WHEN count(*) FILTER (WHERE source = 'soft') >= count(*) FILTER (WHERE source <> 'soft') THEN 'soft' ELSE 'technical' END AS kind
+FROM posting_skills WHERE skill IS NOT NULL AND posting_id IS NOT NULL GROUP BY skill HAVING count(DISTINCT posting_id) >= 5"""
+)
+def skill_attributes(spark, sf):
+    """What a skill's node carries: how many postings name it and its kind."""
+    return graph.skill_kinds(mentions(spark, sf), 5)
+
+
+@query(f"WITH {_M}, r AS (SELECT arg_max(skill, mention_id) AS canonical, raw FROM posting_skills WHERE raw IS NOT NULL AND skill IS NOT NULL GROUP BY raw), al AS (SELECT unnest(also_called) AS alias, skill FROM skill_ref), s AS (SELECT skill FROM m GROUP BY 1 HAVING count(*) >= 5), q AS (SELECT DISTINCT raw AS name FROM posting_skills WHERE raw IS NOT NULL), c AS (SELECT name, coalesce(canonical, name) AS c FROM q LEFT JOIN r ON r.raw = name), t AS (SELECT name, coalesce(al.skill, c) AS t FROM c LEFT JOIN al ON al.alias = c) SELECT name, s.skill FROM t LEFT JOIN s ON s.skill = t")
+def resolved_names(spark, sf):
+    """Each typed value's node of the graph, over the raw map and one alias; null where it has none."""
+    p = table(spark, sf, "posting_skills")
+    aliases = table(spark, sf, "skill_ref").select(F.explode("also_called").alias("skill"), F.col("skill").alias("canonical"))
+    names = p.where(F.col("raw").isNotNull()).select(F.col("raw").alias("name")).distinct()
+    return graph.resolve_names(names, graph.raw_to_skill(p, "mention_id"), graph.skill_kinds(mentions(spark, sf), 5).select("skill"), aliases)
+
+
 _OWNED = ("giao tiếp", "excel", "làm việc nhóm")
 
 
