@@ -78,6 +78,19 @@ def kappa(df: DataFrame, a: str, b: str, linear: bool = False) -> DataFrame:
     return seen.crossJoin(chance).select("n", (F.col("same") / F.col("n")).alias("agreement"), (1 - F.col("o") * F.col("n") / F.nullif(F.col("e"), F.lit(0.0))).alias("kappa"))  # one row each
 
 
+def field_agreement(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``(field, n, agreement, kappa)`` of two raters for each named pair of columns,
+    unweighted; a field of which chance agreement is certain has no kappa."""
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for name, (a, b) in pairs.items()]))
+    cells = df.select(long.alias("f")).select("f.*").dropna(subset=["x", "y"]).groupBy("field", "x", "y").agg(F.count("*").alias("c"))
+    sides = F.explode(F.array(F.struct(F.col("x").alias("l"), F.col("c").alias("r"), F.lit(0).alias("s")), F.struct(F.col("y").alias("l"), F.lit(0).alias("r"), F.col("c").alias("s"))))
+    labels = cells.select("field", sides.alias("v")).groupBy("field", "v.l").agg(F.sum("v.r").cast("double").alias("r"), F.sum("v.s").cast("double").alias("s"))
+    chance = labels.groupBy("field").agg((F.sum("r") * F.sum("s")).alias("_all"), F.sum(F.col("r") * F.col("s")).alias("_same"))
+    seen = cells.groupBy("field").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)).alias("_o"))
+    off = (F.col("n") - F.col("_o")) * F.col("n") / F.nullif(F.col("_all") - F.col("_same"), F.lit(0.0))
+    return seen.join(chance, "field").select("field", "n", (F.col("_o") / F.col("n")).alias("agreement"), (1 - off).alias("kappa"))
+
+
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
 

@@ -684,6 +684,17 @@ def precision_recall(spark, sf):
     return rounded(evaluation.precision_recall(_two_raters(spark, sf), F.col("a") != "none", F.col("b") != "none"), "precision", "recall", "f1")
 
 
+@query(
+    f"""WITH r AS ({_RATERS}), l AS (SELECT 'label' AS field, a AS x, b AS y FROM r UNION ALL SELECT 'marked', CASE WHEN a <> 'none' THEN 'yes' ELSE 'no' END, CASE WHEN b <> 'none' THEN 'yes' ELSE 'no' END FROM r),
+o AS (SELECT field, count(*) AS n, count(*) FILTER (WHERE x = y) AS same FROM l GROUP BY 1), e AS (SELECT a.field, sum(CASE WHEN a.x <> b.y THEN a.c * b.c ELSE 0 END) AS e FROM (SELECT field, x, count(*) AS c FROM l GROUP BY 1, 2) a JOIN (SELECT field, y, count(*) AS c FROM l GROUP BY 1, 2) b ON a.field = b.field GROUP BY 1)
+SELECT field, n, round(CAST(same AS DOUBLE) / n, 6) AS agreement, round(1 - CAST(n - same AS DOUBLE) * n / nullif(CAST(e AS DOUBLE), 0), 6) AS kappa FROM o JOIN e USING (field)"""
+)
+def field_agreement(spark, sf):
+    """Agreement on the label itself and on whether there is one."""
+    both = _two_raters(spark, sf).select("a", "b", *[F.when(F.col(c) != "none", "yes").otherwise("no").alias(f"{c}_marked") for c in ("a", "b")])
+    return rounded(evaluation.field_agreement(both, {"label": ("a", "b"), "marked": ("a_marked", "b_marked")}), "agreement", "kappa")
+
+
 @query(
     """WITH m AS (SELECT doc_id, label, rater, avg(CASE WHEN label = 'none' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS bad FROM doc_labels WHERE label IS NOT NULL AND rater IS NOT NULL)
 SELECT rater AS field, count(*) AS n, count(*) FILTER (WHERE (label <> 'none') <> (bad > 0.5)) AS wrong, round(count(*) FILTER (WHERE (label <> 'none') <> (bad > 0.5)) / CAST(count(*) AS DOUBLE), 6) AS rate FROM m WHERE bad <> 0.5 GROUP BY 1"""

@@ -91,6 +91,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("allowNonNumericNumbers", True).json(path)
 
 
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a row, missing values written as null; read back by :func:`read_jsonl`."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def with_meta(result: DataFrame, **told: object) -> DataFrame:
+    """A result with what is to be known about its run, date, revision, model and
+    the like, as columns of their own before the others; a clashing name is an error."""
+    if clash := set(told) & set(result.columns):
+        raise ValueError(f"the result has columns named {sorted(clash)}")
+    return result.select(*[F.lit(value).alias(name) for name, value in told.items()], "*")
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN in any double column becomes null."""
     kinds = ("double", "float")

@@ -99,3 +99,13 @@ def test_only_the_shards_asked_for_are_read(spark, tmp_path):
     got = S.read_cached(spark, str(tmp_path / "c"), asked)
     assert {r["key"][:2]: r["answer"] for r in got.collect()}["zz"] is None and got.where("answer = 'q7'").count() == 1
     assert "PartitionFilters: [shard" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jsonl_round_trip_and_meta(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 2.5)], "k int, t string, x double")
+    S.write_jsonl(df, str(tmp_path / "j"))
+    assert sorted(map(tuple, S.read_jsonl(spark, str(tmp_path / "j"), "k int, t string, x double").collect())) == [(1, "a", None), (2, None, 2.5)]
+    told = S.with_meta(df, date="2026-01-01", revision="abc")
+    assert told.columns == ["date", "revision", "k", "t", "x"] and told.where("revision = 'abc'").count() == 2
+    with pytest.raises(ValueError):
+        S.with_meta(df, k=1)
