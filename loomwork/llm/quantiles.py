@@ -60,12 +60,18 @@ def key_value(key: Column) -> Column:
     return F.when(key >= 0, size).otherwise(-size)
 
 
-def _keyed(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    keep = F.col(value).isNotNull() & ~F.isnan(value)
+def with_key(df: DataFrame, value: str, key: str) -> DataFrame:
+    """The rows with a value, and its :func:`order_key` as column ``key``: worked out
+    once where rows are multiplied afterwards."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(key, order_key(F.col(value).cast("double")))
+
+
+def _keyed(df: DataFrame, groups: Sequence[str], value: str | None, key: str | None = None) -> DataFrame:
+    rows = df if key else with_key(df, value, "_key")
+    keep = F.col(key or "_key").isNotNull()
     for g in groups:
         keep = keep & F.col(g).isNotNull()
-    rows = df.where(keep).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(value).cast("double").alias("_x"))
-    return rows.withColumn("_key", order_key(F.col("_x"))).drop("_x")
+    return rows.where(keep).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(key or "_key").alias("_key"))
 
 
 def _wanted(n: Column, quantiles: Sequence[float]) -> Column:
@@ -74,9 +80,10 @@ def _wanted(n: Column, quantiles: Sequence[float]) -> Column:
     return F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
 
 
-def radix_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], digits: Sequence[int] = DIGITS) -> DataFrame:
+def radix_quantiles(df: DataFrame, groups: Sequence[str], value: str | None, quantiles: Sequence[float], digits: Sequence[int] = DIGITS, key: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbouring ranks:
     the group columns, ``n`` and ``q``, an array in the order of ``quantiles``.
+    ``key`` names a column of :func:`with_key` to take instead of ``value``.
 
     A level is one scan, one join with the digits followed so far and one
     aggregation; these digits, at most two a quantile and group, are written
@@ -85,7 +92,7 @@ def radix_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles:
     if sum(digits) != 64 or not quantiles or any(not 0 <= q <= 1 for q in quantiles):
         raise ValueError("digits must add to 64 and quantiles lie in 0..1")
     keys = [f"_g{i}" for i in range(len(groups))]
-    rows = _keyed(df, groups, value)
+    rows = _keyed(df, groups, value, key)
     carried = ["_p", "_n", "_start", "_ranks"]
     within = Window.partitionBy(*keys, "_p").orderBy("_d")
     done = 0
@@ -116,14 +123,14 @@ def radix_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles:
     return at.select(*[F.col(k).alias(g) for k, g in zip(keys, groups, strict=True)], "n", F.array(*[interpolated(q) for q in quantiles]).alias("q"))
 
 
-def summarize(df: DataFrame, groups: Sequence[str], value: str, bits: int = 23) -> DataFrame:
+def summarize(df: DataFrame, groups: Sequence[str], value: str | None, bits: int = 23, key: str | None = None) -> DataFrame:
     """The mergeable form: the group columns, ``prefix`` (highest ``bits`` bits
     of the key) and ``c``, the number of values with it. At most
     ``2 ** bits`` rows a group, in practice one per distinct rounded value."""
     if not 13 <= bits <= 63:
         raise ValueError("bits must be in 13..63")
     keys = [f"_g{i}" for i in range(len(groups))]
-    counted = _keyed(df, groups, value).groupBy(*keys, F.shiftright("_key", 64 - bits).alias("prefix")).agg(F.count("*").alias("c"))
+    counted = _keyed(df, groups, value, key).groupBy(*keys, F.shiftright("_key", 64 - bits).alias("prefix")).agg(F.count("*").alias("c"))
     return counted.select(*[F.col(k).alias(g) for k, g in zip(keys, groups, strict=True)], "prefix", "c")
 
 

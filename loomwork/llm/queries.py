@@ -116,19 +116,19 @@ SQL["p5_lift"] = _PAIRS + "SELECT skill_a, skill_b, n_ab, round(CAST(n_ab * n AS
 
 
 def _pay_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per posting and group it belongs to: title, category, and each
+    """One row per paid posting and group it belongs to: title, category, and each
     different province name; 'unknown' and 'foreign' are no names."""
-    p = table(spark, sf, "postings").select("posting_id", "job_title_node", "category", "provinces", "salary_mid")
+    p = quantiles.with_key(table(spark, sf, "postings").select("posting_id", "job_title_node", "category", "provinces", "salary_mid"), "salary_mid", "pay_key")
     names = F.filter(F.array_distinct("provinces"), lambda x: x.isNotNull() & ~x.isin("unknown", "foreign"))
     title = F.when(F.col("job_title_node").isNotNull(), F.struct(F.lit("title").alias("dim"), F.col("job_title_node").alias("grp")))
     category = F.when(F.col("category").isNotNull(), F.struct(F.lit("category").alias("dim"), F.col("category").alias("grp")))
     places = F.coalesce(F.transform(names, lambda x: F.struct(F.lit("province").alias("dim"), x.alias("grp"))), F.array())
-    return p.select("posting_id", "salary_mid", F.explode(F.concat(F.array_compact(F.array(title, category)), places)).alias("g")).select("posting_id", "g.dim", "g.grp", "salary_mid")
+    return p.select("posting_id", "pay_key", F.explode(F.concat(F.array_compact(F.array(title, category)), places)).alias("g")).select("posting_id", "g.dim", "g.grp", "pay_key")
 
 
 @query
 def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    q = quantiles.radix_quantiles(_pay_groups(spark, sf), ["dim", "grp"], "salary_mid", QUANTILES)
+    q = quantiles.radix_quantiles(_pay_groups(spark, sf), ["dim", "grp"], None, QUANTILES, key="pay_key")
     return q.select("dim", "grp", "n", *[F.round(F.col("q")[i], 6).alias(f"p{round(x * 100)}") for i, x in enumerate(QUANTILES)])
 
 
@@ -136,7 +136,7 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def p6_combined(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles from summaries of eight slices of the rows, made apart and then combined."""
     rows = _pay_groups(spark, sf).withColumn("slice", F.coalesce(F.pmod("posting_id", F.lit(8)), F.lit(0)))
-    slices = quantiles.summarize(rows, ["slice", "dim", "grp"], "salary_mid", SUMMARY_BITS)
+    slices = quantiles.summarize(rows, ["slice", "dim", "grp"], None, SUMMARY_BITS, key="pay_key")
     q = quantiles.summary_quantiles(quantiles.combine([slices.drop("slice")]), QUANTILES, SUMMARY_BITS)
     return q.select("dim", "grp", "n", *[F.round(F.col("q")[i], 6).alias(f"p{round(x * 100)}") for i, x in enumerate(QUANTILES)])
 
