@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import canonical, cooccurrence, mixing, packing, quantiles, tokens, topn, toxicity
-from loomwork.session import table
+from loomwork.session import cut, table
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 SUMMARY_BITS = 23
@@ -128,7 +128,8 @@ def _pay_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    q = quantiles.radix_quantiles(_pay_groups(spark, sf), ["dim", "grp"], None, QUANTILES, key="pay_key")
+    """Groups and keys are written once: each level of the selection reads them again."""
+    q = quantiles.radix_quantiles(cut(_pay_groups(spark, sf)), ["dim", "grp"], None, QUANTILES, key="pay_key")
     return q.select("dim", "grp", "n", *[F.round(F.col("q")[i], 6).alias(f"p{round(x * 100)}") for i, x in enumerate(QUANTILES)])
 
 
