@@ -5,8 +5,8 @@
    judged by the tables of the other folds only, so it never votes for itself.
    How often texts stored under one source read like another's is counted with
    it, and a document's memberships are what its text says times how often its
-   stored source holds such texts. Nothing is assumed about how right stored
-   sources are. Memberships are kept in steps of 1/``STEPS``; documents of the
+   stored source holds such texts; but for a few documents' worth (``TRUST``)
+   nothing is assumed about how right stored sources are. Memberships are kept in steps of 1/``STEPS``; documents of the
    same source and memberships share a rate and are one row from here on.
 2. *Rates*: how often documents are used, from a flat rate to begin with,
    between 0 and the source's cap, so that the expected tokens of every domain
@@ -49,6 +49,8 @@ BUCKETS = 1 << 13
 FOLDS = 4
 STEPS = 256
 EFFECTIVE_WORDS = 20.0  # words of one text depend on each other: a longer text counts as so many
+DOUBT = 0.003  # what any text may belong to any domain
+TRUST = 20.0  # documents by which a stored source is believed before any is counted
 BINS = 1 << 13
 MAX_SOURCES = 256
 MAX_STEPS = 1000
@@ -163,7 +165,11 @@ def _told(batch: pa.RecordBatch, logs: np.ndarray) -> np.ndarray:
         if len(own):
             size = np.diff(at)[own]
             inside = np.repeat(at[own] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            out[own] = text_memberships(b[inside], np.r_[0, np.cumsum(size)], logs[f])
+            told = text_memberships(b[inside], np.r_[0, np.cumsum(size)], logs[f])
+            k = batch.column("_k").to_numpy()[own]
+            alone = (k >= 0) & ~np.isfinite(logs[f][k, 0])  # no other fold has a document of its source: the text can't speak for it
+            told[alone] = np.eye(logs.shape[1])[k[alone]]
+            out[own] = (told + DOUBT) / (1 + DOUBT * logs.shape[1])
     return out
 
 
@@ -182,7 +188,7 @@ def memberships(docs: DataFrame, width: int) -> DataFrame:
     held = np.zeros(width * width)
     for r in docs.where(F.col("_k") >= 0).select("_k", "_f", "_b").mapInArrow(tally, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         held[r["i"]] = r["x"]
-    held = held.reshape(width, width)
+    held = held.reshape(width, width) + TRUST * np.eye(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +262,7 @@ def fit_rates(groups: DataFrame, caps: np.ndarray, wanted: np.ndarray, held: np.
         got = sums(groups, caps, lambda p, k, n, cap, done=done: (replay(p, cap, flat_rate, done) * n) @ p)
         off = got - wanted
         squares = float((off * off / np.maximum(held, 1.0)).sum())
-        if squares > before * 0.999:  # a point where no step helps
+        if squares > before * 0.99:  # a point where steps hardly help
             return fit if squares >= before else Fit(flat_rate, done, wanted, got)
         fit, before = Fit(flat_rate, done, wanted, got), squares
         if np.abs(off).max() <= near * wanted.sum():
